@@ -4,10 +4,11 @@ A piece of text has exactly one sequence of tokens in which every neighbouring
 pair is one that the merges leave apart.  So reading left to right, every prefix
 has one last token, found from the tokens ending there and the last token before
 each of them.  A position stays open while some longer token could still start at
-it; tokens before the point that all open positions share are settled and emitted.
-The open positions, their tokens and their places in the token trie make up a
-state, so the lookahead is bounded by the longest token.  States and transitions
-are built when first met and kept up to a bound, then built afresh.
+it.  The open positions, each with the token that ends at it and the place in the
+token trie that the bytes since lead to, make up a state; a move outputs the last
+token of the prefix it completes.  The ways back from all open positions meet
+within a bounded distance, and what lies before is settled and emitted.  States
+and moves are built when first met and kept up to a bound, then built afresh.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ import struct
 from collections.abc import Iterable, Iterator
 
 _ROOT = 0
+#: Halves of a token that merges never make.
+_NEVER = (-1, -1)
+#: Bytes of a piece after which settled tokens are emitted.
+_WINDOW = 1024
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -25,35 +30,36 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 120_000):
         self.ranks = ranks
         self.most_states = most_states
         self.text = {rank: token for token, rank in ranks.items()}
         self.packed = {rank: struct.pack("<I", rank) for rank in self.text}
         self.child: dict[int, int] = {}
         self.token = [-1]
-        self.open = [False]
+        self.depth = [0]
+        self.children: list[list[int]] = [[]]
         for token, rank in ranks.items():
             node = _ROOT
             for byte in token:
                 key = node << 8 | byte
                 if key not in self.child:
-                    self.open[node] = True
                     self.child[key] = len(self.token)
+                    self.children[node].append(len(self.token))
                     self.token.append(-1)
-                    self.open.append(False)
+                    self.depth.append(self.depth[node] + 1)
+                    self.children.append([])
                 node = self.child[key]
             self.token[node] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = ((-1, -1, _ROOT),)
+        start = ((-1, _ROOT),)
         self.states = [start]
         self.number = {start: 0}
-        self.moves: list[dict[int, tuple[int, bytes]]] = [{}]
-        self.ends: list[bytes | None] = [b""]
+        self.moves: list[dict[int, tuple[int, int]]] = [{}]
 
     def _split(self, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte.
@@ -63,7 +69,7 @@ class Transducer:
         """
         if rank not in self.halves:
             parts = merged(self.text[rank], self.ranks, rank)
-            self.halves[rank] = None if len(parts) == 1 else (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
+            self.halves[rank] = None if len(parts) == 1 else (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else _NEVER
         return self.halves[rank]
 
     def stay_apart(self, left: int, right: int) -> bool:
@@ -73,16 +79,16 @@ class Transducer:
         time: at each step the token made later is taken apart, and a merge across
         the border that would have come before that step rules the pair out.
         """
-        key = (left, right)
+        key = left << 24 | right
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > 1_000_000:
                 self.apart.clear()
             known = self.apart[key] = self._stay_apart(left, right)
         return known
 
     def _stay_apart(self, left: int, right: int) -> bool:
-        if self._split(left) == (-1, -1) or self._split(right) == (-1, -1):
+        if self._split(left) == _NEVER or self._split(right) == _NEVER:
             return False
         before = len(self.text) + 1 + max(left, right)
         while True:
@@ -98,49 +104,51 @@ class Transducer:
             else:
                 before, right = right + 1, b[0]
 
-    def _move(self, state: int, byte: int) -> tuple[int, bytes]:
-        entries = list(self.states[state])
-        found = None
-        for at, (last, parent, node) in enumerate(entries):
-            node = -1 if node < 0 else self.child.get(node << 8 | byte, -1)
-            if node >= 0 and self.token[node] >= 0 and found is None and (last < 0 or self.stay_apart(last, self.token[node])) and (last >= 0 or self._split(self.token[node]) != (-1, -1)):
-                found = (self.token[node], at, _ROOT)
-            entries[at] = (last, parent, node if node >= 0 and self.open[node] else -1)
-        if found is None:
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        """The next state and the last token of the prefix that ends with ``byte``."""
+        child, token, children, apart = self.child, self.token, self.children, self.apart
+        out, found = [], -1
+        for last, node in self.states[state]:
+            node = child.get(node << 8 | byte, -1)
+            if node >= 0:
+                ends = token[node]
+                if ends >= 0 and found < 0:
+                    fits = apart.get(last << 24 | ends) if last >= 0 else self._split(ends) != _NEVER
+                    if self.stay_apart(last, ends) if fits is None else fits:
+                        found = ends
+                if children[node]:
+                    out.append((last, node))
+        if found < 0:
             raise ValueError("the ranks lack a single byte")
-        entries.append(found)
-        open_now = sorted(at for at, e in enumerate(entries) if e[2] >= 0)
-        kept = set(open_now)
-        while len(open_now) > 1:
-            parent = entries[open_now.pop()][1]
-            if parent not in kept:
-                kept.add(parent)
-                open_now.append(parent)
-                open_now.sort()
-        root = open_now[0]
-        emitted, at = [], root
-        while entries[at][1] >= 0:
-            emitted.append(self.packed[entries[at][0]])
-            at = entries[at][1]
-        place = {at: i for i, at in enumerate(sorted(kept))}
-        key = tuple((entries[at][0], -1 if at == root else place[entries[at][1]], entries[at][2]) for at in sorted(kept))
+        out.append((found, _ROOT))
+        key = tuple(out)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
-            self.ends.append(None)
-        move = self.moves[state][byte] = (number, b"".join(reversed(emitted)))
+        move = self.moves[state][byte] = (number, found)
         return move
 
-    def _end(self, state: int) -> bytes:
-        entries, out = self.states[state], []
-        at = len(entries) - 1
-        while entries[at][1] >= 0:
-            out.append(self.packed[entries[at][0]])
-            at = entries[at][1]
-        self.ends[state] = b"".join(reversed(out))
-        return self.ends[state]
+    def _settled(self, state: int, lasts: list[int]) -> int:
+        """Up to where the tokens are the same whatever follows: where the ways back from all open positions meet."""
+        ends = sorted({len(lasts) - self.depth[node] for _, node in self.states[state]})
+        while len(ends) > 1:
+            end = ends.pop()
+            before = end - len(self.text[lasts[end - 1]])
+            if before not in ends:
+                ends.append(before)
+                ends.sort()
+        return ends[0]
+
+    def _back(self, lasts: list[int], end: int) -> bytes:
+        out, text, packed = [], self.text, self.packed
+        while end > 0:
+            token = lasts[end - 1]
+            out.append(packed[token])
+            end -= len(text[token])
+        out.reverse()
+        return b"".join(out)
 
     def piece(self, piece: bytes) -> bytes:
         """Ids of one match of the splitting pattern, as little-endian 32-bit integers."""
@@ -149,15 +157,15 @@ class Transducer:
             return self.packed[whole]
         if len(self.states) > self.most_states:
             self._reset()
-        state, out, moves = 0, [], self.moves
+        state, lasts, done, moves = 0, [], b"", self.moves
         for byte in piece:
-            move = moves[state].get(byte) or self._move(state, byte)
-            state = move[0]
-            if move[1]:
-                out.append(move[1])
-        end = self.ends[state]
-        out.append(self._end(state) if end is None else end)
-        return b"".join(out)
+            state, token = moves[state].get(byte) or self._move(state, byte)
+            lasts.append(token)
+            if len(lasts) >= _WINDOW:
+                end = self._settled(state, lasts)
+                done += self._back(lasts, end)
+                del lasts[:end]
+        return done + self._back(lasts, len(lasts))
 
 
 def merged(piece: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
@@ -219,7 +227,7 @@ class _Pieces(dict):
 class Codec:
     """Encoder and decoder for one set of ranks and one splitting pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 200_000):
         import regex
 
         self.fst = Transducer(ranks)

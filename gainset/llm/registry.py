@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gainset.llm import op2_exact
+from gainset.llm import op2_exact, op6_bpe
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": op2_exact.op2_exact_dedup,
+        "op6_bpe": op6_bpe.op6_bpe,
     }
 
 
