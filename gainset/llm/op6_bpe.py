@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from gainset.llm.arrays import STEP_BYTES
 from gainset.llm.bpe_fst import Codec, parse_ranks
@@ -33,9 +34,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, text_column
     raw = docs.sparkSession.sparkContext.broadcast(Path(ranks_file).read_bytes())
     added = ["token_ids", *["decoded"] * decode]
     docs = docs.drop(*added)
-    schema = docs.schema
-    for name in added:
-        schema = schema.add(name, "binary")
+    schema = StructType([*docs.schema.fields, *[StructField(name, BinaryType()) for name in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(raw.value, pattern)
