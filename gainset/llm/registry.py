@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from gainset.llm import op2_exact, op6_bpe
+from gainset.llm import op2_exact, op5_lines, op6_bpe, op7_suffix, op9_phrases
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": op2_exact.op2_exact_dedup,
+        "op5_line_dedup": op5_lines.op5_line_dedup,
         "op6_bpe": op6_bpe.op6_bpe,
+        "op7_suffix_dedup": op7_suffix.op7_suffix_dedup,
+        "op9_phrase_dedup": op9_phrases.op9_phrase_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": op2_exact.ORACLE,
+        "op5_line_dedup": op5_lines.ORACLE,
+        "op7_suffix_dedup": op7_suffix.ORACLE,
+        "op9_phrase_dedup": op9_phrases.ORACLE,
     }
