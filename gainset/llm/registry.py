@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gainset.llm import op2_exact, op5_lines, op6_bpe, op7_suffix, op9_phrases
+from gainset.llm import op10_decontaminate, op2_exact, op5_lines, op6_bpe, op7_suffix, op9_phrases
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_bpe": op6_bpe.op6_bpe,
         "op7_suffix_dedup": op7_suffix.op7_suffix_dedup,
         "op9_phrase_dedup": op9_phrases.op9_phrase_dedup,
+        "op10_decontaminate": op10_decontaminate.op10_decontaminate,
     }
 
 
@@ -21,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": op5_lines.ORACLE,
         "op7_suffix_dedup": op7_suffix.ORACLE,
         "op9_phrase_dedup": op9_phrases.ORACLE,
+        "op10_decontaminate": op10_decontaminate.ORACLE,
     }
