@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gainset.llm import op10_decontaminate, op2_exact, op5_lines, op6_bpe, op7_suffix, op9_phrases
+from gainset.llm import op10_decontaminate, op2_exact, op4_language, op5_lines, op6_bpe, op7_suffix, op9_phrases
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": op2_exact.op2_exact_dedup,
+        "op4_language_id": op4_language.op4_language_id,
         "op5_line_dedup": op5_lines.op5_line_dedup,
         "op6_bpe": op6_bpe.op6_bpe,
         "op7_suffix_dedup": op7_suffix.op7_suffix_dedup,
