@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gainset.llm import op10_decontaminate, op2_exact, op4_language, op5_lines, op6_bpe, op7_suffix, op9_phrases
+from gainset.llm import op10_decontaminate, op2_exact, op3_minhash, op4_language, op5_lines, op6_bpe, op7_suffix, op9_phrases
 
 
 def queries() -> dict:
     return {
         "op2_exact_dedup": op2_exact.op2_exact_dedup,
+        "op3_minhash_neardedup": op3_minhash.op3_minhash_neardedup,
         "op4_language_id": op4_language.op4_language_id,
         "op5_line_dedup": op5_lines.op5_line_dedup,
         "op6_bpe": op6_bpe.op6_bpe,
@@ -20,6 +21,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": op2_exact.ORACLE,
+        "op3_minhash_neardedup": op3_minhash.ORACLE,
         "op5_line_dedup": op5_lines.ORACLE,
         "op7_suffix_dedup": op7_suffix.ORACLE,
         "op9_phrase_dedup": op9_phrases.ORACLE,
