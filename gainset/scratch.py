@@ -8,6 +8,7 @@ smaller than checkpointed rows and readable column by column.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -31,13 +32,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back."""
+    """Write ``df`` once to the shared folder and read it back.
+
+    What was shuffled for it isn't needed any longer.  Spark deletes such files when
+    the driver's JVM finds their handles unused, so it is asked to look.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gainset/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if not _WRITTEN:
         atexit.register(_clear)
     _WRITTEN.append((spark, path))
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
