@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gainset.llm import arrays
 from gainset.llm.components import components
-from gainset.llm.recurrence import _keyed
+from gainset.llm.recurrence import keyed
 from gainset.llm.tables import table, with_group
 from gainset.scratch import stored
 
@@ -156,8 +156,8 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity(), id_column:
     Equal sets are one node, so equal texts cost nothing further.  The component is
     named by its smallest id; null ids count as larger than any other for that.
     """
-    keyed = _keyed(docs, id_column, text_column)
-    rows = stored(keyed.mapInArrow(_sketches(like), "did long, dkey long, n long, node binary, bands array<long>, sketch array<long>"), "sketches")
+    texts = keyed(docs, id_column, text_column)
+    rows = stored(texts.mapInArrow(_sketches(like), "did long, dkey long, n long, node binary, bands array<long>, sketch array<long>"), "sketches")
     total = rows.count()
     id_or_none = F.when(F.col("did") != -(1 << 63), F.col("did"))
     filled = rows.filter(F.col("node").isNotNull())
@@ -171,8 +171,8 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity(), id_column:
 
     shared = in_band.select("x.node").distinct()
     wanted = nodes.select("node", "did", "dkey").join(shared, "node")
-    texts = keyed.join(wanted, ["did", "dkey"]).select("node", "text")
-    sets = stored(texts.mapInArrow(_set_rows(like), "node binary, shingles array<long>").dropDuplicates(["node"]), "sets")
+    wanted_texts = texts.join(wanted, ["did", "dkey"]).select("node", "text")
+    sets = stored(wanted_texts.mapInArrow(_set_rows(like), "node binary, shingles array<long>").dropDuplicates(["node"]), "sets")
 
     star = in_band.filter((F.col("x.node") != F.col("hub.node")) & _close(like, "x", "hub")).select(F.col("x.node").alias("a"), F.col("hub.node").alias("b")).distinct()
     star = stored(star, "star")

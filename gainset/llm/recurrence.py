@@ -34,11 +34,14 @@ from gainset.llm import arrays
 from gainset.scratch import stored
 
 #: Anchors that a block gathers before it keeps one row per phrase.
-BLOCK_ANCHORS = 500_000
+BLOCK_ANCHORS = 150_000
 #: Edges of one core that are resolved together; a core with more is split.
 TOGETHER = 4_096
 #: Bytes of edge text resolved at once.
 RESOLVED_BYTES = 2 << 20
+#: What is known of each document comes to the texts by broadcast up to this many bytes;
+#: beyond, texts and it meet in a shuffle.
+MOST_BROADCAST = 32 << 20
 
 _NO_ID = -(1 << 63)
 _ROWS = "kind byte, part long, full long, core long, did long, dkey long, a int, b int"
@@ -175,9 +178,20 @@ def _phrases(shape: Shape, later_only: bool) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Rows (did, dkey, text); dkey tells texts of one id apart and is 0 where every id has one row."""
+    ids = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("did"))
+    unique = not ids.groupBy("did").count().filter("count > 1").limit(1).count()
     text = F.coalesce(F.col(text_column), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64(text).alias("dkey"), text.alias("text"))
+    key = F.lit(0).cast("long") if unique else F.xxhash64(text)
+    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("did"), key.alias("dkey"), text.alias("text"))
+
+
+def _with_texts(texts: DataFrame, known: DataFrame, items: str, item_bytes: int, how: str) -> DataFrame:
+    """Documents with what is known of each of them, one row per document in ``known``."""
+    known = stored(known, "known")
+    size = known.agg(F.sum(F.size(items) * item_bytes + 64)).first()[0] or 0
+    return texts.join(F.broadcast(known) if size <= MOST_BROADCAST else known, ["did", "dkey"], how)
 
 
 def _lists(column: pa.Array, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -276,13 +290,14 @@ def _columns(held: list[pa.RecordBatch]) -> tuple:
     return *(c[fresh] for c in columns), whole.column(5).filter(pa.array(fresh)).to_pylist()
 
 
-def recurring(docs: DataFrame, shape: Shape, resolver: Resolver, later_only: bool, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """First and last window of runs that recur, as rows (did, dkey, a, b)."""
-    keyed = _keyed(docs, id_column, text_column)
-    rows = keyed.mapInArrow(_phrases(shape, later_only), _ROWS)
+def recurring(texts: DataFrame, shape: Shape, resolver: Resolver, later_only: bool) -> DataFrame:
+    """First and last window of runs that recur in the rows of ``keyed``, as rows (did, dkey, a, b)."""
+    rows = texts.mapInArrow(_phrases(shape, later_only), _ROWS)
     of_core, place = Window.partitionBy("part"), F.struct("did", "dkey", "a")
     of_phrase = Window.partitionBy("part", "full").orderBy("did", "dkey", "a")
-    rows = rows.withColumn("first", F.first(place).over(of_phrase)).withColumn("many", (F.min("full").over(of_core) != F.max("full").over(of_core)) | (F.max(F.col("kind") == _MARKER).over(of_core)))
+    # By core first: rows dealt by core are together by phrase as well, so they move once.
+    rows = rows.withColumn("many", (F.min("full").over(of_core) != F.max("full").over(of_core)) | (F.max(F.col("kind") == _MARKER).over(of_core)))
+    rows = rows.withColumn("first", F.first(place).over(of_phrase))
     if later_only:
         again = place != F.col("first")
     else:
@@ -298,7 +313,7 @@ def recurring(docs: DataFrame, shape: Shape, resolver: Resolver, later_only: boo
     hot = edges.groupBy("core").count().filter(F.col("count") > TOGETHER).select("core", F.ceil(F.col("count") / TOGETHER).cast("int").alias("parts"))
     salted = edges.join(hot, "core", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("did", "dkey"), F.col("parts")).cast("int"), F.lit(-1)))
     wanted = salted.groupBy("did", "dkey").agg(F.collect_set(F.struct("a", "b", "core", "salt")).alias("edges"))
-    fetched = keyed.join(wanted, ["did", "dkey"]).mapInArrow(_fetch(shape), "core long, salt int, did long, dkey long, a int, phrase binary")
+    fetched = _with_texts(texts, wanted, "edges", 32, "inner").select("did", "dkey", "text", "edges").mapInArrow(_fetch(shape), "core long, salt int, did long, dkey long, a int, phrase binary")
     parts = fetched.repartition("core", "salt").sortWithinPartitions("core", "salt", "did", "dkey", "a")
     solved = stored(parts.mapInArrow(_resolve(resolver, later_only), "open boolean, did long, dkey long, a int, b int, key1 long, key2 long"), "windows")
     by_window = Window.partitionBy("key1", "key2").orderBy("did", "dkey", "a")
@@ -314,13 +329,31 @@ def without_recurring(docs: DataFrame, shape: Shape, resolver: Resolver, later_o
     Removes every unit that a recurring window covers.  ``kept`` is binary: the
     remaining bytes, words joined by one space, or lines joined by line feeds.
     """
-    runs = recurring(docs, shape, resolver, later_only, id_column, text_column)
-    per_doc = runs.groupBy("did", "dkey").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
-    keyed = _keyed(docs, id_column, text_column).join(per_doc, ["did", "dkey"], "left").select("did", "text", "runs")
-    out = keyed.mapInArrow(_remove(shape), "did long, n_units long, n_removed long, n_spans long, kept binary")
+    texts = keyed(docs, id_column, text_column)
+    runs = recurring(texts, shape, resolver, later_only)
+    per_doc = runs.groupBy("did", "dkey").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
+    merged = per_doc.mapInArrow(_merge, "did long, dkey long, runs array<struct<a: int, b: int>>")
+    out = _with_texts(texts, merged, "runs", 8, "left").select("did", "text", "runs").mapInArrow(_remove(shape), "did long, n_units long, n_removed long, n_spans long, kept binary")
     return out.select(F.when(F.col("did") != _NO_ID, F.col("did")).alias(id_column), "n_units", "n_removed", "n_spans", "kept")
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of windows, sorted by their first, as few as say the same."""
+    for batch in batches:
+        at, (a, b) = _lists(batch.column(2), ["a", "b"])
+        row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+        far = b + row * (1 << 33)
+        reach = np.maximum.accumulate(far)
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (a[1:] + row[1:] * (1 << 33) > reach[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(row)) - 1
+        ends = (reach[last] - row[first] * (1 << 33)).astype(np.int32)
+        offsets = np.append(0, np.cumsum(np.bincount(row[first], minlength=batch.num_rows))).astype(np.int32)
+        runs = pa.StructArray.from_arrays([pa.array(a[first]), pa.array(ends)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), runs)], names=["did", "dkey", "runs"])
+
+
 def _remove(shape: Shape) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     glue = {"byte": b"", "word": b" ", "line": b"\n"}[shape.unit]
 
