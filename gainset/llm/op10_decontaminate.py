@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced-seed hashing, with DataFrame functions only.
 
-A seed hashes five words at fixed offsets and ignores the words between.  Seeds of
+A seed hashes four words at fixed offsets and ignores the words between.  Seeds of
 the benchmark are joined with seeds at every position of every document; around
 each hit the document is laid against the whole item, and the item counts as found
 if a stretch of it agrees in at least 80 % of its words.
@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gainset.llm.tables import table
+from gainset.llm.tables import NO_ID, keyed, table, with_texts
 
 #: Offsets of the words that each seed keeps.  Together they hit every stretch of 10
-#: to 20 words with at most 20 % of the words replaced, and every run of five words.
-MASKS = ((0, 1, 2, 4, 5), (0, 1, 4, 6, 7), (0, 1, 2, 3, 4))
+#: to 20 words with at most 20 % of the words replaced, and every run of four words.
+MASKS = ((0, 1, 2, 4), (0, 1, 2, 3))
 #: Words of an item's stretch; a shorter item counts as a whole, and under 10 words only unchanged.
 STRETCH = 20
 SHORT = 10
@@ -30,21 +30,28 @@ def _word_hashes(text: Column) -> Column:
     return F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
 
 
-def _seeds(words: str, at: str) -> Column:
-    """The seeds that start at a position; null where the text ends before."""
-    return F.array(*[F.when(F.col(at) + mask[-1] < F.size(words), F.xxhash64(F.lit(i), *[F.get(F.col(words), F.col(at) + o) for o in mask])) for i, mask in enumerate(MASKS)])
-
-
 def _seeded(rows: DataFrame, words: str, at: str, seed: str) -> DataFrame:
+    """A row for each seed, without the words: null seeds, where the text ends before, go."""
     least = len(MASKS[-1])
-    rows = rows.filter(F.size(words) >= least).withColumn(at, F.explode(F.sequence(F.lit(0), F.size(words) - least)))
-    return rows.withColumn(seed, F.explode(_seeds(words, at))).filter(F.col(seed).isNotNull())
+    rows = rows.filter(F.size(words) >= least).withColumn("_n", F.size(words) - (least - 1))
+    starts = F.sequence(F.lit(0), F.col("_n") - 1)
+
+    def of(number: int, mask: tuple[int, ...]) -> Column:
+        def one(i: Column) -> Column:
+            hashed = F.xxhash64(F.lit(number), *[F.get(F.col(words), i + o) for o in mask])
+            return hashed if mask[-1] < least else F.when(i + mask[-1] < F.size(words), hashed)
+
+        return F.transform(starts, one)
+
+    every = F.concat(*[of(i, mask) for i, mask in enumerate(MASKS)])
+    rest = [c for c in rows.columns if c not in (words, "_n")]
+    rows = rows.select(*rest, "_n", F.posexplode(every).alias(at, seed)).filter(F.col(seed).isNotNull())
+    return rows.withColumn(at, F.col(at) % F.col("_n")).drop("_n")
 
 
 def _same() -> Column:
     """For each word of the item, 1 where the document has it at the hit's alignment."""
-    start = F.col("at") - F.col("item_at")
-    return F.transform("item_words", lambda w, i: F.coalesce(F.when(start + i >= 0, F.get(F.col("words"), start + i)) == w, F.lit(False)).cast("int"))
+    return F.transform("item_words", lambda w, i: F.coalesce(F.when(F.col("shift") + i >= 0, F.get(F.col("words"), F.col("shift") + i)) == w, F.lit(False)).cast("int"))
 
 
 def _best() -> Column:
@@ -59,37 +66,44 @@ def _best() -> Column:
     return F.aggregate("same", F.struct(zero.alias("i"), zero.alias("now"), zero.alias("best")), step, lambda acc: acc["best"])
 
 
-def found_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_key, item_id, agree, needed) of items found in documents, each pair once.
+def found_items(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows (did, dkey, item_id, agree, needed) of items found in the rows of ``keyed``, each pair once.
 
-    Null texts and ids: a null text has no words, a null id is an id like others.
-    Items of under five words are too short to be found.  Repeated items each count.
+    A null text has no words, a null id is an id like others.  Items of under five
+    words are too short to be found; repeated items each count.
     """
     items = items.select("item_id", _word_hashes(F.col("text")).alias("item_words")).filter(F.size("item_words") >= 5)
     seeds = _seeded(items, "item_words", "item_at", "seed")
-    if seeds.count() <= MOST_BROADCAST:
-        seeds = F.broadcast(seeds)
-    docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), _word_hashes(F.col("text")).alias("words"))
-    hits = _seeded(docs, "words", "at", "doc_seed").join(seeds, F.col("doc_seed") == F.col("seed"))
+    few = seeds.count() <= MOST_BROADCAST
+    docs = texts.select("did", "dkey", _word_hashes(F.col("text")).alias("words"))
+    hits = _seeded(docs, "words", "at", "doc_seed").join(F.broadcast(seeds) if few else seeds, F.col("doc_seed") == F.col("seed"))
+    laid = hits.select("did", "dkey", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    per_doc = laid.groupBy("did", "dkey").agg(F.collect_list(F.struct("item_id", "shift")).alias("laid"))
+    docs = with_texts(texts, per_doc, "laid", 16, "inner").select("did", "dkey", _word_hashes(F.col("text")).alias("words"), "laid")
+    # An item is longer than what a hit takes of the document, so only that goes on.
+    longest = items.agg(F.max(F.size("item_words"))).first()[0] or 1
+    around = F.transform("laid", lambda x: F.struct(x["item_id"].alias("item_id"), F.least(x["shift"], F.lit(0)).alias("shift"), F.slice("words", F.greatest(x["shift"], F.lit(0)) + 1, F.lit(longest)).alias("words")))
+    hits = docs.select("did", "dkey", F.explode(around).alias("hit")).select("did", "dkey", "hit.*")
+    hits = hits.join(F.broadcast(items) if few else items, "item_id")
     size = F.size("item_words")
     needed = F.when(size < SHORT, size).otherwise(F.ceil(F.least(size, F.lit(STRETCH)) * 4 / 5)).cast("int")
-    checked = hits.select("doc_id", "text_key", "item_id", _same().alias("same"), needed.alias("needed")).select("doc_id", "text_key", "item_id", _best().alias("agree"), "needed")
-    return checked.filter("agree >= needed").groupBy("doc_id", "text_key", "item_id").agg(F.max("agree").alias("agree"), F.max("needed").alias("needed"))
+    checked = hits.select("did", "dkey", "item_id", _same().alias("same"), needed.alias("needed")).select("did", "dkey", "item_id", _best().alias("agree"), "needed")
+    return checked.filter("agree >= needed").groupBy("did", "dkey", "item_id").agg(F.max("agree").alias("agree"), F.max("needed").alias("needed"))
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document: doc_id, contaminated, n_items and item_ids, ascending."""
-    per_doc = found_items(docs, items).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    all_docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    out = all_docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    texts = keyed(docs, "doc_id", "text")
+    per_doc = found_items(texts, items).groupBy("did", "dkey").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    out = texts.select("did", "dkey").join(per_doc, ["did", "dkey"], "left")
     ids = F.coalesce("item_ids", F.array().cast("array<bigint>"))
-    return out.select("doc_id", (F.size(ids) > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
+    return out.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), (F.size(ids) > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item, with the columns they came with."""
-    bad = found_items(docs, items).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_key"]), "left_anti")
+    bad = contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

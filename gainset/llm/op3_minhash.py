@@ -24,8 +24,7 @@ from pyspark.sql import functions as F
 
 from gainset.llm import arrays
 from gainset.llm.components import components
-from gainset.llm.recurrence import keyed
-from gainset.llm.tables import table, with_group
+from gainset.llm.tables import keyed, table, with_group
 from gainset.scratch import stored
 
 SAMPLES = 80

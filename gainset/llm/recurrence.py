@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gainset.llm import arrays
+from gainset.llm.tables import NO_ID, keyed, with_texts
 from gainset.scratch import stored
 
 #: Anchors that a block gathers before it keeps one row per phrase.
@@ -39,11 +40,7 @@ BLOCK_ANCHORS = 150_000
 TOGETHER = 4_096
 #: Bytes of edge text resolved at once.
 RESOLVED_BYTES = 2 << 20
-#: What is known of each document comes to the texts by broadcast up to this many bytes;
-#: beyond, texts and it meet in a shuffle.
-MOST_BROADCAST = 32 << 20
 
-_NO_ID = -(1 << 63)
 _ROWS = "kind byte, part long, full long, core long, did long, dkey long, a int, b int"
 _SINGLE, _EDGE, _MARKER, _FLAGGED = 0, 1, 2, 3
 
@@ -178,22 +175,6 @@ def _phrases(shape: Shape, later_only: bool) -> Callable[[Iterator[pa.RecordBatc
     return run
 
 
-def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Rows (did, dkey, text); dkey tells texts of one id apart and is 0 where every id has one row."""
-    ids = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("did"))
-    unique = not ids.groupBy("did").count().filter("count > 1").limit(1).count()
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    key = F.lit(0).cast("long") if unique else F.xxhash64(text)
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(_NO_ID)).alias("did"), key.alias("dkey"), text.alias("text"))
-
-
-def _with_texts(texts: DataFrame, known: DataFrame, items: str, item_bytes: int, how: str) -> DataFrame:
-    """Documents with what is known of each of them, one row per document in ``known``."""
-    known = stored(known, "known")
-    size = known.agg(F.sum(F.size(items) * item_bytes + 64)).first()[0] or 0
-    return texts.join(F.broadcast(known) if size <= MOST_BROADCAST else known, ["did", "dkey"], how)
-
-
 def _lists(column: pa.Array, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Offsets and values of a column of lists of structs; a null list is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -313,7 +294,7 @@ def recurring(texts: DataFrame, shape: Shape, resolver: Resolver, later_only: bo
     hot = edges.groupBy("core").count().filter(F.col("count") > TOGETHER).select("core", F.ceil(F.col("count") / TOGETHER).cast("int").alias("parts"))
     salted = edges.join(hot, "core", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("did", "dkey"), F.col("parts")).cast("int"), F.lit(-1)))
     wanted = salted.groupBy("did", "dkey").agg(F.collect_set(F.struct("a", "b", "core", "salt")).alias("edges"))
-    fetched = _with_texts(texts, wanted, "edges", 32, "inner").select("did", "dkey", "text", "edges").mapInArrow(_fetch(shape), "core long, salt int, did long, dkey long, a int, phrase binary")
+    fetched = with_texts(texts, wanted, "edges", 32, "inner").select("did", "dkey", "text", "edges").mapInArrow(_fetch(shape), "core long, salt int, did long, dkey long, a int, phrase binary")
     parts = fetched.repartition("core", "salt").sortWithinPartitions("core", "salt", "did", "dkey", "a")
     solved = stored(parts.mapInArrow(_resolve(resolver, later_only), "open boolean, did long, dkey long, a int, b int, key1 long, key2 long"), "windows")
     by_window = Window.partitionBy("key1", "key2").orderBy("did", "dkey", "a")
@@ -333,8 +314,8 @@ def without_recurring(docs: DataFrame, shape: Shape, resolver: Resolver, later_o
     runs = recurring(texts, shape, resolver, later_only)
     per_doc = runs.groupBy("did", "dkey").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
     merged = per_doc.mapInArrow(_merge, "did long, dkey long, runs array<struct<a: int, b: int>>")
-    out = _with_texts(texts, merged, "runs", 8, "left").select("did", "text", "runs").mapInArrow(_remove(shape), "did long, n_units long, n_removed long, n_spans long, kept binary")
-    return out.select(F.when(F.col("did") != _NO_ID, F.col("did")).alias(id_column), "n_units", "n_removed", "n_spans", "kept")
+    out = with_texts(texts, merged, "runs", 8, "left").select("did", "text", "runs").mapInArrow(_remove(shape), "did long, n_units long, n_removed long, n_spans long, kept binary")
+    return out.select(F.when(F.col("did") != NO_ID, F.col("did")).alias(id_column), "n_units", "n_removed", "n_spans", "kept")
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gainset.llm import op10_decontaminate, op2_exact, op3_minhash, op4_language, op5_lines, op6_bpe, op7_suffix, op9_phrases
+from gainset.llm import op1_score, op10_decontaminate, op2_exact, op3_minhash, op4_language, op5_lines, op6_bpe, op7_suffix, op9_phrases
 
 
 def queries() -> dict:
     return {
+        "op1_masked_score": op1_score.op1_masked_score,
         "op2_exact_dedup": op2_exact.op2_exact_dedup,
         "op3_minhash_neardedup": op3_minhash.op3_minhash_neardedup,
         "op4_language_id": op4_language.op4_language_id,

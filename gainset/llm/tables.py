@@ -5,11 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gainset.scratch import stored
+
 #: A key with more than one row in so many is hot; at most so many keys can be.
 HOT_SHARE = 20_000
+#: What is known of each document comes to the texts by broadcast up to this many bytes;
+#: beyond, texts and it meet in a shuffle.
+MOST_BROADCAST = 32 << 20
+#: Stands for a null id, and is smaller than any other.
+NO_ID = -(1 << 63)
+#: Rows that go to Python at once; documents are long, and both sides hold a batch.
+ARROW_ROWS = "500"
+
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(_ROWS) == "10000":  # unless someone set it
+        spark.conf.set(_ROWS, ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -26,3 +39,19 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: i
     hot_rows = marked.filter(F.col("_hot").isNotNull()).drop("_hot").join(F.broadcast(hot), key, "inner")
     others = marked.filter(F.col("_hot").isNull()).drop("_hot").join(groups.filter(F.col(size) <= most), key, how)
     return hot_rows.unionByName(others)
+
+
+def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Rows (did, dkey, text); dkey tells texts of one id apart and is 0 where every id has one row."""
+    ids = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("did"))
+    unique = not ids.groupBy("did").count().filter("count > 1").limit(1).count()
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    key = F.lit(0).cast("long") if unique else F.xxhash64(text)
+    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("did"), key.alias("dkey"), text.alias("text"))
+
+
+def with_texts(texts: DataFrame, known: DataFrame, items: str, item_bytes: int, how: str) -> DataFrame:
+    """Documents with what is known of each of them, one row per document in ``known``."""
+    known = stored(known, "known")
+    size = known.agg(F.sum(F.size(items) * item_bytes + 64)).first()[0] or 0
+    return texts.join(F.broadcast(known) if size <= MOST_BROADCAST else known, ["did", "dkey"], how)
