@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gainset.llm import op1_score, op10_decontaminate, op2_exact, op3_minhash, op4_language, op5_lines, op6_bpe, op7_suffix, op9_phrases
+import corpus_pipeline
+from gainset.llm import op1_score, op2_exact, op3_minhash, op4_language, op5_lines, op6_bpe, op7_suffix, op8_quality, op9_phrases, op10_decontaminate
 
 
 def queries() -> dict:
@@ -14,8 +15,10 @@ def queries() -> dict:
         "op5_line_dedup": op5_lines.op5_line_dedup,
         "op6_bpe": op6_bpe.op6_bpe,
         "op7_suffix_dedup": op7_suffix.op7_suffix_dedup,
+        "op8_quality": op8_quality.op8_quality,
         "op9_phrase_dedup": op9_phrases.op9_phrase_dedup,
         "op10_decontaminate": op10_decontaminate.op10_decontaminate,
+        "pipeline": corpus_pipeline.run,
     }
 
 
