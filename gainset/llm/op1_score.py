@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 from zlib import crc32
 
 import numpy as np
@@ -225,18 +226,18 @@ def train(docs: DataFrame, known: list[bytes], seen: np.ndarray, text_column: st
             for at in range(0, len(flat), _PIECE):
                 yield pa.RecordBatch.from_arrays([pa.array([at // _PIECE], pa.int32()), pa.array([words], pa.int64()), pa.array([flat[at : at + _PIECE].tobytes()], pa.binary())], names=["piece", "words", "sums"])
 
-    def add(key, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sums = 0, 0.0
-        for part in parts:
-            for n, raw in zip(part["words"].to_pylist(), part["sums"].to_pylist(), strict=True):
-                words, sums = words + n, sums + np.frombuffer(raw)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([words], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["piece", "words", "sums"])
+    def add(key: tuple, parts: pa.Table) -> pa.Table:
+        sums = sum(np.frombuffer(raw) for raw in parts["sums"].to_pylist())
+        words = sum(parts["words"].to_pylist())
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([words], pa.int64()), "sums": pa.array([sums.tobytes()], pa.binary())})
 
     shape = "piece int, words long, sums binary"
-    copies = docs.select(text_column).mapInArrow(run, shape)
-    # Two levels, so that no task meets the copies of all partitions.
-    some = copies.groupBy("piece", (F.spark_partition_id() % 64).alias("share")).applyInArrow(lambda k, b: add(k, b), shape)
-    pieces = sorted(some.groupBy("piece").applyInArrow(lambda k, b: add(k, b), shape).collect())
+    rows = docs.select(text_column)
+    copies = rows.mapInArrow(run, shape)
+    # Two levels, so that no task meets the copies of all partitions but about their square root.
+    width = max(1, isqrt(rows.rdd.getNumPartitions()))
+    some = copies.withColumn("share", F.floor(F.spark_partition_id() / width)).groupBy("piece", "share").applyInArrow(add, shape)
+    pieces = sorted(some.groupBy("piece").applyInArrow(add, shape).collect())
     if not pieces:
         return start
     return start.filled(np.concatenate([np.frombuffer(bytes(p["sums"])) / p["words"] for p in pieces]))

@@ -332,8 +332,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The documents that stay, with the columns they came with."""
-    return scored(docs, fit(docs, labels)).filter("keep").select(docs.columns)
+    """The documents that stay, with the columns they came with, whatever their names."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in arrays.steps(batch, "text"):
+                _, quality, toxic = sent.value.score(data, offsets)
+                yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array((quality >= LEAST_QUALITY) & (toxic <= MOST_TOXICITY)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
