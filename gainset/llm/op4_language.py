@@ -138,7 +138,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], te
                     total[filled] += np.add.reduceat(sums, starts[filled], 0)
                 best = total.argmax(1) if len(names) else np.zeros(len(starts), int)
                 score = np.zeros(len(starts))
-                score[some] = 1 / np.exp(total[some] - total[some].max(1, keepdims=True)).sum(1)
+                if len(some):
+                    score[some] = 1 / np.exp(total[some] - total[some].max(1, keepdims=True)).sum(1)
                 pred = [names[b] if h and names else "und" for b, h in zip(best, has, strict=True)]
                 own = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*own.schema.names, "lang_pred", "score"])
