@@ -72,10 +72,10 @@ def mine(tx: DataFrame, profits: DataFrame, k: int, min_prob: float, keep_zero_p
 
 
 def grow(prepared: Prepared, k: int, min_prob: float, prune: bool = True, most_candidates: int | None = None) -> MiningResult:
-    entries = stored(prepared.entries, "entries")
+    entries = stored(prepared.entries, "entries", free=False)
     patterns, state = seeds(entries)
-    patterns = stored(patterns, "patterns")
-    best = stored(topk.top(patterns, k), "top")
+    patterns = stored(patterns, "patterns", free=False)
+    best = stored(topk.top(patterns, k), "top", free=False)
     tau = topk.threshold(best, k)
     n = patterns.count()
     result = MiningResult(best, [])
@@ -87,18 +87,18 @@ def grow(prepared: Prepared, k: int, min_prob: float, prune: bool = True, most_c
         # An item whose own bound is below the threshold extends nothing; it still counted for ``rem``.
         useful = entries.filter(at_least(F.col("item_ptwu"), tau)) if prune else entries
         state = stored(state, "state")
-        tried = stored(candidates(state, useful), "candidates")
+        parents = live.select("pid", F.col("itemset").alias("parent"))
+        tried = candidates(state, useful).join(parents, "pid")
+        tried = tried.withColumn("itemset", F.array_sort(F.array_append("parent", F.col("item")))).withColumn("next", F.monotonically_increasing_id())
+        tried = stored(tried.select("pid", "next", "itemset", "rank", "eu", "ep", "ptwu", "pub"), "patterns", free=False)
         count, probable = tried.agg(F.count(F.lit(1)), F.count_if(F.col("ep") >= min_prob - EPS)).first()
         if most_candidates is not None and count > most_candidates:
             raise RuntimeError(f"level {len(result.levels) + 1} has {count} candidates; raise k's utility or min_prob")
         if not probable:
             result.levels.append({"level": len(result.levels) + 1, "tried": count, "probable": 0, "extended": 0})
             break
-        parents = live.select("pid", F.col("itemset").alias("parent"))
-        found = tried.filter(F.col("ep") >= min_prob - EPS).join(parents, "pid")
-        found = found.withColumn("itemset", F.array_sort(F.array_append("parent", F.col("item")))).withColumn("next", F.monotonically_increasing_id())
-        found = stored(found.select("pid", "next", "itemset", "rank", "eu", "ep", "ptwu", "pub"), "patterns")
-        best = stored(topk.merge(best, found.filter(at_least(F.col("eu"), tau)), k), "top")
+        found = tried.filter(F.col("ep") >= min_prob - EPS)
+        best = stored(topk.merge(best, found.filter(at_least(F.col("eu"), tau)), k), "top", free=False)
         tau = topk.threshold(best, k)
         survivors = promising(found, tau, prune)
         kept = survivors.count()

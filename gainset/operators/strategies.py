@@ -113,10 +113,10 @@ def mine_partitioned(tx: DataFrame, profits: DataFrame, k: int, min_prob: float,
     if k < 1:
         raise ValueError("k must be at least 1")
     prepared = prepare(tx, profits, min_prob)
-    entries = stored(prepared.entries, "entries")
+    entries = stored(prepared.entries, "entries", free=False)
     patterns, _ = seeds(entries)
-    patterns = stored(patterns, "patterns")
-    best = stored(topk.top(patterns, k), "top")
+    patterns = stored(patterns, "patterns", free=False)
+    best = stored(topk.top(patterns, k), "top", free=False)
     tau = topk.threshold(best, k)
     sized = _sized(entries, patterns)
     slices = waves if mode == "waves" else 1
@@ -132,13 +132,13 @@ def mine_partitioned(tx: DataFrame, profits: DataFrame, k: int, min_prob: float,
         heavy = prefix_budget // max(1, total // max(1, tasks) + 1)
         grouped = grouped.join(sized.select(F.col("rank").alias("prefix"), "rows"), "prefix").withColumn("own", F.when(F.col("rows") > heavy, F.col("prefix")).otherwise(F.lit(-1)))
         found = grouped.select("bucket", "own", "prefix", "tid", "item", "rank", "util", "prob", "rem", "ptu").groupBy("bucket", "own").applyInPandas(_task(k, tau, min_prob), PATTERNS)
-        best = stored(topk.merge(best, found, k), "top")
+        best = stored(topk.merge(best, found, k), "top", free=False)
         tau = topk.threshold(best, k)
         large = live.filter(F.col("rows") > prefix_budget).select("rank")
         if large.limit(1).count():
             more = grow(prepared, k, min_prob)
             both = best.unionByName(more.patterns).groupBy("itemset").agg(F.max("eu").alias("eu"), F.max("ep").alias("ep"))
-            best = stored(topk.top(both, k), "top")
+            best = stored(topk.top(both, k), "top", free=False)
             levels += more.levels[1:]
             break
     return MiningResult(best, levels)
@@ -149,4 +149,4 @@ def _sized(entries: DataFrame, patterns: DataFrame) -> DataFrame:
     heads = entries.select("tid", F.col("rank").alias("head"))
     per = heads.join(entries.groupBy("tid").agg(F.sort_array(F.collect_list("rank")).alias("ranks")), "tid")
     rows = per.groupBy("head").agg(F.sum(F.size(F.filter("ranks", lambda r: r >= F.col("head")))).alias("rows"))
-    return stored(patterns.join(rows, patterns["rank"] == rows["head"]).drop("head"), "sized")
+    return stored(patterns.join(rows, patterns["rank"] == rows["head"]).drop("head"), "sized", free=False)

@@ -31,11 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     What was shuffled for it isn't needed any longer.  Spark deletes such files when
-    the driver's JVM finds their handles unused, so it is asked to look.
+    the driver's JVM finds their handles unused, so with ``free`` it is asked to look.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gainset/{name}-{uuid.uuid4().hex}"
@@ -43,8 +43,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     if not _WRITTEN:
         atexit.register(_clear)
     _WRITTEN.append((spark, path))
-    gc.collect()
-    spark._jvm.System.gc()
+    if free:
+        gc.collect()
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
