@@ -5,10 +5,11 @@ into a parity bitmap, its odd sketch, and cut into bands.  Nodes that share a ba
 are candidates; the bits in which two sketches differ say how many samples differ,
 which rules out most; the full sets decide the rest.
 
-A band's nodes are first compared with the band's least node only, and linked nodes
-merged.  Pairs of one band are then compared only where they lie in different
-components, so that a large group of copies costs its size and not its square, and
-no link that could join two components is left out.
+A band's nodes are first compared with one node of the band only, its hub, and linked
+nodes merged.  Pairs of one band are then compared only where they lie in different
+components and where their differences from the hub meet as links' must, so that a
+large group of copies doesn't cost its square, and no link that could join two
+components is left out.
 """
 
 from __future__ import annotations
@@ -165,18 +166,23 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity(), id_column:
 
     packed = F.struct("node", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)]).alias("x")
     banded = nodes.select(packed, F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("x").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    in_band = stored(with_group(banded, hubs, "band", "members", total * (SAMPLES // like.rows)).select("band", "x", "hub", "members"), "bands")
-
-    shared = in_band.select("x.node").distinct()
-    wanted = nodes.select("node", "did", "dkey").join(shared, "node")
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    slots = total * (SAMPLES // like.rows)
+    together = stored(with_group(banded, shared, "band", "members", slots), "bands")
+    # A document that others were made from shares more bands with them than they share with each other.
+    known = together.groupBy(F.col("x.node").alias("_n")).agg(F.sum("members").alias("known"))
+    together = together.join(known, F.col("x.node") == F.col("_n")).drop("_n")
+    hubs = together.groupBy("band", "members").agg(F.max(F.struct("known", "x")).alias("hub"))
+    in_band = stored(with_group(together.select("band", "x"), hubs, "band", "members", slots).select("band", "x", F.col("hub.x").alias("hub"), F.col("hub.known").alias("known")), "bands")
+
+    wanted = nodes.select("node", "did", "dkey").join(in_band.select("x.node").distinct(), "node")
     wanted_texts = texts.join(wanted, ["did", "dkey"]).select("node", "text")
     sets = stored(wanted_texts.mapInArrow(_set_rows(like), "node binary, shingles array<long>").dropDuplicates(["node"]), "sets")
 
-    star = in_band.filter((F.col("x.node") != F.col("hub.node")) & _close(like, "x", "hub")).select(F.col("x.node").alias("a"), F.col("hub.node").alias("b")).distinct()
+    star = in_band.filter((F.col("x.node") != F.col("hub.node")) & _close(like, "x", "hub")).select(F.col("x.node").alias("a"), F.col("hub.node").alias("b"), "known").distinct()
     star = stored(star, "star")
-    links = stored(_confirmed(star.groupBy("a").agg(F.min("b").alias("b")), sets, like), "links")
-    for pairs_of in (lambda roots: _apart(star, roots), lambda roots: _across(in_band, roots, like)):
+    links = stored(_confirmed(star.groupBy("a").agg(F.max(F.struct("known", "b")).alias("top")).select("a", "top.b"), sets, like), "links")
+    for pairs_of in (lambda roots: _apart(star.select("a", "b"), roots), lambda roots: _across(in_band, roots, sets, like)):
         roots = components(links)
         more = stored(_confirmed(pairs_of(roots), sets, like), "links")
         links = links.unionByName(more)
@@ -200,13 +206,41 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return _rooted(_rooted(pairs, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb").select("a", "b")
 
 
-def _across(in_band: DataFrame, roots: DataFrame, like: Similarity) -> DataFrame:
-    """Pairs of a band in different components, without those with the hub, which were compared."""
+def _across(in_band: DataFrame, roots: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+    """Pairs of a band in different components that may be links; those with the hub were compared.
+
+    Each node is seen as its difference from the band's hub, the shingles that only
+    one of both has.  Let D be a difference's size, n a set's, and k = (100 - percent) /
+    (100 + percent); a link means that two sets differ in at most k (n1 + n2) shingles,
+    so that their differences share at least (D1 + D2 - k (n1 + n2)) / 2.  Of two nodes
+    in different components one isn't linked to the hub, so its D is over k (n1 + nh),
+    and the shared part is over (D2 + k (nh - n2)) / 2, more than a third of D2 for all
+    but low thresholds.  Hence the other node's difference without that many shingles,
+    less one, still meets the first one's.  The rarest are kept for that: what a copy
+    changed is mostly its own, which leaves few pairs of a large group.
+    """
     rows = _rooted(in_band.select("band", "x", F.col("x.node").alias("node"), F.col("hub.node").alias("hub")), roots, "node", "root")
     mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    rows = stored(rows.filter("node <> hub").join(mixed, "band").select("band", "x", "root"), "mixed")
-    other = rows.select("band", F.col("x").alias("y"), F.col("root").alias("other"))
-    return rows.join(other, (rows["band"] == other["band"]) & (F.col("root") < F.col("other")) & _close(like, "x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = rows.filter("node <> hub").join(mixed, "band").select("node", "hub", "x", "root").dropDuplicates(["node", "hub"])
+    own = sets.select("node", F.col("shingles").alias("sa"))
+    other = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sb"))
+    differs = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
+    rows = pairs.join(own, "node").join(other, "hub").select("node", "hub", "x", "root", differs.alias("differs"), F.size("sb").alias("nh"))
+    size = F.size("differs")
+    rest, both = F.lit(100 - like.percent), F.lit(100 + like.percent)
+    rows = rows.withColumn("far", size * both > rest * (F.col("x.n") + F.col("nh")))
+    least = F.floor((size * both + rest * (F.col("nh") - F.col("x.n"))) / (both * 2)) + 1
+    rows = stored(rows.withColumn("keep", F.greatest(size - least + 1, F.lit(0)).cast("int")), "differences")
+
+    parts = rows.select("node", "hub", "keep", F.explode("differs").alias("shingle"))
+    seen = parts.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("seen"))
+    # A shingle that one difference alone holds can't be shared; it counts as kept without being sent.
+    rare = parts.join(seen, ["hub", "shingle"]).groupBy("node", "hub", "keep").agg(F.array_sort(F.collect_list(F.struct("seen", "shingle"))).alias("parts"))
+    rare = rare.select("node", "hub", F.explode(F.filter(F.expr("slice(parts, 1, keep)"), lambda p: p["seen"] > 1)).alias("p")).select("node", "hub", F.col("p.shingle").alias("shingle"))
+    near = rare.join(rows.select("node", "hub", "x", "root"), ["node", "hub"])
+    far = rows.filter("far").select("hub", F.explode("differs").alias("shingle"), F.col("x").alias("y"), F.col("root").alias("other"))
+    met = near.join(far, ["hub", "shingle"]).filter((F.col("root") != F.col("other")) & _close(like, "x", "y"))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def kept_documents(docs: DataFrame, like: Similarity) -> DataFrame:

@@ -143,6 +143,12 @@ def test_near_duplicates(spark):
             for _ in range(rng.randint(0, 3)):
                 own[rng.randrange(len(own))] = rng.choice(words)
             rows.append((100 + 10 * g + j, " ".join(own)))
+    base = [rng.choice(words) for _ in range(120)]
+    for j in range(60):  # a large group around the threshold, most pairs of which aren't links
+        own = list(base)
+        for _ in range(rng.randint(0, 7)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        rows.append((300 + j, " ".join(own)))
     rows.append(rows[-1])
     sets = {i: shingles(t) for i, t in rows}
     parent = {i: i for i in sets}
