@@ -295,7 +295,7 @@ def recurring(texts: DataFrame, shape: Shape, resolver: Resolver, later_only: bo
     hot = stored(edges.groupBy("core").count().filter(F.col("count") > TOGETHER).select("core", F.ceil(F.col("count") / TOGETHER).cast("int").alias("parts")), "hot")
     salted = edges.join(F.broadcast(hot) if hot.count() <= MOST_HOT else hot, "core", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("did", "dkey"), F.col("parts")).cast("int"), F.lit(-1)))
     wanted = salted.groupBy("did", "dkey").agg(F.collect_set(F.struct("a", "b", "core", "salt")).alias("edges"))
-    fetched = texts.join(wanted, ["did", "dkey"]).select("did", "dkey", "text", "edges").mapInArrow(_fetch(shape), "core long, salt int, did long, dkey long, a int, phrase binary")
+    fetched = texts.join(wanted.hint("merge"), ["did", "dkey"]).select("did", "dkey", "text", "edges").mapInArrow(_fetch(shape), "core long, salt int, did long, dkey long, a int, phrase binary")
     parts = fetched.repartition("core", "salt").sortWithinPartitions("core", "salt", "did", "dkey", "a")
     solved = stored(parts.mapInArrow(_resolve(resolver, later_only), "open boolean, did long, dkey long, a int, b int, key1 long, key2 long"), "windows")
     by_window = Window.partitionBy("key1", "key2").orderBy("did", "dkey", "a")
@@ -315,7 +315,7 @@ def without_recurring(docs: DataFrame, shape: Shape, resolver: Resolver, later_o
     runs = recurring(texts, shape, resolver, later_only)
     per_doc = runs.groupBy("did", "dkey").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
     merged = per_doc.mapInArrow(_merge, "did long, dkey long, runs array<struct<a: int, b: int>>")
-    out = texts.join(stored(merged, "runs"), ["did", "dkey"], "left").select("did", "text", "runs").mapInArrow(_remove(shape), "did long, n_units long, n_removed long, n_spans long, kept binary")
+    out = texts.join(stored(merged, "runs").hint("merge"), ["did", "dkey"], "left").select("did", "text", "runs").mapInArrow(_remove(shape), "did long, n_units long, n_removed long, n_spans long, kept binary")
     return out.select(F.when(F.col("did") != NO_ID, F.col("did")).alias(id_column), "n_units", "n_removed", "n_spans", "kept")
 
 
