@@ -32,7 +32,7 @@ FEW_TRIGRAMS = 600
 WORD_BITS = 18
 #: A document stays with at least this quality and at most this toxicity.
 LEAST_QUALITY = 0.5
-MOST_TOXICITY = 0.5
+MOST_TOXICITY = 0.6
 
 _BAD, _GOOD, _NONE = 0, 1, 2
 
@@ -120,8 +120,8 @@ _PLACES = 3 ** np.arange(LABELLERS)
 #: What is expected of a labeller before anything is counted, as shares of its votes
 #: (bad, good, none) in bad and in good documents, and how much that weighs against the
 #: corpus.  Labellers rarely call a good document bad, and each sees some kinds of bad ones.
-EXPECTED = ((0.25, 0.45, 0.3), (0.00002, 0.85, 0.14998))
-EXPECTED_WEIGHT = 0.25
+EXPECTED = ((0.3, 0.6, 0.1), (0.00002, 0.85, 0.14998))
+EXPECTED_WEIGHT = 1.0
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +132,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tup
     independent given the class, and one that doesn't vote says nothing.  It starts from documents without a bad vote as good.
     """
     given = (patterns[:, None] // _PLACES) % 3
-    posterior = np.where((given == _BAD).any(1), 0.1, 0.95)
+    posterior = np.where((given == _BAD).any(1), 0.02, 0.98)
     onehot = given[:, :, None] == np.arange(3)
     expected = np.array(EXPECTED)[:, None, :] * EXPECTED_WEIGHT * counts.sum()
     rates = np.full((2, LABELLERS, 3), 1 / 3)
