@@ -113,7 +113,7 @@ class Network:
         total = np.tile(self.shift, (n, 1))
         for scale, o in zip(self.scale, _OFFSETS, strict=True):
             total += vectors[REACH + o : REACH + o + n] * scale
-        return vectors, np.tanh(total)
+        return vectors, total / (1 + np.abs(total))
 
     def _logs(self, hidden: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each target, and both softmax layers as probabilities."""
@@ -151,7 +151,7 @@ class Network:
         p[row, 0, safe // SIDE] -= 1
         p[row, 1, safe % SIDE] -= 1
         dz = p.reshape(-1, 2 * SIDE) * (real[:, None] / np.float32(count)).astype(np.float32)
-        dh = (dz @ self.out.T) * (1 - hidden**2)
+        dh = (dz @ self.out.T) * (1 - np.abs(hidden)) ** 2
         n = len(target)
         dv = np.zeros_like(vectors)
         dscale = np.empty_like(self.scale)
