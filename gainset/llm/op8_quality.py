@@ -290,23 +290,56 @@ class Model:
         return np.where(some, weak, 0), np.where(some, quality, 0), np.where(some, toxic, 0)
 
 
+def _quality_weights(weak: dict[int, float]):
+    """One task learns from the gathered sample, which is bounded, and gives the weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = [], []
+        for batch in batches:
+            x += [np.frombuffer(raw, np.float32) for raw in batch.column(1).to_pylist()]
+            y += [weak.get(p, 0.5) for p in batch.column(0).to_pylist()]
+        if x:
+            weights, bias = fit_dense(np.stack(x), np.array(y))
+            yield _weights(weights, bias)
+
+    return run
+
+
+def _toxic_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    y, sets = [], []
+    for batch in batches:
+        y += batch.column(0).to_pylist()
+        sets += [np.frombuffer(raw, np.int32) for raw in batch.column(1).to_pylist()]
+    if y:
+        first = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int64)
+        yield _weights(*fit_sparse(np.concatenate(sets), first, np.array(y, float), 1 << WORD_BITS))
+
+
+def _weights(weights: np.ndarray, bias: float) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([float(bias)])], names=["weights", "bias"])
+
+
+def _learned(sample: DataFrame, learn, size: int, bias: float) -> tuple[np.ndarray, float]:
+    """Weights from a bounded sample, learned on an executor; zeros from none."""
+    rows = sample.repartition(1).mapInArrow(learn, "weights binary, bias double").collect()
+    return (np.frombuffer(bytes(rows[0]["weights"]), np.float32), rows[0]["bias"]) if rows else (np.zeros(size, np.float32), bias)
+
+
 def fit(docs: DataFrame, labels: DataFrame | None) -> Model:
     """Labellers' accuracies from all documents; the scorers from bounded samples."""
-    counted = docs.select("text").mapInArrow(_patterns, "pattern int").groupBy("pattern").count().toPandas()
-    posterior, accuracies = estimate(counted["pattern"].to_numpy(np.int64), counted["count"].to_numpy(float))
-    weak = dict(zip(counted["pattern"].tolist(), posterior.tolist(), strict=True))
-    sample = _sampled(docs.select("text"), "text", int(counted["count"].sum()), SAMPLE).mapInArrow(_shares, "pattern int, shares binary").toArrow()
-    x = np.frombuffer(b"".join(sample["shares"].to_pylist()), np.float32).reshape(-1, (1 << TRIGRAM_BITS) + 7)
-    quality = fit_dense(x, np.array([weak.get(p, 0.5) for p in sample["pattern"].to_pylist()]))
-    toxic = np.zeros(1 << WORD_BITS), -50.0
+    counted = docs.select("text").mapInArrow(_patterns, "pattern int").groupBy("pattern").count().collect()
+    patterns, counts = (np.array([r[i] for r in counted], np.int64) for i in (0, 1))
+    posterior, accuracies = estimate(patterns, counts.astype(float))
+    weak = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
+    sample = _sampled(docs.select("text"), "text", int(counts.sum()), SAMPLE).mapInArrow(_shares, "pattern int, shares binary")
+    quality = _learned(sample, _quality_weights(weak), (1 << TRIGRAM_BITS) + 7, 0.0)
+    toxic = np.zeros(1 << WORD_BITS, np.float32), -50.0
     if labels is not None:
         known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
         some = _sampled(known, "doc_id", known.count(), TOXIC_SAMPLE)
-        sets = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic").limit(4 * TOXIC_SAMPLE).mapInArrow(_word_sets, "toxic int, features binary").toArrow()
-        features = sets["features"].to_pylist()
-        first = np.append(0, np.cumsum([len(f) // 4 for f in features])).astype(np.int64)
-        toxic = fit_sparse(np.frombuffer(b"".join(features), np.int32), first, np.array(sets["toxic"].to_pylist(), float), 1 << WORD_BITS)
-    return Model(weak, accuracies, (quality[0].astype(np.float32), quality[1]), (toxic[0].astype(np.float32), toxic[1]))
+        sets = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic").limit(4 * TOXIC_SAMPLE).mapInArrow(_word_sets, "toxic int, features binary")
+        toxic = _learned(sets, _toxic_weights, 1 << WORD_BITS, -50.0)
+    return Model(weak, accuracies, quality, toxic)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
