@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from gainset.scratch import stored
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Count and two sums of hashes, equal for equal sets of links and for others once in 2**64 times."""
+    one, other = F.xxhash64("u", "v"), F.xxhash64("v", "u", F.lit(1))
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(one.cast("decimal(20,0)")), F.bit_xor(other)).first())
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, root) for every node that has a link; root is the least node reachable.
 
@@ -16,6 +22,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     about the logarithm of the longest way.  Each round is a written table.
     """
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
+    mark = _fingerprint(edges)
     for _ in range(60):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -23,9 +30,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         following = stored(small, "links")
-        changed = following.join(edges, ["u", "v"], "left_anti").limit(1).count() + edges.join(following, ["u", "v"], "left_anti").limit(1).count()
-        edges = following
-        if not changed:
+        edges, before, mark = following, mark, _fingerprint(following)
+        if mark == before:
             break
     else:
         raise RuntimeError("components did not settle")
