@@ -117,35 +117,56 @@ LABELLERS = 9
 _PLACES = 3 ** np.arange(LABELLERS)
 
 
-#: What is expected of a labeller before anything is counted, as shares of its votes
-#: (bad, good, none) in bad and in good documents, and how much that weighs against the
-#: corpus.  Labellers rarely call a good document bad, and each sees some kinds of bad ones.
-EXPECTED = ((0.3, 0.6, 0.1), (0.00002, 0.85, 0.14998))
-EXPECTED_WEIGHT = 1.0
-
-
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+#: Good documents are of two kinds, with all the good votes there are and with fewer, as
+#: short texts; bad ones of one kind for each labeller.
+GOOD_KINDS = 2
+#: What is expected of a labeller before anything is counted, as shares of its votes (bad,
+#: good, none): in a good kind, in a bad kind, and in the bad kind that it knows.  Each counts
+#: as one document, whatever the corpus.
+EXPECTED_GOOD = (0.001, 0.4995, 0.4995)
+EXPECTED_BAD = (1 / 3, 1 / 3, 1 / 3)
+EXPECTED_KNOWN = (0.98, 0.01, 0.01)
+#: A labeller calls at most this share of a good kind bad.  Counts alone can't tell junk that
+#: one labeller sees from good documents on which it errs.
+MOST_FALSE = 0.002
+
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation over counted patterns of votes.
 
     Returns the posterior of good for each pattern, and for each labeller the
     probability of each vote in bad and in good documents.  Labellers are taken as
-    independent given the class, and one that doesn't vote says nothing.  It starts from documents without a bad vote as good.
+    independent given the kind of document, and no vote is an outcome like others.  It
+    starts from documents without a bad vote as good, others as of the kinds of those who gave one.
     """
     given = (patterns[:, None] // _PLACES) % 3
-    posterior = np.where((given == _BAD).any(1), 0.02, 0.98)
-    onehot = given[:, :, None] == np.arange(3)
-    expected = np.array(EXPECTED)[:, None, :] * EXPECTED_WEIGHT * counts.sum()
-    rates = np.full((2, LABELLERS, 3), 1 / 3)
+    onehot = (given[:, :, None] == np.arange(3)).astype(float)
+    bad, good = given == _BAD, (given == _GOOD).sum(1)
+    some = bad.any(1)
+    kinds = GOOD_KINDS + LABELLERS
+    share = np.zeros((len(patterns), kinds))
+    share[:, GOOD_KINDS:] = 0.98 * bad / np.maximum(bad.sum(1, keepdims=True), 1)
+    fewer = good < good[~some].max(initial=0)
+    share[np.arange(len(patterns)), fewer.astype(int)] = np.where(some, 0.02, 1.0)
+    expected = np.empty((kinds, LABELLERS, 3))
+    expected[:GOOD_KINDS], expected[GOOD_KINDS:] = EXPECTED_GOOD, EXPECTED_BAD
+    expected[GOOD_KINDS + np.arange(LABELLERS), np.arange(LABELLERS)] = EXPECTED_KNOWN
     for _ in range(rounds):
-        weight = np.stack([counts * (1 - posterior), counts * posterior])
-        rates = np.einsum("cp,plv->clv", weight, onehot) + expected + 1e-3
+        weight = counts[:, None] * share
+        rates = np.einsum("pk,plv->klv", weight, onehot) + expected
         rates /= rates.sum(2, keepdims=True)
-        prior = (weight.sum(1) + 1) / (weight.sum() + 2)
-        logs = np.log(prior)[:, None] + np.einsum("clv,plv->cp", np.log(rates[:, :, :_NONE]), onehot[:, :, :_NONE])
-        before, posterior = posterior, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
-        if np.abs(posterior - before).max(initial=0) < 1e-9:
+        false = np.minimum(rates[:GOOD_KINDS, :, _BAD], MOST_FALSE)
+        rates[:GOOD_KINDS, :, _GOOD:] *= ((1 - false) / (1 - rates[:GOOD_KINDS, :, _BAD]))[:, :, None]
+        rates[:GOOD_KINDS, :, _BAD] = false
+        prior = (weight.sum(0) + 1) / (weight.sum() + kinds)
+        logs = np.log(prior) + np.einsum("klv,plv->pk", np.log(rates), onehot)
+        before, share = share, np.exp(logs - logs.max(1, keepdims=True))
+        share /= share.sum(1, keepdims=True)
+        if np.abs(share - before).max(initial=0) < 1e-9:
             break
-    return posterior, rates
+    posterior = share[:, :GOOD_KINDS].sum(1)
+    classes = np.einsum("cp,plv->clv", np.stack([counts * (1 - posterior), counts * posterior]), onehot) + 1 / 3
+    return posterior, classes / classes.sum(2, keepdims=True)
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +304,8 @@ class Model:
         linear = np.bincount(doc, trigram_weights[at[inside]], n) / count + _bounded(measured) @ weights + self.quality[1]
         # Shares of a short text say little; there the labellers' verdict weighs more.
         prior = np.log((weak + 0.02) / (1.02 - weak))
-        quality = _logistic((count * linear + FEW_TRIGRAMS * prior) / (count + FEW_TRIGRAMS))
+        # A linear scorer misses kinds of junk that are rare in its sample, so it can only take from that verdict.
+        quality = np.minimum(_logistic((count * linear + FEW_TRIGRAMS * prior) / (count + FEW_TRIGRAMS)), weak)
         some = measured[:, 5] > 0
         doc, at = word_features(data, offsets)
         toxic = _logistic(np.bincount(doc, self.toxic[0][at], n) + self.toxic[1])

@@ -115,6 +115,20 @@ def test_labellers_find_the_bad_class():
     assert ((posterior[inverse] < 0.5) == bad).all()
 
 
+def test_one_kind_of_junk_at_a_third_of_all_rows():
+    marks = {"." * 9: 500, "......G..": 60, "....G.G..": 200, "....GGG..": 8000, "B.B.GGG..": 300, "B..BGGG..": 300, ".BB..GG..": 300, "....GGG.B": 200, "....BGG.B": 60}
+    patterns = np.array([[("BG.").index(v) for v in m] for m in marks]) @ op8_quality._PLACES
+    bad = np.array(["B" in m for m in marks])
+    for much in np.flatnonzero(bad):
+        counts = np.array(list(marks.values()), float)
+        counts[much] = counts.sum() / 2
+        for size in (0.1, 1, 100):
+            posterior, rates = op8_quality.estimate(patterns, counts * size)
+            assert ((posterior < 0.5) == bad).all(), (list(marks)[much], size, posterior)
+            share = np.array([counts[[i for i, m in enumerate(marks) if m[j] == "B"]].sum() for j in range(9)]) / counts[bad].sum()
+            assert np.abs(rates[0, :, 0] - share).max() < 0.05
+
+
 def test_quality(spark):
     rng = random.Random(3)
     words = ["the", "and", "of", "reading", "stone", "water", "under", "light"]
