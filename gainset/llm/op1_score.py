@@ -8,6 +8,10 @@ all its words, each given its surroundings.
 All documents teach: words are counted over the whole corpus, and every partition
 trains a copy of the network on all its words, from the same start; the copies are
 averaged piece by piece on the executors, weighted by their words.
+
+The network knows the most frequent words; the others share ids by hash.  A shared
+id's probability is split over its words by their counts in the corpus, so that each
+word of the corpus is scored as itself.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ RATE = 0.1
 #: Words predicted at once, and different words that a task counts before it hands them on.
 BATCH = 4_096
 COUNTED = 200_000
+#: Words whose counts every task holds (a few MB); those of all rarer ones are joined.
+COMMON = 200_000
 _OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 _PIECE = 4_096
 
@@ -46,8 +52,8 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def vocabulary(docs: DataFrame, text_column: str = "text") -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words of all documents, and the count of every id of the vocabulary."""
+def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """Rows (word, n) for every word of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -64,15 +70,33 @@ def vocabulary(docs: DataFrame, text_column: str = "text") -> tuple[list[bytes],
                     yield flush()
         yield flush()
 
-    counts = stored(docs.select(text_column).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    return stored(docs.select(text_column).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def vocabulary(docs: DataFrame, text_column: str = "text", counts: DataFrame | None = None) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words of all documents, and the count of every id of the vocabulary."""
+    counts = word_counts(docs, text_column) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(WORDS - RARE).collect()
     known = [bytes(r[0]) for r in top]
     seen = np.full(WORDS, 0.5)
     seen[: len(known)] = [r[1] for r in top]
-    seen[WORDS - RARE :] += ((counts.agg(F.sum("n")).first()[0] or 0) - sum(r[1] for r in top)) / RARE
+    seen[WORDS - RARE :] += _shared(counts, known)
     return known, seen
 
 
+def _shared(counts: DataFrame, known: list[bytes]) -> np.ndarray:
+    """The count of each shared id: of all words that aren't known."""
+    others = counts.join(F.broadcast(_table(counts, known)), "word", "left_anti")
+    out = np.zeros(RARE)
+    for r in others.groupBy(F.pmod(F.crc32("word"), F.lit(RARE)).alias("id")).agg(F.sum("n").alias("n")).collect():
+        out[r["id"]] = r["n"]
+    return out
+
+
+def _table(like: DataFrame, words: list[bytes]) -> DataFrame:
+    return like.sparkSession.createDataFrame([(bytearray(w),) for w in words], "word binary")
+
+
 @dataclass
 class Network:
     embed: np.ndarray
@@ -243,35 +267,68 @@ def train(docs: DataFrame, known: list[bytes], seen: np.ndarray, text_column: st
     return start.filled(np.concatenate([np.frombuffer(bytes(p["sums"])) / p["words"] for p in pieces]))
 
 
-def scored(docs: DataFrame, known: list[bytes], net: Network, text_column: str = "text") -> DataFrame:
+def scored(docs: DataFrame, known: list[bytes], net: Network, text_column: str = "text", counts: DataFrame | None = None, keep_text: bool = True) -> DataFrame:
     """The columns of ``docs`` with n_tokens, log_likelihood and mean_log_likelihood, replacing columns of those names.
 
     A text without words has 0 tokens, a log-likelihood of 0 and a null mean.
+    ``counts`` are the words of the corpus, those of ``docs`` if not given; they must
+    hold the words of ``docs``.  Of the words that aren't known, the most frequent go to
+    all tasks with their counts.  Other words are joined with theirs; those of a count of
+    one need not be, as its logarithm is 0.
     """
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+    from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
-    sent = docs.sparkSession.sparkContext.broadcast((known, net))
+    counts = word_counts(docs, text_column) if counts is None else counts
     names = ["n_tokens", "log_likelihood", "mean_log_likelihood"]
     docs = docs.drop(*names)
-    schema = StructType([*docs.schema.fields, *[StructField(n, LongType() if n == "n_tokens" else DoubleType()) for n in names]])
+    kept = [f for f in docs.schema.fields if keep_text or f.name != text_column]
+    others = counts.filter("n > 1").join(F.broadcast(_table(counts, known)), "word", "left_anti")
+    common = [(bytes(r[0]), r[1]) for r in others.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
+    sent = docs.sparkSession.sparkContext.broadcast((known, net, [w for w, _ in common], np.log([n for _, n in common]), np.log(np.maximum(_shared(counts, known), 1))))
+    rest = StructType([StructField("word", BinaryType()), StructField("times", LongType())])
+    schema = StructType([*kept, StructField("n_tokens", LongType()), StructField("log_likelihood", DoubleType()), StructField("_rest", ArrayType(rest))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net = sent.value
-        reader = Reader(known)
+        known, net, words, logs, shared = sent.value
+        reader, own_log, shared = Reader(known), dict(zip(words, logs.tolist(), strict=True)), shared.tolist()
         for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_column)).to_pylist()
             count, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for ids, rows in reader.batches(batch.column(batch.schema.get_field_index(text_column)).to_pylist(), BATCH):
-                logs, rows = net.score(ids, rows >= 0), rows[REACH:-REACH]
+            for ids, rows in reader.batches(texts, BATCH):
+                scores, rows = net.score(ids, rows >= 0), rows[REACH:-REACH]
                 own = rows >= 0
                 count += np.bincount(rows[own], minlength=batch.num_rows)
-                total += np.bincount(rows[own], logs[own], batch.num_rows)
-            mean = pa.array(total / np.maximum(count, 1), mask=count == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(count), pa.array(total), mean], names=[*batch.schema.names, *names])
-
-    return docs.mapInArrow(run, schema)
+                total += np.bincount(rows[own], scores[own], batch.num_rows)
+            rare, times, upto = [], [], [0]
+            for row, text in enumerate(texts):
+                some, joined = 0.0, Counter()
+                for w in words_of(text):
+                    if w not in reader.number:
+                        log = own_log.get(w)
+                        if log is None:
+                            joined[w] += 1
+                            log = 0.0
+                        some += log - shared[crc32(w) % RARE]
+                total[row] += some
+                rare += joined
+                times += joined.values()
+                upto.append(len(rare))
+            found = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "times"])
+            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(count), pa.array(total), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), found)], names=[f.name for f in schema.fields])
+
+    rows = docs.mapInArrow(run, schema)
+    if len(common) == COMMON:
+        rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "scores")
+        joined = rows.select("_row", F.explode("_rest").alias("r")).select("_row", "r.word", "r.times").join(others.hint("merge"), "word")
+        more = joined.groupBy("_row").agg(F.sum(F.col("times") * F.log("n")).alias("_more"))
+        rows = rows.join(more, "_row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("_more", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return rows.withColumn("mean_log_likelihood", mean).select(*[f.name for f in kept], *names)
 
 
 def op1_masked_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    known, seen = vocabulary(docs)
-    return scored(docs, known, train(docs, known, seen)).drop("text")
+    counts = word_counts(docs)
+    known, seen = vocabulary(docs, counts=counts)
+    return scored(docs, known, train(docs, known, seen), counts=counts, keep_text=False)

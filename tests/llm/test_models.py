@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 
 from gainset.llm import op1_score, op4_language, op6_bpe, op8_quality, op10_decontaminate
@@ -46,6 +47,23 @@ def test_masked_score(spark):
     assert op1_score.scored(none, known, op1_score.train(none, known, seen)).count() == 0
 
 
+@pytest.mark.parametrize("common", [200_000, 50])
+def test_probabilities_of_all_words_of_the_corpus_sum_to_one(spark, monkeypatch, common):
+    monkeypatch.setattr(op1_score, "COMMON", common)  # 50: most counts are joined
+    words = [f"w{i}" for i in range(6000)]
+    rows = [(i, w) for i, w in enumerate(words)] + [(10_000 + i, f"{w} {w}") for i, w in enumerate(words[:5000])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known, seen = op1_score.vocabulary(docs)
+    out = op1_score.scored(docs, known, op1_score.Network.start(seen)).collect()
+    assert len(out) == len(rows) and all(abs(r.mean_log_likelihood * r.n_tokens - r.log_likelihood) < 1e-6 for r in out)
+    alone = {r.text: r.log_likelihood for r in out if r.doc_id < 10_000}  # each between the same fillers
+    assert abs(sum(np.exp(x) for x in alone.values()) - 1) < 1e-3
+    bucket = lambda w: op1_score.crc32(w.encode()) % op1_score.RARE
+    twice = next(w for w in words[:5000] if w.encode() not in known)
+    once = next(w for w in words[5000:] if bucket(w) == bucket(twice))
+    assert abs(alone[twice] - alone[once] - np.log(3)) < 1e-6
+
+
 def test_score_of_a_long_text_is_that_of_its_stretches():
     reader = op1_score.Reader([b"a", b"b"])
     text = " ".join(random.Random(1).choice("ab") for _ in range(9 * op1_score.BATCH))
