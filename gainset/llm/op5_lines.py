@@ -4,6 +4,10 @@ Lines are hashed, and the least hash of each three neighbouring lines is a
 fingerprint, so that any run of three lines or more that documents share holds a
 fingerprint of both.  Positions are joined by fingerprint and extended to both
 sides; of a repeated run the later ones go.
+
+``op5_line_dedup`` does that, as its SQL says.  ``op5_passage_dedup`` also takes
+shorter runs, single lines and pairs, of ten words or more, so that a passage is found by
+the length of its text too.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from gainset.llm.tables import table
 
 #: Lines in the shortest run that is removed, which is also the winnowing window.
 RUN = 3
+#: Words in the shortest run of fewer lines that ``op5_passage_dedup`` removes.
+WORDS = 10
 
 
 def remove_later_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -31,11 +37,24 @@ def remove_later_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     return without_recurring(docs, Shape("line", run, run, 1), Lines(run), later_only=True)
 
 
-def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_later_runs(table(spark, sf_dir, "documents"))
+def remove_later_passages(docs: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
+    """As ``remove_later_runs``, and also without the lines of shorter runs of ``words`` words or more that start earlier."""
+    also = tuple(Shape("line", n, 1, n, least_words=words) for n in range(1, run))
+    return without_recurring(docs, Shape("line", run, run, 1), Lines(run), later_only=True, also=also)
+
+
+def _summed(out: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_lines"), "n_removed", F.col("n_spans").alias("n_runs"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summed(remove_later_runs(table(spark, sf_dir, "documents")))
+
+
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _summed(remove_later_passages(table(spark, sf_dir, "documents")))
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 n AS (SELECT doc_id, i, l[i] || chr(10) || l[i + 1] || chr(10) || l[i + 2] AS s FROM d, unnest(range(1, len(l) - 1)) t(i)),

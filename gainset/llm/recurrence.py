@@ -57,8 +57,12 @@ class Shape:
     length: int
     spread: int
     gram: int
+    #: Words in a window of lines at least; others don't count.
+    least_words: int = 0
 
     def __post_init__(self) -> None:
+        if self.least_words and (self.unit != "line" or self.spread > 1):
+            raise ValueError("only single windows of lines are chosen by their words")
         if self.length < 1 or self.spread < 1 or self.gram < 1 or self.spread + self.gram - 1 > self.length:
             raise ValueError("a window must hold all the k-grams that choose its anchor")
 
@@ -166,6 +170,11 @@ def _phrases(shape: Shape, later_only: bool) -> Callable[[Iterator[pa.RecordBatc
                 if shape.unit != "byte":
                     symbols = arrays.Spans(symbols).hash(starts, ends) | np.uint64(1)
                 doc, a, b, core, full = anchors(symbols, first, shape)
+                if shape.least_words:
+                    begin = arrays.words(data, offsets)[0]
+                    low = first[doc] + a
+                    many = np.searchsorted(begin, ends[low + shape.length - 1]) - np.searchsorted(begin, starts[low]) >= shape.least_words
+                    doc, a, b, core, full = (x[many] for x in (doc, a, b, core, full))
                 held.append((ids[0][rows][doc], ids[1][rows][doc], a, b, core, full))
                 count += len(a)
                 if count >= BLOCK_ANCHORS:
@@ -273,8 +282,11 @@ def _columns(held: list[pa.RecordBatch]) -> tuple:
     return *(c[fresh] for c in columns), whole.column(5).filter(pa.array(fresh)).to_pylist()
 
 
-def recurring(texts: DataFrame, shape: Shape, resolver: Resolver, later_only: bool) -> DataFrame:
-    """First and last window of runs that recur in the rows of ``keyed``, as rows (did, dkey, a, b)."""
+def recurring(texts: DataFrame, shape: Shape, resolver: Resolver | None, later_only: bool) -> DataFrame:
+    """First and last window of runs that recur in the rows of ``keyed``, as rows (did, dkey, a, b).
+
+    With a spread of one each window is a phrase of its own, so that nothing is left to resolve.
+    """
     rows = texts.mapInArrow(_phrases(shape, later_only), _ROWS)
     of_core, place = Window.partitionBy("part"), F.struct("did", "dkey", "a")
     of_phrase = Window.partitionBy("part", "full").orderBy("did", "dkey", "a")
@@ -290,6 +302,8 @@ def recurring(texts: DataFrame, shape: Shape, resolver: Resolver, later_only: bo
     edge = (F.col("kind") == _EDGE) | ((F.col("kind") == _SINGLE) & F.col("many") & (place == F.col("first")))
     core = F.when(F.col("kind") == _EDGE, F.col("core")).otherwise(F.col("part"))
     marks = stored(rows.select(flagged.alias("flagged"), edge.alias("edge"), core.alias("core"), "did", "dkey", "a", "b").filter("flagged or edge"), "marks")
+    if shape.spread == 1:
+        return marks.filter("flagged").select("did", "dkey", "a", "b")
 
     edges = marks.filter("edge")
     hot = stored(edges.groupBy("core").count().filter(F.col("count") > TOGETHER).select("core", F.ceil(F.col("count") / TOGETHER).cast("int").alias("parts")), "hot")
@@ -305,14 +319,17 @@ def recurring(texts: DataFrame, shape: Shape, resolver: Resolver, later_only: bo
     return marks.filter("flagged").select(spans).unionByName(solved.filter("not open").select(spans)).unionByName(opened.select(spans))
 
 
-def without_recurring(docs: DataFrame, shape: Shape, resolver: Resolver, later_only: bool, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def without_recurring(docs: DataFrame, shape: Shape, resolver: Resolver, later_only: bool, id_column: str = "doc_id", text_column: str = "text", also: tuple[Shape, ...] = ()) -> DataFrame:
     """One row per document: its id, n_units, n_removed, n_spans and ``kept``.
 
-    Removes every unit that a recurring window covers.  ``kept`` is binary: the
-    remaining bytes, words joined by one space, or lines joined by line feeds.
+    Removes every unit that a recurring window covers, of ``shape`` or of a shape of
+    ``also``, which have a spread of one.  ``kept`` is binary: the remaining bytes,
+    words joined by one space, or lines joined by line feeds.
     """
     texts = keyed(docs, id_column, text_column)
     runs = recurring(texts, shape, resolver, later_only)
+    for other in also:  # as windows of the first shape's length, or short of it by the difference
+        runs = runs.unionByName(recurring(texts, other, None, later_only).withColumn("b", F.col("b") + (other.length - shape.length)))
     per_doc = runs.groupBy("did", "dkey").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
     merged = per_doc.mapInArrow(_merge, "did long, dkey long, runs array<struct<a: int, b: int>>")
     out = texts.join(stored(merged, "runs").hint("merge"), ["did", "dkey"], "left").select("did", "text", "runs").mapInArrow(_remove(shape), "did long, n_units long, n_removed long, n_spans long, kept binary")

@@ -13,6 +13,7 @@ def queries() -> dict:
         "op3_minhash_neardedup": op3_minhash.op3_minhash_neardedup,
         "op4_language_id": op4_language.op4_language_id,
         "op5_line_dedup": op5_lines.op5_line_dedup,
+        "op5_passage_dedup": op5_lines.op5_passage_dedup,
         "op6_bpe": op6_bpe.op6_bpe,
         "op7_suffix_dedup": op7_suffix.op7_suffix_dedup,
         "op8_quality": op8_quality.op8_quality,

@@ -81,6 +81,34 @@ def test_recurring_windows(spark, monkeypatch, name, tight):
     check(rows, operator(docs_of(spark, rows).repartition(3)), split, join, length, later)
 
 
+def test_long_lines_and_pairs_go_as_well(spark):
+    rng = random.Random(4)
+    pool = [" ".join(rng.choice("ab") for _ in range(n)) for n in (1, 1, 2, 3, 4, 4, 5, 6, 8) for _ in range(3)]
+    rows = [(1, None), (2, ""), (3, pool[-1]), (4, pool[-1]), (5, f"{pool[9]}\n{pool[12]}"), (6, f"{pool[9]}\n{pool[12]}"), (7, "x"), (8, "x")]
+    rows += [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 7)))) for i in range(10, 40)] + [(None, pool[-2]), (None, "u v"), (9, pool[-2]), (9, pool[-2])]
+    docs = sorted({(-(1 << 63) if i is None else i, t or "") for i, t in rows})
+    lines = {d: d[1].split("\n") for d in docs}
+    gone, places = {d: [False] * len(lines[d]) for d in docs}, defaultdict(list)
+    for d in docs:
+        for n in (1, 2, 3):
+            for i in range(len(lines[d]) - n + 1):
+                window = tuple(lines[d][i : i + n])
+                if n == 3 or sum(len(x.split()) for x in window) >= 6:
+                    places[window].append((d, i))
+    for window, found in places.items():
+        for d, i in found[1:]:
+            gone[d][i : i + len(window)] = [True] * len(window)
+    want = []
+    for i, t in rows:
+        d = (-(1 << 63) if i is None else i, t or "")
+        g = gone[d]
+        want.append((str(i), len(g), sum(g), sum(1 for k in range(len(g)) if g[k] and (k == 0 or not g[k - 1])), "\n".join(x for x, out in zip(lines[d], g, strict=True) if not out).encode()))
+    got = [(str(r.doc_id), r.n_units, r.n_removed, r.n_spans, bytes(r.kept)) for r in op5_lines.remove_later_passages(docs_of(spark, rows).repartition(3), words=6).collect()]
+    assert sorted(got) == sorted(want)
+    four = {r.doc_id: r for r in op5_lines.remove_later_passages(docs_of(spark, rows), words=6).collect()}[4]
+    assert four.n_removed == 1 and op5_lines.remove_later_passages(docs_of(spark, [])).count() == 0
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_no_rows(spark, name):
     assert OPERATORS[name][1](docs_of(spark, [])).count() == 0
