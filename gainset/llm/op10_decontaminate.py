@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gainset.llm.tables import NO_ID, keyed, table, with_texts
+from gainset.llm.tables import NO_ID, keyed, table, with_texts, without
 
 #: Offsets of the words that each seed keeps.  Together they hit every stretch of 10
 #: to 20 words with at most 20 % of the words replaced, and every run of four words.
@@ -101,9 +101,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no item, with the columns they came with."""
-    bad = contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    """The documents that hold no item, with the columns they came with; others of the same id or without one stay."""
+    return without(docs, found_items(keyed(docs, "doc_id", "text"), items))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

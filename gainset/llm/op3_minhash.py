@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gainset.llm import arrays
 from gainset.llm.components import components
-from gainset.llm.tables import keyed, table, with_group
+from gainset.llm.tables import NO_ID, keyed, keys, table, with_group, without
 from gainset.scratch import stored
 
 SAMPLES = 80
@@ -156,13 +156,21 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity(), id_column:
     Equal sets are one node, so equal texts cost nothing further.  The component is
     named by its smallest id; null ids count as larger than any other for that.
     """
+    id_or_none = F.when(F.col("did") != NO_ID, F.col("did"))
+    out = _grouped(docs, like, id_column, text_column)
+    out = out.select(id_or_none.alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("first.did") != NO_ID, F.col("first.did")).alias("component_id"))
+    return out.withColumn("kept", F.col(id_column).eqNullSafe(F.col("component_id")))
+
+
+def _grouped(docs: DataFrame, like: Similarity, id_column: str, text_column: str) -> DataFrame:
+    """Rows (did, dkey, n, first) of the rows of ``keyed``: first names the one document that stands for the component."""
     texts = keyed(docs, id_column, text_column)
     rows = stored(texts.mapInArrow(_sketches(like), "did long, dkey long, n long, node binary, bands array<long>, sketch array<long>"), "sketches")
     total = rows.count()
-    id_or_none = F.when(F.col("did") != -(1 << 63), F.col("did"))
+    first = F.struct((F.col("did") == NO_ID).alias("none"), "did", "dkey").alias("first")
     filled = rows.filter(F.col("node").isNotNull())
-    nodes = filled.groupBy("node").agg(F.min(id_or_none).alias("low"), F.count(F.lit(1)).alias("size"), F.min(F.struct("did", "dkey", "n", "bands", "sketch")).alias("one"))
-    nodes = stored(nodes.select("node", "low", "size", "one.*"), "nodes")
+    nodes = filled.groupBy("node").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size"), F.min(F.struct("did", "dkey", "n", "bands", "sketch")).alias("one"))
+    nodes = stored(nodes.select("node", "first", "size", "one.*"), "nodes")
 
     packed = F.struct("node", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)]).alias("x")
     banded = nodes.select(packed, F.explode("bands").alias("band"))
@@ -188,13 +196,11 @@ def near_duplicates(docs: DataFrame, like: Similarity = Similarity(), id_column:
         links = links.unionByName(more)
     roots = components(links)
 
-    named = nodes.select("node", "low", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id", "size")
-    out = with_group(filled.select("did", "n", "node"), named, "node", "size", total).select("did", "n", "component_id")
-    empty = rows.filter(F.col("node").isNull()).select("did", "n", id_or_none.alias("component_id"))
-    out = out.unionByName(empty).select(id_or_none.alias(id_column), F.col("n").alias("n_shingles"), "component_id")
-    return out.withColumn("kept", F.col(id_column).eqNullSafe(F.col("component_id")))
+    named = nodes.select("node", "first", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("first").alias("first"))
+    named = named.drop("first").join(least, "root").select("node", "first", "size")
+    out = with_group(filled.select("did", "dkey", "n", "node"), named, "node", "size", total).select("did", "dkey", "n", "first")
+    return out.unionByName(rows.filter(F.col("node").isNull()).select("did", "dkey", "n", first))
 
 
 def _rooted(pairs: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
@@ -244,9 +250,21 @@ def _across(in_band: DataFrame, roots: DataFrame, sets: DataFrame, like: Similar
 
 
 def kept_documents(docs: DataFrame, like: Similarity) -> DataFrame:
-    """One document of each component and every document without shingles, with the columns they came with."""
-    dropped = near_duplicates(docs, like).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_id"]), "left_anti")
+    """One document of each component and every document without shingles, with the columns they came with.
+
+    The document with the smallest id stays, one without an id only where none has one;
+    of texts with the same id, or without, the one with the smallest hash.  Of rows that
+    repeat both id and text one stays.
+    """
+    rows = stored(_grouped(docs, like, "doc_id", "text"), "groups")
+    kept = without(docs, rows.filter((F.col("did") != F.col("first.did")) | (F.col("dkey") != F.col("first.dkey"))))
+    again = stored(rows.filter("n > 0").groupBy("did", "dkey").count().filter("count > 1").select("did", "dkey"), "again")
+    if not again.count():
+        return kept
+    did, dkey = keys(kept, "doc_id", "text")
+    once = without(kept, again)
+    repeated = kept.withColumns({"_d": did, "_k": dkey}).join(again, (F.col("_d") == again["did"]) & (F.col("_k") == again["dkey"]), "left_semi")
+    return once.unionByName(repeated.dropDuplicates(["_d", "_k"]).drop("_d", "_k"))
 
 
 def op3_minhash_neardedup(spark: SparkSession, sf_dir: str) -> DataFrame:

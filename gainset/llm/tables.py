@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gainset.scratch import stored
@@ -41,13 +41,24 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: i
     return hot_rows.unionByName(others)
 
 
+def keys(docs: DataFrame, id_column: str, text_column: str) -> tuple[Column, Column]:
+    """did and dkey of ``docs``; dkey tells texts of one id apart and is 0 where every id has one row."""
+    did = F.coalesce(docs[id_column].cast("long"), F.lit(NO_ID))
+    unique = not docs.select(did.alias("did")).groupBy("did").count().filter("count > 1").limit(1).count()
+    return did, F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce(docs[text_column], F.lit("")))
+
+
 def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Rows (did, dkey, text); dkey tells texts of one id apart and is 0 where every id has one row."""
-    ids = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("did"))
-    unique = not ids.groupBy("did").count().filter("count > 1").limit(1).count()
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    key = F.lit(0).cast("long") if unique else F.xxhash64(text)
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("did"), key.alias("dkey"), text.alias("text"))
+    """Rows (did, dkey, text) of ``docs``, by ``keys``."""
+    did, dkey = keys(docs, id_column, text_column)
+    return docs.select(did.alias("did"), dkey.alias("dkey"), F.coalesce(docs[text_column], F.lit("")).alias("text"))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that aren't in ``dropped``, rows (did, dkey) of the same documents' ``keyed``."""
+    did, dkey = keys(docs, "doc_id", "text")
+    dropped = dropped.select(F.col("did").alias("_did"), F.col("dkey").alias("_dkey")).distinct()
+    return docs.join(dropped, (did == dropped["_did"]) & (dkey == dropped["_dkey"]), "left_anti")
 
 
 def with_texts(texts: DataFrame, known: DataFrame, items: str, item_bytes: int, how: str) -> DataFrame:

@@ -200,6 +200,19 @@ def test_near_duplicates(spark):
     assert op3_minhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_stage_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    texts = [[rng.choice(words) for _ in range(60)] for _ in range(7)]
+    near = [" ".join([*t[:59], "changed"]) for t in texts]
+    a, b, c, d, e, f, g = [" ".join(t) for t in texts]
+    rows = [(1, a), (None, near[0]), (None, b), (None, c), (None, near[2]), (5, d), (5, near[3]), (5, e), (8, f), (None, f), (None, g), (None, g), (None, None), (None, None)]
+    kept = sorted((str(r.doc_id), str(r.text)) for r in op3_minhash.kept_documents(docs_of(spark, rows), op3_minhash.Similarity(5, 80)).collect())
+    assert sum(1 for _, t in kept if t in (c, near[2])) == 1 and sum(1 for _, t in kept if t in (d, near[3])) == 1
+    others = sorted(x for x in kept if x[1] not in (c, near[2], d, near[3]))
+    assert others == sorted([("1", a), ("None", b), ("5", e), ("8", f), ("None", g), ("None", "None"), ("None", "None")])
+
+
 def test_odd_sketch_counts_differences():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 62, (1, op3_minhash.SAMPLES), dtype=np.uint64)

@@ -163,6 +163,15 @@ def test_quality(spark):
     assert op8_quality.kept_documents(docs.limit(0), labels).count() == 0
 
 
+def test_decontamination_tells_texts_of_one_id_apart(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(None, f"x {item}"), (None, "clean"), (None, None), (4, item), (4, "clean too"), (5, "clean")]
+    docs = spark.createDataFrame([(i, t, "v") for i, t in rows], "doc_id long, text string, did string")
+    kept = op10_decontaminate.clean_documents(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(60)]
