@@ -6,6 +6,7 @@ from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gainset.llm import op2_exact, op3_minhash, op6_bpe, op8_quality, op10_decontaminate
 from gainset.llm.tables import table
@@ -33,8 +34,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ``token_ids``, little-endian unsigned 32-bit integers."""
-    return op6_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Adds ``token_ids``, little-endian unsigned 32-bit integers, ``decoded_sha256``, the digest of what they decode to, and whether that is the text, ``round_trip``."""
+    out = op6_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return out.withColumn("decoded_sha256", F.sha2("decoded", 256)).withColumn("round_trip", same).drop("decoded")
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminate", decontaminate), ("encode", encode)]

@@ -1,5 +1,6 @@
 """The pipeline on planted cases, against brute force for each stage's rule."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -49,3 +50,10 @@ def test_stages_on_planted_cases(spark, tmp_path):
         other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=parse_ranks(f.read()), special_tokens={})
     for row in corpus_pipeline.run(spark, str(tmp_path)).collect():
         assert row.doc_id in kept["decontaminate"] and np.frombuffer(row.token_ids, "<u4").tolist() == other.encode_ordinary(row.text)
+
+
+def test_the_last_stage_decodes(spark):
+    texts = {1: "hi there, 日本 🎉\n", 2: "", 3: None}
+    rows = corpus_pipeline.encode(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "").collect()
+    assert [r.decoded_sha256 for r in rows] == [hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest() for r in rows]
+    assert len(rows) == 3 and all(r.round_trip for r in rows) and all(bytes(r.token_ids) for r in rows if r.text)
