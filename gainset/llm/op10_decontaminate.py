@@ -69,10 +69,10 @@ def _best() -> Column:
 def found_items(texts: DataFrame, items: DataFrame) -> DataFrame:
     """Rows (did, dkey, item_id, agree, needed) of items found in the rows of ``keyed``, each pair once.
 
-    A null text has no words, a null id is an id like others.  Items of under five
+    A null text has no words, a null id is an id like others; that of an item comes out as ``NO_ID``.  Items of under five
     words are too short to be found; repeated items each count.
     """
-    items = items.select("item_id", _word_hashes(F.col("text")).alias("item_words")).filter(F.size("item_words") >= 5)
+    items = items.select(F.coalesce(F.col("item_id"), F.lit(NO_ID)).alias("item_id"), _word_hashes(F.col("text")).alias("item_words")).filter(F.size("item_words") >= 5)
     seeds = _seeded(items, "item_words", "item_at", "seed")
     few = seeds.count() <= MOST_BROADCAST
     docs = texts.select("did", "dkey", _word_hashes(F.col("text")).alias("words"))
@@ -97,6 +97,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     per_doc = found_items(texts, items).groupBy("did", "dkey").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
     out = texts.select("did", "dkey").join(per_doc, ["did", "dkey"], "left")
     ids = F.coalesce("item_ids", F.array().cast("array<bigint>"))
+    ids = F.transform(ids, lambda i: F.when(i != NO_ID, i))
     return out.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), (F.size(ids) > 0).alias("contaminated"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
 
 
@@ -107,7 +108,7 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "contaminated", "n_items", F.array_join(F.col("item_ids").cast("array<string>"), ",").alias("item_ids"))
+    return out.select("doc_id", "contaminated", "n_items", F.array_join(F.col("item_ids").cast("array<string>"), ",", "null").alias("item_ids"))
 
 
 ORACLE = r"""

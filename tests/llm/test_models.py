@@ -172,6 +172,15 @@ def test_decontamination_tells_texts_of_one_id_apart(spark):
     assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
 
 
+def test_items_without_an_id_are_found(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"x {item}"), (2, "clean words only, five of them")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (3, item)], "item_id long, text string")
+    found = {r.doc_id: (r.contaminated, r.n_items, r.item_ids) for r in op10_decontaminate.contamination(docs, bench).collect()}
+    assert found == {1: (True, 2, [None, 3]), 2: (False, 0, [])}
+    assert [r.doc_id for r in op10_decontaminate.clean_documents(docs, bench.filter("item_id is null")).collect()] == [2]
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(60)]
