@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gainset.llm.tables import with_group
 from gainset.scratch import stored
 
 
@@ -19,21 +20,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star steps alternate: each hangs nodes on the least of
     their neighbours, which keeps the number of links from growing and ends after
-    about the logarithm of the longest way.  Each round is a written table.
+    about the logarithm of the longest way.  Each round is a written table, and nodes
+    of very many links are split off, so that no task gathers those of one.
     """
     edges = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
     mark = _fingerprint(edges)
-    for _ in range(60):
+    while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("links")).select("u", F.least("u", "m").alias("m"), "links")
+        large = with_group(both.filter("v > u"), least, "u", "links", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         following = stored(small, "links")
         edges, before, mark = following, mark, _fingerprint(following)
         if mark == before:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select("v").distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))

@@ -5,11 +5,13 @@ into a parity bitmap, its odd sketch, and cut into bands.  Nodes that share a ba
 are candidates; the bits in which two sketches differ say how many samples differ,
 which rules out most; the full sets decide the rest.
 
-A band's nodes are first compared with one node of the band only, its hub, and linked
-nodes merged.  Pairs of one band are then compared only where they lie in different
-components and where their differences from the hub meet as links' must, so that a
-large group of copies doesn't cost its square, and no link that could join two
-components is left out.
+A group of copies must not cost its square.  So the nodes of a bucket, at first a band,
+are compared with one of them only, its hub, and linked nodes merged.  What is left
+between the components of a bucket is compared directly in buckets of up to ``DIRECT``
+nodes, in the join's condition, so that hardly any pair but a link comes out.  Larger
+buckets are dealt into finer ones by the shingles in which their nodes differ from the
+hub, each with a hub of its own in the next round, until no bucket holds two components.
+No link that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -25,11 +27,14 @@ from pyspark.sql import functions as F
 
 from gainset.llm import arrays
 from gainset.llm.components import components
-from gainset.llm.tables import NO_ID, keyed, keys, table, with_group, without
+from gainset.llm.tables import NO_ID, keyed, keys, sized, table, with_group, without
 from gainset.scratch import stored
 
 SAMPLES = 80
 SKETCH_WORDS = 4
+#: Nodes of a bucket that are compared with each other; at most so many looks at two
+#: sketches for each row, which cost about as much as its samples.
+DIRECT = 2_048
 
 _rng = np.random.default_rng(1729)
 _SEEDS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -92,6 +97,14 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64)
 
 
+def parity(sets: np.ndarray, doc: np.ndarray, rows: int) -> np.ndarray:
+    """Parity bitmaps of whole sets; the XOR of two has at most as many bits as the sets differ in members."""
+    bits = 64 * SKETCH_WORDS
+    at = (arrays.mix(sets) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(doc * bits + at, minlength=rows * bits).reshape(-1, SKETCH_WORDS, 64) & 1
+    return (odd.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64)
+
+
 def _sketches(like: Similarity):
     rows = like.rows
     bands = SAMPLES // rows
@@ -103,13 +116,14 @@ def _sketches(like: Similarity):
                 sizes = np.diff(first)
                 some = np.flatnonzero(sizes)
                 n = len(sizes)
-                keys, band, sketch = np.zeros((n, 2), np.uint64), np.zeros((n, bands), np.uint64), np.zeros((n, SKETCH_WORDS), np.uint64)
+                keys, band, sketch = np.zeros((n, 2), np.uint64), np.zeros((n, bands), np.uint64), np.zeros((n, 2 * SKETCH_WORDS), np.uint64)
                 if len(some):
                     starts = np.append(first[some], len(sets))
                     for i in range(2):
                         keys[some, i] = arrays.mix(np.add.reduceat(arrays.mix(sets + np.uint64(i)), starts[:-1]) + sizes[some].astype(np.uint64))
                     samples = _samples(sets, starts)
-                    sketch[some] = odd_sketch(samples)
+                    sketch[some, :SKETCH_WORDS] = odd_sketch(samples)
+                    sketch[:, SKETCH_WORDS:] = parity(sets, np.repeat(np.arange(n), sizes), n)
                     for b in range(bands):
                         acc = np.full(len(some), b + 1, np.uint64)
                         for r in range(rows):
@@ -135,14 +149,18 @@ def _set_rows(like: Similarity):
 
 
 def _close(like: Similarity, a: str, b: str) -> Column:
-    """What the sizes and the sketches of a pair allow."""
+    """What the sizes and the sketches of a pair allow.
+
+    The samples' sketch misses a link once in a million times, the sets' parity never.
+    """
     x, y = F.col(a), F.col(b)
-    bits = sum((F.bit_count(x[f"s{i}"].bitwiseXOR(y[f"s{i}"])) for i in range(1, SKETCH_WORDS)), F.bit_count(x["s0"].bitwiseXOR(y["s0"])))
-    return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * like.percent) & (bits <= like.most_bits)
+    samples, whole = (sum((F.bit_count(x[f"{p}{i}"].bitwiseXOR(y[f"{p}{i}"])) for i in range(1, SKETCH_WORDS)), F.bit_count(x[f"{p}0"].bitwiseXOR(y[f"{p}0"]))) for p in "sp")
+    sizes = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * like.percent
+    return sizes & (whole * (100 + like.percent) <= (x["n"] + y["n"]) * (100 - like.percent)) & (samples <= like.most_bits)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough; a hub's pairs meet in a plain join, which Spark can split."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -172,29 +190,19 @@ def _grouped(docs: DataFrame, like: Similarity, id_column: str, text_column: str
     nodes = filled.groupBy("node").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size"), F.min(F.struct("did", "dkey", "n", "bands", "sketch")).alias("one"))
     nodes = stored(nodes.select("node", "first", "size", "one.*"), "nodes")
 
-    packed = F.struct("node", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)]).alias("x")
-    banded = nodes.select(packed, F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    packed = F.struct("node", "n", *[F.col("sketch")[i].alias(f"{'sp'[i // SKETCH_WORDS]}{i % SKETCH_WORDS}") for i in range(2 * SKETCH_WORDS)]).alias("x")
+    banded = nodes.select(packed, F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     slots = total * (SAMPLES // like.rows)
-    together = stored(with_group(banded, shared, "band", "members", slots), "bands")
+    together = stored(with_group(banded, shared, "key", "members", slots), "bands")
     # A document that others were made from shares more bands with them than they share with each other.
     known = together.groupBy(F.col("x.node").alias("_n")).agg(F.sum("members").alias("known"))
-    together = together.join(known, F.col("x.node") == F.col("_n")).drop("_n")
-    hubs = together.groupBy("band", "members").agg(F.max(F.struct("known", "x")).alias("hub"))
-    in_band = stored(with_group(together.select("band", "x"), hubs, "band", "members", slots).select("band", "x", F.col("hub.x").alias("hub"), F.col("hub.known").alias("known")), "bands")
+    together = together.join(known, F.col("x.node") == F.col("_n")).select("key", "x", "known")
 
-    wanted = nodes.select("node", "did", "dkey").join(in_band.select("x.node").distinct(), "node")
-    wanted_texts = texts.join(wanted, ["did", "dkey"]).select("node", "text")
+    wanted = stored(nodes.select("node", "did", "dkey").join(known.select(F.col("_n").alias("node")), "node"), "wanted")
+    wanted_texts = texts.join(sized(wanted, 128), ["did", "dkey"]).select("node", "text")
     sets = stored(wanted_texts.mapInArrow(_set_rows(like), "node binary, shingles array<long>").dropDuplicates(["node"]), "sets")
-
-    star = in_band.filter((F.col("x.node") != F.col("hub.node")) & _close(like, "x", "hub")).select(F.col("x.node").alias("a"), F.col("hub.node").alias("b"), "known").distinct()
-    star = stored(star, "star")
-    links = stored(_confirmed(star.groupBy("a").agg(F.max(F.struct("known", "b")).alias("top")).select("a", "top.b"), sets, like), "links")
-    for pairs_of in (lambda roots: _apart(star.select("a", "b"), roots), lambda roots: _across(in_band, roots, sets, like)):
-        roots = components(links)
-        more = stored(_confirmed(pairs_of(roots), sets, like), "links")
-        links = links.unionByName(more)
-    roots = components(links)
+    roots = _roots(together, sets, slots, like)
 
     named = nodes.select("node", "first", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("first"))
@@ -203,6 +211,63 @@ def _grouped(docs: DataFrame, like: Similarity, id_column: str, text_column: str
     return out.unionByName(rows.filter(F.col("node").isNull()).select("did", "dkey", "n", first))
 
 
+def _roots(members: DataFrame, sets: DataFrame, total: int, like: Similarity) -> DataFrame:
+    """Components, rows (node, root), of the links within buckets (key, x, known) of fewer than ``total`` rows."""
+    links = roots = None
+    while True:
+        hubs = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("known", "x")).alias("hub"))
+        seen = with_group(members, hubs, "key", "size", total).select("key", "size", "x", "known", F.col("hub.x").alias("hub"), F.col("hub.known").alias("hub_known"))
+        seen = stored(seen.filter("x.node <> hub.node"), "buckets")
+        star = stored(seen.filter(_close(like, "x", "hub")).select(F.col("x.node").alias("a"), F.col("hub.node").alias("b"), "hub_known").distinct(), "star")
+        if links is None:  # most nodes are linked with the best known of their hubs, which spares the other pairs
+            links = stored(_confirmed(star.groupBy("a").agg(F.max(F.struct("hub_known", "b")).alias("top")).select("a", "top.b"), sets, like), "links")
+            roots = components(links)
+        rows = _rooted(_rooted(seen.withColumns({"_x": F.col("x.node"), "_h": F.col("hub.node")}), roots, "_x", "root"), roots, "_h", "hub_root")
+        mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("hub_root").alias("own")).filter("low <> high or low <> own").select("key")
+        rows = stored(rows.join(mixed, "key").drop("_x", "_h", "hub_root"), "mixed")
+        small = rows.filter(F.col("size") <= DIRECT)
+        other = small.select("key", F.col("x").alias("y"), F.col("root").alias("other"))
+        met = small.join(other, "key").filter((F.col("x.node") < F.col("y.node")) & (F.col("root") != F.col("other")) & _close(like, "x", "y"))
+        direct = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        more = stored(_confirmed(_apart(star.select("a", "b"), roots).unionByName(direct).distinct(), sets, like), "links")
+        if more.count():
+            links = links.unionByName(more)
+            roots = components(links)
+        if not rows.filter(F.col("size") > DIRECT).limit(1).count():
+            return roots
+        members = stored(_finer(rows.filter(F.col("size") > DIRECT), sets, like), "finer")
+        total = members.count()
+
+
+def _finer(rows: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+    """Finer buckets (key, x, known), from rows (x, known, root, hub) of nodes that were compared with their hub.
+
+    Each node is seen as its difference from the hub, the shingles that only one of both
+    has.  Let D be a difference's size, n a set's, and k = (100 - percent) / (100 +
+    percent); a link means that two sets differ in at most k (n1 + n2) shingles, so that
+    their differences share at least (D1 + D2 - k (n1 + n2)) / 2.  Of two nodes in
+    different components one isn't linked to the hub, so its D is over k (n1 + nh),
+    and the shared part is over (D2 + k (nh - n2)) / 2, more than a third of D2 for all
+    but low thresholds.  Hence the other node's difference without that many shingles,
+    less one, still meets the first one's.  Those that the hub lacks are kept first, as
+    they are rarer.  A node is near with the shingles kept, and far with all of them if
+    it isn't linked to the hub; a bucket needs both, and two components.
+    """
+    pairs = rows.select(F.col("x.node").alias("node"), F.col("hub.node").alias("hub"), "x", "known", "root").dropDuplicates(["node", "hub"])
+    own = sets.select("node", F.col("shingles").alias("sa"))
+    other = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sb"))
+    both, rest = F.lit(100 + like.percent), F.lit(100 - like.percent)
+    rows = pairs.join(own, "node").join(other, "hub").withColumn("differs", F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")))
+    size, nh = F.size("differs"), F.size("sb")
+    least = F.floor((size * both + rest * (nh - F.col("x.n"))) / (both * 2)) + 1
+    far = size * both > rest * (F.col("x.n") + nh)
+    placed = F.transform("differs", lambda s, i: F.struct(F.xxhash64("hub", s).alias("key"), (i <= size - least).alias("near")))
+    entries = rows.select("x", "known", "root", far.alias("far"), F.explode(placed).alias("p")).filter("far or p.near")
+    entries = stored(entries.select("p.key", "p.near", "far", "x", "known", "root"), "entries")
+    useful = entries.groupBy("key").agg(F.max("near").alias("near"), F.max("far").alias("far"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high and near and far")
+    return entries.select("key", "x", "known").join(stored(useful.select("key"), "keys"), "key")
+
+
 def _rooted(pairs: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
     own = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
     return pairs.join(own, F.col(column) == F.col("_n"), "left").withColumn(name, F.coalesce("_r", F.col(column))).drop("_n", "_r")
@@ -212,43 +277,6 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return _rooted(_rooted(pairs, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb").select("a", "b")
 
 
-def _across(in_band: DataFrame, roots: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
-    """Pairs of a band in different components that may be links; those with the hub were compared.
-
-    Each node is seen as its difference from the band's hub, the shingles that only
-    one of both has.  Let D be a difference's size, n a set's, and k = (100 - percent) /
-    (100 + percent); a link means that two sets differ in at most k (n1 + n2) shingles,
-    so that their differences share at least (D1 + D2 - k (n1 + n2)) / 2.  Of two nodes
-    in different components one isn't linked to the hub, so its D is over k (n1 + nh),
-    and the shared part is over (D2 + k (nh - n2)) / 2, more than a third of D2 for all
-    but low thresholds.  Hence the other node's difference without that many shingles,
-    less one, still meets the first one's.  The rarest are kept for that: what a copy
-    changed is mostly its own, which leaves few pairs of a large group.
-    """
-    rows = _rooted(in_band.select("band", "x", F.col("x.node").alias("node"), F.col("hub.node").alias("hub")), roots, "node", "root")
-    mixed = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("band")
-    pairs = rows.filter("node <> hub").join(mixed, "band").select("node", "hub", "x", "root").dropDuplicates(["node", "hub"])
-    own = sets.select("node", F.col("shingles").alias("sa"))
-    other = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sb"))
-    differs = F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))
-    rows = pairs.join(own, "node").join(other, "hub").select("node", "hub", "x", "root", differs.alias("differs"), F.size("sb").alias("nh"))
-    size = F.size("differs")
-    rest, both = F.lit(100 - like.percent), F.lit(100 + like.percent)
-    rows = rows.withColumn("far", size * both > rest * (F.col("x.n") + F.col("nh")))
-    least = F.floor((size * both + rest * (F.col("nh") - F.col("x.n"))) / (both * 2)) + 1
-    rows = stored(rows.withColumn("keep", F.greatest(size - least + 1, F.lit(0)).cast("int")), "differences")
-
-    parts = rows.select("node", "hub", "keep", F.explode("differs").alias("shingle"))
-    seen = parts.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("seen"))
-    # A shingle that one difference alone holds can't be shared; it counts as kept without being sent.
-    rare = parts.join(seen, ["hub", "shingle"]).groupBy("node", "hub", "keep").agg(F.array_sort(F.collect_list(F.struct("seen", "shingle"))).alias("parts"))
-    rare = rare.select("node", "hub", F.explode(F.filter(F.expr("slice(parts, 1, keep)"), lambda p: p["seen"] > 1)).alias("p")).select("node", "hub", F.col("p.shingle").alias("shingle"))
-    near = rare.join(rows.select("node", "hub", "x", "root"), ["node", "hub"])
-    far = rows.filter("far").select("hub", F.explode("differs").alias("shingle"), F.col("x").alias("y"), F.col("root").alias("other"))
-    met = near.join(far, ["hub", "shingle"]).filter((F.col("root") != F.col("other")) & _close(like, "x", "y"))
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-
-
 def kept_documents(docs: DataFrame, like: Similarity) -> DataFrame:
     """One document of each component and every document without shingles, with the columns they came with.
 
@@ -268,6 +296,7 @@ def kept_documents(docs: DataFrame, like: Similarity) -> DataFrame:
 
 
 def op3_minhash_neardedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` over all documents, with three-word shingles and 85 %."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

@@ -54,11 +54,16 @@ def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(did.alias("did"), dkey.alias("dkey"), F.coalesce(docs[text_column], F.lit("")).alias("text"))
 
 
+def sized(rows: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, to be broadcast if it is small enough for that; else it is joined as any other."""
+    return F.broadcast(rows) if rows.count() * row_bytes <= MOST_BROADCAST else rows
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't in ``dropped``, rows (did, dkey) of the same documents' ``keyed``."""
     did, dkey = keys(docs, "doc_id", "text")
-    dropped = dropped.select(F.col("did").alias("_did"), F.col("dkey").alias("_dkey")).distinct()
-    return docs.join(dropped, (did == dropped["_did"]) & (dkey == dropped["_dkey"]), "left_anti")
+    dropped = sized(stored(dropped.select(F.col("did").alias("_did"), F.col("dkey").alias("_dkey")).distinct(), "dropped"), 64)
+    return docs.join(dropped, (did == F.col("_did")) & (dkey == F.col("_dkey")), "left_anti")
 
 
 def with_texts(texts: DataFrame, known: DataFrame, items: str, item_bytes: int, how: str) -> DataFrame:
