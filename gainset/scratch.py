@@ -31,7 +31,7 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def stored(df: DataFrame, name: str, free: bool = True) -> DataFrame:
+def stored(df: DataFrame, name: str, free: bool = True, options: dict | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     What was shuffled for it isn't needed any longer.  Spark deletes such files when
@@ -39,7 +39,7 @@ def stored(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/gainset/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     if not _WRITTEN:
         atexit.register(_clear)
     _WRITTEN.append((spark, path))
