@@ -1,102 +1,103 @@
 """Masked pseudo-likelihood scoring with a bidirectional window network in numpy.
 
 Each word is predicted from three words on both sides: their embeddings, scaled by
-position, are summed and squashed, and two softmax layers give the word's class and
-the word in its class.  A document's score is the sum of the log-probabilities of
-all its words, each given its surroundings.
-
-All documents teach: words are counted over the whole corpus, and every partition
-trains a copy of the network on all its words, from the same start; the copies are
-averaged piece by piece on the executors, weighted by their words.
-
-The network knows the most frequent words; the others share ids by hash.  A shared
-id's probability is split over its words by their counts in the corpus, so that each
-word of the corpus is scored as itself.
+position, are summed and squashed, and two softmax layers give the word's class.  A
+class is a hash of the word's last two bytes; within it, words are as likely as their
+counts in the corpus say, so that every word of the corpus has a probability of its own.
+A document's score is the sum of the log-probabilities of all its words, each given
+its surroundings.
+
+All documents teach.  They are dealt into ``ROUNDS`` slices by their hash; in each
+round the executors sum the gradient over all words of a slice, and the driver takes one
+step.  So the network doesn't depend on how the table is partitioned, but for rounding.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from math import isqrt
-from zlib import crc32
+from dataclasses import dataclass, fields
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from gainset.llm import arrays
 from gainset.llm.tables import table
 from gainset.scratch import stored
 
-#: Words of the vocabulary, 64 classes of 64; the last 256 are shared by all rarer words, by hash.
-SIDE = 64
-WORDS = SIDE * SIDE
-RARE = 256
+#: Classes of words, ``SIDE`` groups of ``SIDE``, and embeddings, by a hash of a word's last three bytes.
+SIDE = 32
+CLASSES = SIDE * SIDE
+EMBEDDINGS = 4_096
 #: Words on each side that a word is predicted from.
 REACH = 3
 WIDTH = 16
+#: Slices of the corpus, one for each step, and the size of a step.
+ROUNDS = 32
 RATE = 0.1
-#: Words predicted at once, and different words that a task counts before it hands them on.
-BATCH = 4_096
-COUNTED = 200_000
-#: Words whose counts every task holds (a few MB); those of all rarer ones are joined.
-COMMON = 200_000
+#: Words predicted at once, words of a slice for each task, and the most tasks whose gradients are summed.
+BATCH = 1 << 16
+TASK_WORDS = 250_000
+MOST_TASKS = 4_096
+#: Words that a task counts before it hands them on.
+COUNTED = 4_000_000
+#: Words whose counts every task holds (8 MB); those of all rarer ones are joined.
+COMMON = 500_000
 _OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
-_PIECE = 4_096
+_PIECE = 8_192
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words between white space; a null text has none."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and code of each lower-cased (A-Z) word, and each document's first word; the code holds embedding and class."""
+    data = arrays.lower(data)
+    starts, ends, first = arrays.words(data, offsets)
+    hashes, codes = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint32)
+    for low in range(0, len(starts), 1 << 18):  # a very long document's hashes piece by piece
+        high = min(low + (1 << 18), len(starts))
+        base = starts[low]
+        a, b = starts[low:high] - base, ends[low:high] - base
+        spans = arrays.Spans(arrays.byte_symbols(data[base : ends[high - 1]]))
+        hashes[low:high] = spans.hash(a, b)
+        embedding, kind = (spans.hash(np.maximum(a, b - n), b) for n in (3, 2))
+        codes[low:high] = (embedding % np.uint64(EMBEDDINGS)).astype(np.uint32) * np.uint32(CLASSES) + (kind % np.uint64(CLASSES)).astype(np.uint32)
+    return hashes, codes, first
 
 
 def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """Rows (word, n) for every word of all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+    """Rows (word, class, n) for every word of all documents; a word is its hash."""
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return out
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        word, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+        word, first, n = np.unique(word, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array((codes[first] % CLASSES).astype(np.int32)), pa.array(n)], names=["word", "class", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-                if len(counts) > COUNTED:
-                    yield flush()
-        yield flush()
-
-    return stored(docs.select(text_column).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-
-
-def vocabulary(docs: DataFrame, text_column: str = "text", counts: DataFrame | None = None) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words of all documents, and the count of every id of the vocabulary."""
-    counts = word_counts(docs, text_column) if counts is None else counts
-    top = counts.orderBy(F.desc("n"), "word").limit(WORDS - RARE).collect()
-    known = [bytes(r[0]) for r in top]
-    seen = np.full(WORDS, 0.5)
-    seen[: len(known)] = [r[1] for r in top]
-    seen[WORDS - RARE :] += _shared(counts, known)
-    return known, seen
-
-
-def _shared(counts: DataFrame, known: list[bytes]) -> np.ndarray:
-    """The count of each shared id: of all words that aren't known."""
-    others = counts.join(F.broadcast(_table(counts, known)), "word", "left_anti")
-    out = np.zeros(RARE)
-    for r in others.groupBy(F.pmod(F.crc32("word"), F.lit(RARE)).alias("id")).agg(F.sum("n").alias("n")).collect():
-        out[r["id"]] = r["n"]
+            for _, data, offsets in arrays.steps(batch, text_column):
+                word, codes, _ = words_of(data, offsets)
+                held.append((word, codes))
+                count += len(word)
+                if count >= COUNTED:
+                    yield flush(held)
+                    held, count = [], 0
+        if count:
+            yield flush(held)
+
+    return stored(docs.select(text_column).mapInArrow(run, "word long, class int, n long").groupBy("word").agg(F.first("class").alias("class"), F.sum("n").alias("n")), "words")
+
+
+def class_counts(counts: DataFrame) -> np.ndarray:
+    """How many words of the corpus each class has."""
+    out = np.zeros(CLASSES)
+    for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect():
+        out[r["class"]] = r["n"]
     return out
 
 
-def _table(like: DataFrame, words: list[bytes]) -> DataFrame:
-    return like.sparkSession.createDataFrame([(bytearray(w),) for w in words], "word binary")
-
-
 @dataclass
 class Network:
     embed: np.ndarray
@@ -105,222 +106,223 @@ class Network:
     out: np.ndarray
     bias: np.ndarray
     within: np.ndarray
+    within_bias: np.ndarray
 
     @classmethod
     def start(cls, seen: np.ndarray) -> Network:
-        """Small random embeddings; the biases give each word its share of the corpus."""
+        """Small random embeddings; the biases give each class its share of the corpus."""
         rng = np.random.default_rng(11)
-        embed = rng.normal(0, 0.3, (WORDS + 1, WIDTH)).astype(np.float32)
-        embed[WORDS] = 0
-        share = seen.reshape(SIDE, SIDE)
-        bias = np.zeros(2 * SIDE)
-        bias[:SIDE] = np.log(share.sum(1) / share.sum())
-        within = np.log(share / share.sum(1, keepdims=True))
-        return cls(embed, np.ones((len(_OFFSETS), WIDTH), np.float32), np.zeros(WIDTH, np.float32), rng.normal(0, 0.05, (WIDTH, 2 * SIDE)).astype(np.float32), bias.astype(np.float32), within.astype(np.float32))
+        share = (seen + 0.5).reshape(SIDE, SIDE)
+        group = share.sum(1)
+        values = [
+            rng.normal(0, 0.3, (EMBEDDINGS + 1, WIDTH)),
+            np.full((len(_OFFSETS), WIDTH), 0.5),
+            np.zeros(WIDTH),
+            rng.normal(0, 0.1, (WIDTH, SIDE)),
+            np.log(group / group.sum()),
+            rng.normal(0, 0.1, (SIDE, WIDTH, SIDE)),
+            np.log(share / group[:, None]),
+        ]
+        values[0][EMBEDDINGS] = 0  # what is beyond a document's borders
+        return cls(*[x.astype(np.float32) for x in values])
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.embed, self.scale, self.shift, self.out, self.bias, self.within]
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.arrays()])
-
-    def filled(self, flat: np.ndarray) -> Network:
-        out, at = [], 0
-        for x in self.arrays():
-            out.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
-            at += x.size
-        return Network(*out)
-
-    def _hidden(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Embeddings of all ids, and hidden values of those that have ``REACH`` ids on both sides."""
-        vectors, n = self.embed[ids], len(ids) - 2 * REACH
-        total = np.tile(self.shift, (n, 1))
-        for scale, o in zip(self.scale, _OFFSETS, strict=True):
-            total += vectors[REACH + o : REACH + o + n] * scale
-        return vectors, total / (1 + np.abs(total))
-
-    def _logs(self, hidden: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probability of each target, and both softmax layers as probabilities."""
-        a, b = target // SIDE, target % SIDE
-        z = hidden @ self.out + self.bias
-        z[:, SIDE:] += self.within[a]
-        z = z.reshape(-1, 2, SIDE)
-        z -= z.max(2, keepdims=True)
-        row = np.arange(len(target))
-        chosen = z[row, 0, a] + z[row, 1, b]
-        np.exp(z, out=z)
-        sums = z.sum(2, keepdims=True)
-        z /= sums
-        return chosen - np.log(sums).sum((1, 2)), z
-
-    def score(self, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Log-probabilities of the ids between the borders that are targets; 0 for others."""
-        target = ids[REACH:-REACH]
-        real = np.flatnonzero(targets[REACH:-REACH])
-        _, hidden = self._hidden(ids)
-        out = np.zeros(len(target))
-        out[real] = self._logs(hidden[real], target[real])[0]
+        return [getattr(self, f.name) for f in fields(self)]
+
+    def _forward(self, context: list[np.ndarray], classes: np.ndarray):
+        """Hidden values, groups, members and the two softmax layers of words sorted by group, and that order."""
+        group = classes // SIDE
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        hidden = np.tile(self.shift, (len(classes), 1))
+        for ids, scale in zip(context, self.scale, strict=True):
+            hidden += self.embed[ids] * scale
+        np.tanh(hidden, out=hidden)
+        hidden, group, member = hidden[order], group[order], classes[order] % SIDE
+        cuts = np.searchsorted(group, np.arange(SIDE + 1))
+        inner = np.empty((len(classes), SIDE), np.float32)
+        for g in range(SIDE):
+            own = slice(cuts[g], cuts[g + 1])
+            np.matmul(hidden[own], self.within[g], out=inner[own])
+            inner[own] += self.within_bias[g]
+        layers = [hidden @ self.out + self.bias, inner]
+        for z in layers:
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(1, keepdims=True)
+        row = np.arange(len(classes))
+        logs = np.log(layers[0][row, group].astype(np.float64)) + np.log(layers[1][row, member].astype(np.float64))
+        return hidden, group, member, cuts, layers, order, logs
+
+    def score(self, context: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
+        """Log-probability of each word's class, given the embeddings' numbers at each offset."""
+        *_, order, logs = self._forward(context, classes)
+        out = np.empty(len(classes))
+        out[order] = logs
         return out
 
-    def learn(self, ids: np.ndarray, targets: np.ndarray, power: list[np.ndarray]) -> None:
-        """One step of Adagrad; ``power`` holds the squared gradients so far."""
-        target, real = ids[REACH:-REACH], targets[REACH:-REACH]
-        count = int(real.sum())
-        if not count:
-            return
-        vectors, hidden = self._hidden(ids)
-        safe = np.where(real, target, 0)
-        _, p = self._logs(hidden, safe)
-        row = np.arange(len(target))
-        p[row, 0, safe // SIDE] -= 1
-        p[row, 1, safe % SIDE] -= 1
-        dz = p.reshape(-1, 2 * SIDE) * (real[:, None] / np.float32(count)).astype(np.float32)
-        dh = (dz @ self.out.T) * (1 - np.abs(hidden)) ** 2
-        n = len(target)
-        dv = np.zeros_like(vectors)
-        dscale = np.empty_like(self.scale)
-        for i, o in enumerate(_OFFSETS):
-            at = slice(REACH + o, REACH + o + n)
-            dscale[i] = (dh * vectors[at]).sum(0)
-            dv[at] += dh * self.scale[i]
-        order = np.argsort(ids, kind="stable")
-        ranked = ids[order]
-        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-        which, dembed = ranked[first], np.add.reduceat(dv[order], first, 0)
-        dembed[which == WORDS] = 0
-        order = np.argsort(safe // SIDE, kind="stable")
-        ranked = (safe // SIDE)[order]
-        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-        dwithin = np.add.reduceat(dz[order, SIDE:], first, 0)
-        for x, g, s, at in zip(self.arrays(), [dembed, dscale, dh.sum(0), hidden.T @ dz, dz.sum(0), dwithin], power, [which, ..., ..., ..., ..., ranked[first]], strict=True):
-            s[at] += g * g
-            x[at] -= RATE * g / np.sqrt(s[at] + 1e-8)
-
-
-class Reader:
-    """Texts as ids, with fillers at the borders of documents."""
-
-    def __init__(self, known: list[bytes]):
-        self.number = {w: i for i, w in enumerate(known)}
-
-    def ids(self, text: str | None) -> list[int]:
-        get = self.number.get
-        return [known if (known := get(w)) is not None else WORDS - RARE + crc32(w) % RARE for w in words_of(text)]
-
-    def rows(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
-        filler = np.full(REACH, WORDS, np.int64)
-        for row, text in enumerate(texts):
-            ids = np.array(self.ids(text), np.int64)
-            padded = np.concatenate([filler, ids, filler])
-            for at in range(0, len(ids), 8 * BATCH):  # a long text in stretches that overlap by the reach
-                yield row, padded[at : at + 8 * BATCH + 2 * REACH]
-
-    def batches(self, texts: list[str | None], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of many documents in a row, with the document of each target (-1 between documents)."""
-        held, rows, count = [], [], 0
-        for row, ids in self.rows(texts):
-            held.append(ids)
-            targets = np.full(len(ids), -1)
-            targets[REACH:-REACH] = row
-            rows.append(targets)
-            count += len(ids)
-            if count >= size:
-                yield np.concatenate(held), np.concatenate(rows)
-                held, rows, count = [], [], 0
-        if held:
-            yield np.concatenate(held), np.concatenate(rows)
-
-
-def train(docs: DataFrame, known: list[bytes], seen: np.ndarray, text_column: str = "text") -> Network:
-    """One pass of training over all words of all documents."""
-    start = Network.start(seen)
-    sent = docs.sparkSession.sparkContext.broadcast((known, start))
+    def gradient(self, context: list[np.ndarray], classes: np.ndarray) -> list[np.ndarray]:
+        """Of the sum of minus log-probability, for each of ``arrays``."""
+        hidden, group, member, cuts, (outer, inner), order, _ = self._forward(context, classes)
+        row = np.arange(len(classes))
+        outer[row, group] -= 1
+        inner[row, member] -= 1
+        dh = outer @ self.out.T
+        within, within_bias = np.zeros(self.within.shape), np.zeros(self.within_bias.shape)
+        for g in range(SIDE):
+            own = slice(cuts[g], cuts[g + 1])
+            dh[own] += inner[own] @ self.within[g].T
+            within[g] = hidden[own].T @ inner[own]
+            within_bias[g] = inner[own].sum(0)
+        dh *= 1 - hidden * hidden
+        back = np.empty_like(dh)
+        back[order] = dh
+        embed, scale = np.zeros(self.embed.shape), np.zeros(self.scale.shape)
+        ids = np.concatenate(context)
+        dv = np.concatenate([back * s for s in self.scale])
+        for i in range(WIDTH):
+            embed[:, i] = np.bincount(ids, dv[:, i], EMBEDDINGS + 1)
+        embed[EMBEDDINGS] = 0
+        for i, c in enumerate(context):
+            scale[i] = (back * self.embed[c]).sum(0, dtype=np.float64)
+        return [embed, scale, back.sum(0, dtype=np.float64), hidden.T @ outer, outer.sum(0, dtype=np.float64), within, within_bias]
+
+
+def _contexts(codes: np.ndarray, first: np.ndarray) -> Iterator[tuple[slice, list[np.ndarray], np.ndarray]]:
+    """Words of documents in batches: which, the embeddings at each offset, and their classes."""
+    count = np.diff(first)
+    at = np.arange(first[-1]) + REACH * (np.repeat(np.arange(len(count)), count) + 1)
+    ids = np.full(first[-1] + REACH * (len(count) + 1), EMBEDDINGS, np.int64)
+    ids[at] = codes // CLASSES
+    classes = (codes % CLASSES).astype(np.int64)
+    for low in range(0, len(codes), BATCH):
+        own = slice(low, min(low + BATCH, len(codes)))
+        yield own, [ids[at[own] + o] for o in _OFFSETS], classes[own]
+
+
+def _coded(docs: DataFrame, text_column: str) -> DataFrame:
+    """Each document's slice, number of words and codes, in the order of the slices, so that a round reads little else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, start = sent.value
-        reader, net = Reader(known), start.filled(start.flat())
-        power = [np.zeros_like(x) for x in net.arrays()]
-        words = 0
         for batch in batches:
-            for ids, rows in reader.batches(batch.column(0).to_pylist(), BATCH):
-                net.learn(ids, rows >= 0, power)
-                words += int((rows >= 0).sum())
-        if words:
-            flat = (net.flat() * np.float64(words)).astype(np.float64)
-            for at in range(0, len(flat), _PIECE):
-                yield pa.RecordBatch.from_arrays([pa.array([at // _PIECE], pa.int32()), pa.array([words], pa.int64()), pa.array([flat[at : at + _PIECE].tobytes()], pa.binary())], names=["piece", "words", "sums"])
-
-    def add(key: tuple, parts: pa.Table) -> pa.Table:
-        sums = sum(np.frombuffer(raw) for raw in parts["sums"].to_pylist())
-        words = sum(parts["words"].to_pylist())
-        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([words], pa.int64()), "sums": pa.array([sums.tobytes()], pa.binary())})
-
-    shape = "piece int, words long, sums binary"
-    rows = docs.select(text_column)
-    copies = rows.mapInArrow(run, shape)
-    # Two levels, so that no task meets the copies of all partitions but about their square root.
-    width = max(1, isqrt(rows.rdd.getNumPartitions()))
-    some = copies.withColumn("share", F.floor(F.spark_partition_id() / width)).groupBy("piece", "share").applyInArrow(add, shape)
-    pieces = sorted(some.groupBy("piece").applyInArrow(add, shape).collect())
+            for rows, data, offsets in arrays.steps(batch, text_column):
+                _, codes, first = words_of(data, offsets)
+                raw = [codes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, len(raw)), pa.array(np.diff(first)), pa.array(raw, pa.binary())], names=["slice", "n", "codes"])
+
+    number = F.pmod(F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))), F.lit(ROUNDS)).cast("int")
+    rows = docs.select(number.alias("slice"), text_column).mapInArrow(run, "slice int, n long, codes binary")
+    return stored(rows.sortWithinPartitions("slice"), "codes", options={"parquet.block.size": 8 << 20})
+
+
+def _gradients(sent):
+    """One task's sum of gradients, in pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, total = sent.value, None
+        for batch in batches:
+            raw = batch.column(0)
+            lengths = pa.compute.binary_length(raw).to_numpy(zero_copy_only=False) // 4
+            codes = np.frombuffer(b"".join(raw.to_pylist()), np.uint32)
+            for _, context, classes in _contexts(codes, np.append(0, np.cumsum(lengths))):
+                own = net.gradient(context, classes)
+                total = own if total is None else [a + b for a, b in zip(total, own, strict=True)]
+        if total is not None:
+            flat = np.concatenate([x.ravel() for x in total])
+            pieces = [flat[i : i + _PIECE].tobytes() for i in range(0, len(flat), _PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary())], names=["piece", "sums"])
+
+    return run
+
+
+def _add(key: tuple, parts: pa.Table) -> pa.Table:
+    sums = sum(np.frombuffer(raw) for raw in parts["sums"].to_pylist())
+    return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([sums.tobytes()], pa.binary())})
+
+
+def slice_gradient(codes: DataFrame, net: Network, words: int) -> list[np.ndarray] | None:
+    """The gradient summed over all words of rows of ``_coded``; None if they have none."""
+    tasks = min(MOST_TASKS, max(1, ceil(words / TASK_WORDS)))
+    sent = codes.sparkSession.sparkContext.broadcast(net)
+    shape = "piece int, sums binary"
+    sums = codes.select("codes").coalesce(tasks).mapInArrow(_gradients(sent), shape)
+    if tasks > 64:  # two levels, so that no task meets the gradients of all tasks but about their square root
+        width = isqrt(tasks)
+        sums = sums.withColumn("share", F.floor(F.spark_partition_id() / width)).groupBy("piece", "share").applyInArrow(_add, shape)
+    pieces = sorted((r["piece"], bytes(r["sums"])) for r in sums.groupBy("piece").applyInArrow(_add, shape).collect())
+    sent.unpersist()
     if not pieces:
-        return start
-    return start.filled(np.concatenate([np.frombuffer(bytes(p["sums"])) / p["words"] for p in pieces]))
+        return None
+    flat, at, out = np.concatenate([np.frombuffer(raw) for _, raw in pieces]), 0, []
+    for x in net.arrays():
+        out.append(flat[at : at + x.size].reshape(x.shape))
+        at += x.size
+    return out
 
 
-def scored(docs: DataFrame, known: list[bytes], net: Network, text_column: str = "text", counts: DataFrame | None = None, keep_text: bool = True) -> DataFrame:
+def train(docs: DataFrame, seen: np.ndarray, text_column: str = "text") -> Network:
+    """One pass over all words of all documents, a step of Adam for each slice; ``seen`` are ``class_counts``."""
+    net = Network.start(seen)
+    codes = _coded(docs, text_column)
+    words = {r["slice"]: r["n"] for r in codes.groupBy("slice").agg(F.sum("n").alias("n")).collect()}
+    mean, power = ([np.zeros(x.shape) for x in net.arrays()] for _ in range(2))
+    step = 0
+    for number in range(ROUNDS):
+        if not words.get(number):
+            continue
+        step += 1
+        sums = slice_gradient(codes.filter(F.col("slice") == number), net, words[number])
+        for x, g, m, v in zip(net.arrays(), sums, mean, power, strict=True):
+            g = g / words[number]
+            m += 0.1 * (g - m)
+            v += 0.1 * (g * g - v)
+            x -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.9**step)) + 1e-7)).astype(np.float32)
+    return net
+
+
+def scored(docs: DataFrame, net: Network, counts: DataFrame, text_column: str = "text", keep_text: bool = True) -> DataFrame:
     """The columns of ``docs`` with n_tokens, log_likelihood and mean_log_likelihood, replacing columns of those names.
 
-    A text without words has 0 tokens, a log-likelihood of 0 and a null mean.
-    ``counts`` are the words of the corpus, those of ``docs`` if not given; they must
-    hold the words of ``docs``.  Of the words that aren't known, the most frequent go to
-    all tasks with their counts.  Other words are joined with theirs; those of a count of
+    A null or empty text and one without words has 0 tokens, a log-likelihood of 0 and a
+    null mean.  Equal texts have equal scores, and each row has one.  ``counts`` are the
+    ``word_counts`` of the corpus, which must hold the words of ``docs``.  The most
+    frequent words' counts go to all tasks, the others are joined; those of a count of
     one need not be, as its logarithm is 0.
     """
-    from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
-
-    counts = word_counts(docs, text_column) if counts is None else counts
     names = ["n_tokens", "log_likelihood", "mean_log_likelihood"]
     docs = docs.drop(*names)
     kept = [f for f in docs.schema.fields if keep_text or f.name != text_column]
-    others = counts.filter("n > 1").join(F.broadcast(_table(counts, known)), "word", "left_anti")
-    common = [(bytes(r[0]), r[1]) for r in others.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
-    sent = docs.sparkSession.sparkContext.broadcast((known, net, [w for w, _ in common], np.log([n for _, n in common]), np.log(np.maximum(_shared(counts, known), 1))))
-    rest = StructType([StructField("word", BinaryType()), StructField("times", LongType())])
+    common = counts.orderBy(F.desc("n"), "word").limit(COMMON).toArrow().sort_by("word")
+    every = common.num_rows < COMMON
+    sent = docs.sparkSession.sparkContext.broadcast((net, common["word"].to_numpy(), np.log(common["n"].to_numpy()), np.log(np.maximum(class_counts(counts), 1))))
+    rest = StructType([StructField("word", LongType()), StructField("times", LongType())])
     schema = StructType([*kept, StructField("n_tokens", LongType()), StructField("log_likelihood", DoubleType()), StructField("_rest", ArrayType(rest))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net, words, logs, shared = sent.value
-        reader, own_log, shared = Reader(known), dict(zip(words, logs.tolist(), strict=True)), shared.tolist()
+        net, known, logs, classes = sent.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_column)).to_pylist()
-            count, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for ids, rows in reader.batches(texts, BATCH):
-                scores, rows = net.score(ids, rows >= 0), rows[REACH:-REACH]
-                own = rows >= 0
-                count += np.bincount(rows[own], minlength=batch.num_rows)
-                total += np.bincount(rows[own], scores[own], batch.num_rows)
-            rare, times, upto = [], [], [0]
-            for row, text in enumerate(texts):
-                some, joined = 0.0, Counter()
-                for w in words_of(text):
-                    if w not in reader.number:
-                        log = own_log.get(w)
-                        if log is None:
-                            joined[w] += 1
-                            log = 0.0
-                        some += log - shared[crc32(w) % RARE]
-                total[row] += some
-                rare += joined
-                times += joined.values()
-                upto.append(len(rare))
-            found = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], names=["word", "times"])
-            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(count), pa.array(total), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), found)], names=[f.name for f in schema.fields])
+            for rows, data, offsets in arrays.steps(batch, text_column):
+                hashes, codes, first = words_of(data, offsets)
+                count = np.diff(first)
+                doc = np.repeat(np.arange(len(count)), count)
+                each = -classes[codes % CLASSES]
+                for own, context, kinds in _contexts(codes, first):
+                    each[own] += net.score(context, kinds)
+                words, where = np.unique(hashes.view(np.int64), return_inverse=True)
+                at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+                found = known[at] == words if len(known) else np.zeros(len(words), bool)
+                each += np.where(found, logs[at] if len(known) else 0.0, 0.0)[where]
+                pairs, times = np.unique(doc[~found[where]] * len(words) + where[~found[where]], return_counts=True)
+                ends = np.searchsorted(pairs, np.arange(len(count) + 1) * len(words)).astype(np.int32)
+                joined = pa.StructArray.from_arrays([pa.array(words[pairs % max(len(words), 1)]), pa.array(times)], names=["word", "times"])
+                own = batch.slice(rows.start, rows.stop - rows.start)
+                columns = [own.column(own.schema.get_field_index(f.name)) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(count), pa.array(np.bincount(doc, each, len(count))), pa.ListArray.from_arrays(pa.array(ends), joined)], names=[f.name for f in schema.fields])
 
     rows = docs.mapInArrow(run, schema)
-    if len(common) == COMMON:
+    if not every:
         rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "scores")
-        joined = rows.select("_row", F.explode("_rest").alias("r")).select("_row", "r.word", "r.times").join(others.hint("merge"), "word")
+        others = counts.filter(F.col("n") > 1).select("word", "n")
+        joined = rows.select("_row", F.explode("_rest").alias("r")).select("_row", "r.word", "r.times").join(others, "word")
         more = joined.groupBy("_row").agg(F.sum(F.col("times") * F.log("n")).alias("_more"))
         rows = rows.join(more, "_row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("_more", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
@@ -328,7 +330,7 @@ def scored(docs: DataFrame, known: list[bytes], net: Network, text_column: str =
 
 
 def op1_masked_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood and mean_log_likelihood of every document, by a network that learned from all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counts = word_counts(docs)
-    known, seen = vocabulary(docs, counts=counts)
-    return scored(docs, known, train(docs, known, seen), counts=counts, keep_text=False)
+    return scored(docs, train(docs, class_counts(counts)), counts, keep_text=False)
