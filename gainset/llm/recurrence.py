@@ -40,6 +40,10 @@ BLOCK_ANCHORS = 150_000
 TOGETHER = 4_096
 #: Split cores that are broadcast (a few MB); with more of them they meet the edges in a shuffle.
 MOST_HOT = 100_000
+#: Units of a document that are looked at in one step; longer ones go in overlapping steps.
+SEGMENT = 1 << 20
+#: Bits of an anchor's key that hold its position in the step; the others are of its hash.
+_PLACE_BITS = 24
 #: Bytes of edge text resolved at once.
 RESOLVED_BYTES = 2 << 20
 
@@ -87,13 +91,18 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(symbols: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """Document, first and last window, core hash and phrase hash of every anchor."""
+    """Document, first and last window, core hash and phrase hash of every anchor.
+
+    Of equal hashes the first counts, in every step alike.
+    """
     n, length = len(symbols), shape.length
     if n < length:
         none = np.zeros(0, np.int64)
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    if n >> _PLACE_BITS:
+        raise ValueError("a step has more units than an anchor's key can tell apart")
     spans = arrays.Spans(symbols)
-    mask = np.uint64((1 << n.bit_length()) - 1)
+    mask = np.uint64((1 << _PLACE_BITS) - 1)
     keys = spans.grams(shape.gram)
     keys = (keys & ~mask) | np.arange(len(keys), dtype=np.uint64)
     at = (sliding_least(keys, shape.spread)[: n - length + 1] & mask).astype(np.int64)
@@ -110,6 +119,32 @@ def anchors(symbols: np.ndarray, offsets: np.ndarray, shape: Shape) -> tuple[np.
     return doc, a - offsets[doc], b - offsets[doc], spans.hash(t, t + length - shape.spread + 1), spans.hash(a, b + length)
 
 
+def _anchored(data: np.ndarray, starts: np.ndarray | None, ends: np.ndarray | None, first: np.ndarray, shape: Shape) -> Iterator[tuple[np.ndarray, ...]]:
+    """``anchors`` of a step; one very long document goes segment by segment.
+
+    Segments overlap by all but one unit of a window, so each window is in one of them.
+    A phrase that a cut parts is an edge like others.
+    """
+
+    def symbols(low: int, high: int) -> np.ndarray:
+        if shape.unit == "byte":
+            return arrays.byte_symbols(data[low:high])
+        if high <= low:
+            return np.zeros(0, np.uint64)
+        base = starts[low]
+        own = arrays.byte_symbols(data[base : ends[high - 1]])
+        return arrays.Spans(own).hash(starts[low:high] - base, ends[low:high] - base) | np.uint64(1)
+
+    n = int(first[-1])
+    if n <= 2 * SEGMENT or len(first) > 2:
+        yield anchors(symbols(0, n), first, shape)
+        return
+    for low in range(0, n - shape.length + 1, SEGMENT):
+        high = min(n, low + SEGMENT + shape.length - 1)
+        doc, a, b, core, full = anchors(symbols(low, high), np.array([0, high - low]), shape)
+        yield doc, a + low, b + low, core, full
+
+
 def _changes(*columns: np.ndarray) -> np.ndarray:
     out = np.ones(len(columns[0]), bool)
     out[1:] = False
@@ -135,7 +170,7 @@ def _collapsed(did, dkey, a, b, core, full, later_only: bool) -> pa.RecordBatch:
     if later_only:
         flagged = place != place[phrase_at][phrase_of]
     else:
-        last = np.append(phrase_at[1:], len(rest)) - 1
+        last = np.append(phrase_at[1:], len(rest))[: len(phrase_at)] - 1
         flagged = (place[last] != place[phrase_at])[phrase_of]
     phrases = np.bincount(core_of[phrase_at], minlength=1) if len(rest) else np.zeros(1, int)
     many = phrases[core_of[phrase_at]] > 1 if len(rest) else np.zeros(0, bool)
@@ -165,21 +200,18 @@ def _phrases(shape: Shape, later_only: bool) -> Callable[[Iterator[pa.RecordBatc
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for rows, data, offsets in arrays.steps(batch, "text"):
-                starts, ends, first = units(data, offsets, shape.unit)
-                symbols = arrays.byte_symbols(data)
-                if shape.unit != "byte":
-                    symbols = arrays.Spans(symbols).hash(starts, ends) | np.uint64(1)
-                doc, a, b, core, full = anchors(symbols, first, shape)
-                if shape.least_words:
-                    begin = arrays.words(data, offsets)[0]
-                    low = first[doc] + a
-                    many = np.searchsorted(begin, ends[low + shape.length - 1]) - np.searchsorted(begin, starts[low]) >= shape.least_words
-                    doc, a, b, core, full = (x[many] for x in (doc, a, b, core, full))
-                held.append((ids[0][rows][doc], ids[1][rows][doc], a, b, core, full))
-                count += len(a)
-                if count >= BLOCK_ANCHORS:
-                    yield _collapsed(*map(np.concatenate, zip(*held, strict=True)), later_only)
-                    held, count = [], 0
+                starts, ends, first = (None, None, offsets) if shape.unit == "byte" else units(data, offsets, shape.unit)
+                for doc, a, b, core, full in _anchored(data, starts, ends, first, shape):
+                    if shape.least_words:
+                        begin = arrays.words(data, offsets)[0]
+                        low = first[doc] + a
+                        many = np.searchsorted(begin, ends[low + shape.length - 1]) - np.searchsorted(begin, starts[low]) >= shape.least_words
+                        doc, a, b, core, full = (x[many] for x in (doc, a, b, core, full))
+                    held.append((ids[0][rows][doc], ids[1][rows][doc], a, b, core, full))
+                    count += len(a)
+                    if count >= BLOCK_ANCHORS:
+                        yield _collapsed(*map(np.concatenate, zip(*held, strict=True)), later_only)
+                        held, count = [], 0
         if count:
             yield _collapsed(*map(np.concatenate, zip(*held, strict=True)), later_only)
 
@@ -229,21 +261,21 @@ def _resolve(resolver: Resolver, later_only: bool) -> Callable[[Iterator[pa.Reco
         row, start, number = resolver(phrases)
         pos = a[row].astype(np.int64) + start
         order = np.lexsort((pos, dkey[row], did[row], number))
-        row, start, number, pos = row[order], start[order], number[order], pos[order]
-        new = _changes(number)
-        at = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        size = np.diff(np.append(at, len(number)))
-        flagged = ~new if later_only else (size > 1)[group]
-        still = new & (salt[row] >= 0)
-        index = np.concatenate([np.flatnonzero(flagged), np.flatnonzero(still)])
-        opened = np.repeat([False, True], [int(flagged.sum()), int(still.sum())])
-        keys = np.zeros((len(index), 2), np.int64)
-        if still.any():
-            for i in np.flatnonzero(opened):
-                x = index[i]
-                keys[i] = window_key(phrases[row[x]], int(start[x]))
-        columns = [opened, did[row][index], dkey[row][index], pos[index].astype(np.int32), pos[index].astype(np.int32), keys[:, 0], keys[:, 1]]
+        new = _changes(number[order])
+        again, still = np.zeros(len(row), bool), np.zeros(len(row), bool)
+        again[order] = ~new if later_only else (np.diff(np.append(np.flatnonzero(new), len(row))) > 1)[np.cumsum(new) - 1]
+        still[order] = new
+        still &= salt[row] >= 0
+        # Neighbouring windows of a phrase go out as one run.
+        flagged = np.flatnonzero(again)
+        opens = np.ones(len(flagged), bool)
+        opens[1:] = (flagged[1:] != flagged[:-1] + 1) | (row[flagged[1:]] != row[flagged[:-1]])
+        low = flagged[opens]
+        high = flagged[np.append(np.flatnonzero(opens)[1:], len(flagged)) - 1] if len(flagged) else low
+        left = np.flatnonzero(still)
+        keys = np.array([(0, 0)] * len(low) + [window_key(phrases[row[x]], int(start[x])) for x in left], np.int64).reshape(-1, 2)
+        index, last = np.concatenate([low, left]), np.concatenate([high, left])
+        columns = [np.repeat([False, True], [len(low), len(left)]), did[row][index], dkey[row][index], pos[index].astype(np.int32), pos[last].astype(np.int32), keys[:, 0], keys[:, 1]]
         return pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=names)
 
     window_key = resolver.window_key
@@ -308,6 +340,7 @@ def recurring(texts: DataFrame, shape: Shape, resolver: Resolver | None, later_o
     edges = marks.filter("edge")
     hot = stored(edges.groupBy("core").count().filter(F.col("count") > TOGETHER).select("core", F.ceil(F.col("count") / TOGETHER).cast("int").alias("parts")), "hot")
     salted = edges.join(F.broadcast(hot) if hot.count() <= MOST_HOT else hot, "core", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("did", "dkey"), F.col("parts")).cast("int"), F.lit(-1)))
+    # Texts and what is known of them meet in the same way at every size.
     wanted = salted.groupBy("did", "dkey").agg(F.collect_set(F.struct("a", "b", "core", "salt")).alias("edges"))
     fetched = texts.join(wanted.hint("merge"), ["did", "dkey"]).select("did", "dkey", "text", "edges").mapInArrow(_fetch(shape), "core long, salt int, did long, dkey long, a int, phrase binary")
     parts = fetched.repartition("core", "salt").sortWithinPartitions("core", "salt", "did", "dkey", "a")

@@ -6,50 +6,124 @@ from hashlib import blake2b
 
 import numpy as np
 
+from gainset.llm import arrays
+
 
 def _key(window: bytes) -> tuple[int, int]:
     both = np.frombuffer(blake2b(window, digest_size=16).digest(), np.int64)
     return int(both[0]), int(both[1])
 
 
-class SuffixArray:
-    """Order of the suffixes of a dictionary of phrases by their first ``length`` bytes.
+def suffix_ranks(rank: np.ndarray, depth: int, left: np.ndarray) -> np.ndarray:
+    """Ranks of the suffixes of terminated sequences, by prefix doubling.
+
+    ``rank`` orders the first ``depth`` symbols from each position, ``left`` says how
+    many there are up to the terminator.  Equal suffixes have equal ranks.
+    """
+    known = int(rank.max(initial=0)) + 1
+    while True:
+        inside = np.flatnonzero(left > depth)
+        other = np.zeros(len(rank), np.int64)
+        other[inside] = rank[inside + depth] + 1
+        rank = np.unique(rank * (known + 1) + other, return_inverse=True)[1]
+        if not len(inside) or int(rank.max(initial=0)) + 1 == known:
+            return rank
+        known, depth = int(rank.max()) + 1, 2 * depth
 
-    Prefix doubling: positions are ranked by eight bytes, then by pairs of ranks, so
-    that a rank covers 16, 32, ... bytes and at last ``length``.  The ranks are the
-    suffix array's order, cut at that depth; equal ranks are neighbours in it with a
-    common prefix of ``length`` bytes or more.
+
+def _terminated(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where sequences of these lengths begin if each has a terminator after it, and what is left from each position, it included."""
+    begin = np.cumsum(lengths + 1) - (lengths + 1)
+    total = int((lengths + 1).sum())
+    return begin, np.repeat(begin + lengths + 1, lengths + 1) - np.arange(total)
+
+
+class SuffixArray:
+    """Order of the suffixes of a shard's strings by prefix-free parsing.
+
+    Rolling hashes of ``TRIGGER`` bytes cut the strings into phrases that end with the
+    next one's trigger.  The dictionary of distinct phrases and the parse, the strings
+    as sequences of dictionary ranks, each get a suffix array.  A suffix is the rest of
+    its phrase and what follows it in the parse, so the two ranks together give the
+    order of all suffixes, without sorting the text itself.  Neighbours in that order
+    are then compared byte by byte over ``length`` bytes.
     """
 
+    TRIGGER = 8
+    #: A place in so many is a trigger.
+    EVERY = 32
+
     def __init__(self, length: int):
         self.length = length
 
     def window_key(self, phrase: bytes, start: int) -> tuple[int, int]:
         return _key(phrase[start : start + self.length])
 
-    def ranks(self, data: np.ndarray) -> np.ndarray:
-        """Rank of the suffix at each position; past ``len(data) - length`` they mean nothing."""
-        n, depth = len(data), min(8, self.length)
-        padded = np.concatenate([data, np.zeros(depth, np.uint8)]).astype(np.uint64)
-        key = np.zeros(n, np.uint64)
+    def parse(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the phrases, and the first phrase of each string."""
+        ends = np.repeat(offsets[1:], np.diff(offsets))
+        hashed = arrays.Spans(arrays.byte_symbols(data)).grams(self.TRIGGER)
+        at = np.flatnonzero(hashed % np.uint64(self.EVERY) == 0)
+        at = at[at + self.TRIGGER <= ends[at]]
+        starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], at)
+        own_end = ends[starts]
+        stop = np.append(starts[1:], len(data)) + self.TRIGGER
+        stop = np.where(np.append(starts[1:], len(data)) < own_end, np.minimum(stop, own_end), own_end)
+        return starts, stop, np.searchsorted(starts, offsets)
+
+    def dictionary(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of each phrase, where each distinct phrase begins in the dictionary, and the suffix ranks of that."""
+        hashed = arrays.Spans(arrays.byte_symbols(data)).hash(starts, stops)
+        _, one, number = np.unique(hashed, return_index=True, return_inverse=True)
+        lengths = (stops - starts)[one]
+        begin, left = _terminated(lengths)
+        symbols = np.zeros(len(left), np.uint64)
+        filled = left > 1
+        symbols[filled] = data[np.repeat(starts[one], lengths) + (np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths))] + np.uint64(1)
+        depth = 7  # symbols of nine bits in the first keys
+        key, padded = np.zeros(len(left), np.uint64), np.concatenate([symbols, np.zeros(depth, np.uint64)])
         for i in range(depth):
-            key = key << np.uint64(8) | padded[i : i + n]
-        rank = np.unique(key, return_inverse=True)[1]
-        while depth < self.length:
-            step = min(depth, self.length - depth)
-            other = np.zeros(n, np.int64)
-            other[: n - step] = rank[step:]
-            rank = np.unique(rank * (int(other.max(initial=0)) + 1) + other, return_inverse=True)[1]
-            depth += step
-        return rank
+            key = key << np.uint64(9) | np.where(left > i, padded[i : i + len(left)], np.uint64(0))
+        return number, begin, suffix_ranks(np.unique(key, return_inverse=True)[1], depth, left)
+
+    def order(self, data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The positions ``at`` in the order of the suffixes from there to the ends of their strings."""
+        starts, stops, first = self.parse(data, offsets)
+        number, begin, ranks = self.dictionary(data, starts, stops)
+        counts = np.diff(first)
+        place, left = _terminated(counts)
+        symbols = np.zeros(len(left), np.int64)
+        own = np.arange(len(starts)) + np.repeat(np.arange(len(counts)), counts)  # each string before has a terminator
+        symbols[own] = ranks[begin[number]] + 1
+        parsed = suffix_ranks(np.unique(symbols, return_inverse=True)[1], 1, left)
+        phrase = np.searchsorted(starts, at, "right") - 1
+        rest = ranks[begin[number[phrase]] + at - starts[phrase]]
+        return at[np.argsort(rest * (len(parsed) + 1) + parsed[own[phrase] + 1], kind="stable")]
+
+    def _same(self, data: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether ``length`` bytes from p and from q are the same."""
+        words, width = data.astype(np.uint64), 1
+        while 2 * width <= min(8, self.length):
+            words = words[:-width] << np.uint64(8 * width) | words[width:]
+            width *= 2
+        same = np.ones(len(p), bool)
+        for i in [*range(0, self.length - width, width), self.length - width]:
+            same &= words[p + i] == words[q + i]
+        return same
 
     def __call__(self, phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lengths = np.array([len(p) for p in phrases])
         counts = np.maximum(lengths - self.length + 1, 0)
         row = np.repeat(np.arange(len(phrases)), counts)
         start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        rank = self.ranks(np.frombuffer(b"".join(phrases), np.uint8))
-        return row, start, rank[(np.cumsum(lengths) - lengths)[row] + start]
+        number = np.zeros(len(row), np.int64)
+        if len(row):
+            data, offsets = np.frombuffer(b"".join(phrases), np.uint8), np.append(0, np.cumsum(lengths))
+            at = offsets[row] + start
+            sorted_at = self.order(data, offsets, at)
+            fresh = np.append(True, ~self._same(data, sorted_at[1:], sorted_at[:-1]))
+            number[np.searchsorted(at, sorted_at)] = np.cumsum(fresh)
+        return row, start, number
 
 
 class _Split:
@@ -83,32 +157,35 @@ class Lines(_Split):
 
 
 class Automaton(_Split):
-    """Windows of words: those that recur form an Aho-Corasick automaton that finds all their places."""
+    """Windows of words: passages that recur form an Aho-Corasick automaton, which finds all their places.
+
+    Counts of hashes say which windows are worth a pattern; which places hold one, and
+    so which windows are equal, is what the automaton finds in the streamed text.
+    """
 
     def __init__(self, length: int):
         super().__init__(length, b" ")
 
     def __call__(self, phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        import ahocorasick
-
-        seen: dict[bytes, bool] = {}
-        counts = []
-        for phrase in phrases:
-            windows = self._windows(phrase)
-            counts.append(len(windows))
-            for w in windows:
-                seen[w] = w in seen
-        passages = [w for w, again in seen.items() if again]
-        counts = np.array(counts)
-        base = np.cumsum(counts) - counts
-        number = np.arange(len(passages), len(passages) + int(counts.sum()))
-        if passages:
+        raw = b"".join(phrases)
+        data, offsets = np.frombuffer(raw, np.uint8), np.append(0, np.cumsum([len(p) for p in phrases])).astype(np.int64)
+        starts, ends, first = arrays.words(data, offsets)
+        counts = np.maximum(np.diff(first) - self.length + 1, 0)
+        row = np.repeat(np.arange(len(phrases)), counts)
+        start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+        word = first[row] + start
+        number = np.arange(len(row)) + len(row)
+        spans = arrays.Spans(arrays.Spans(arrays.byte_symbols(data)).hash(starts, ends) | np.uint64(1))
+        _, one, times = np.unique(spans.hash(word, word + self.length), return_index=True, return_counts=True)
+        passages = one[times > 1]
+        if len(passages):
+            import ahocorasick
+
             automaton = ahocorasick.Automaton()
-            for i, w in enumerate(passages):
-                automaton.add_word(f" {w.decode('latin-1')} ", (i, len(w) + 1))
+            for i, (low, high) in enumerate(zip(starts[word[passages]].tolist(), ends[word[passages] + self.length - 1].tolist(), strict=True)):
+                automaton.add_word(f" {raw[low:high].decode('latin-1')} ", (i, high - low))
             automaton.make_automaton()
-            for row, phrase in enumerate(phrases):
-                for end, (i, length) in automaton.iter(f" {phrase.decode('latin-1')} "):
-                    number[base[row] + phrase.count(b" ", 0, end - length)] = i
-        row = np.repeat(np.arange(len(phrases)), counts)
-        return row, np.arange(len(row)) - base[row], number
+            found = [(offset + end - length - 1, i) for offset, phrase in zip(offsets.tolist(), phrases) for end, (i, length) in automaton.iter(f" {phrase.decode('latin-1')} ")]
+            at, which = np.array(found, np.int64).reshape(-1, 2).T
+            number[np.searchsorted(word, np.searchsorted(starts, at))] = which
+        return row, start, number
