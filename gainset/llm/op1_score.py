@@ -44,9 +44,9 @@ TASK_WORDS = 250_000
 MOST_TASKS = 4_096
 #: Words that a task counts before it hands them on.
 COUNTED = 4_000_000
-#: Words whose counts every task holds (8 MB); those of all rarer ones are joined.
-COMMON = 500_000
-_OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
+#: Most words whose counts every task holds (2 MB); those of all rarer ones are joined.
+COMMON = 1 << 17
+_AT = [i for i in range(2 * REACH + 1) if i != REACH]
 _PIECE = 8_192
 
 
@@ -98,6 +98,19 @@ def class_counts(counts: DataFrame) -> np.ndarray:
     return out
 
 
+def common_from(counts: DataFrame) -> tuple[int, bool]:
+    """The count from which on a word is among the at most ``COMMON`` most frequent, and whether all are."""
+    size = F.floor(F.log2("n") * 16).cast("int")
+    found = sorted(((r["size"], r["least"], r["words"]) for r in counts.groupBy(size.alias("size")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    least, words = 1 << 62, 0
+    for _, n, more in found:
+        words += more
+        if words > COMMON:
+            return least, False
+        least = n
+    return least, True
+
+
 @dataclass
 class Network:
     embed: np.ndarray
@@ -116,7 +129,7 @@ class Network:
         group = share.sum(1)
         values = [
             rng.normal(0, 0.3, (EMBEDDINGS + 1, WIDTH)),
-            np.full((len(_OFFSETS), WIDTH), 0.5),
+            np.full((len(_AT), WIDTH), 0.5),
             np.zeros(WIDTH),
             rng.normal(0, 0.1, (WIDTH, SIDE)),
             np.log(group / group.sum()),
@@ -129,17 +142,18 @@ class Network:
     def arrays(self) -> list[np.ndarray]:
         return [getattr(self, f.name) for f in fields(self)]
 
-    def _forward(self, context: list[np.ndarray], classes: np.ndarray):
-        """Hidden values, groups, members and the two softmax layers of words sorted by group, and that order."""
-        group = classes // SIDE
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        hidden = np.tile(self.shift, (len(classes), 1))
-        for ids, scale in zip(context, self.scale, strict=True):
-            hidden += self.embed[ids] * scale
-        np.tanh(hidden, out=hidden)
-        hidden, group, member = hidden[order], group[order], classes[order] % SIDE
+    def _forward(self, ids: np.ndarray, classes: np.ndarray):
+        """Of the words with a class (others have -1): place, hidden values and so on, sorted by group; ``ids`` reach beyond ``classes`` on both sides."""
+        vectors, n = self.embed[ids], len(classes)
+        total = np.tile(self.shift, (n, 1))
+        for i, scale in enumerate(self.scale):
+            total += vectors[_AT[i] : _AT[i] + n] * scale
+        real = np.flatnonzero(classes >= 0)
+        place = real[np.argsort((classes[real] // SIDE).astype(np.uint8), kind="stable")]
+        group, member = classes[place] // SIDE, classes[place] % SIDE
+        hidden = np.tanh(total[place])
         cuts = np.searchsorted(group, np.arange(SIDE + 1))
-        inner = np.empty((len(classes), SIDE), np.float32)
+        inner = np.empty((len(place), SIDE), np.float32)
         for g in range(SIDE):
             own = slice(cuts[g], cuts[g + 1])
             np.matmul(hidden[own], self.within[g], out=inner[own])
@@ -149,21 +163,20 @@ class Network:
             z -= z.max(1, keepdims=True)
             np.exp(z, out=z)
             z /= z.sum(1, keepdims=True)
-        row = np.arange(len(classes))
-        logs = np.log(layers[0][row, group].astype(np.float64)) + np.log(layers[1][row, member].astype(np.float64))
-        return hidden, group, member, cuts, layers, order, logs
-
-    def score(self, context: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
-        """Log-probability of each word's class, given the embeddings' numbers at each offset."""
-        *_, order, logs = self._forward(context, classes)
-        out = np.empty(len(classes))
-        out[order] = logs
+        return vectors, place, hidden, group, member, cuts, layers
+
+    def score(self, ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """Log-probability of each class, given the embeddings' numbers around it; 0 where there is none."""
+        _, place, _, group, member, _, layers = self._forward(ids, classes)
+        row = np.arange(len(place))
+        out = np.zeros(len(classes))
+        out[place] = np.log(layers[0][row, group].astype(np.float64)) + np.log(layers[1][row, member].astype(np.float64))
         return out
 
-    def gradient(self, context: list[np.ndarray], classes: np.ndarray) -> list[np.ndarray]:
+    def gradient(self, ids: np.ndarray, classes: np.ndarray) -> list[np.ndarray]:
         """Of the sum of minus log-probability, for each of ``arrays``."""
-        hidden, group, member, cuts, (outer, inner), order, _ = self._forward(context, classes)
-        row = np.arange(len(classes))
+        vectors, place, hidden, group, member, cuts, (outer, inner) = self._forward(ids, classes)
+        row = np.arange(len(place))
         outer[row, group] -= 1
         inner[row, member] -= 1
         dh = outer @ self.out.T
@@ -174,29 +187,30 @@ class Network:
             within[g] = hidden[own].T @ inner[own]
             within_bias[g] = inner[own].sum(0)
         dh *= 1 - hidden * hidden
-        back = np.empty_like(dh)
-        back[order] = dh
-        embed, scale = np.zeros(self.embed.shape), np.zeros(self.scale.shape)
-        ids = np.concatenate(context)
-        dv = np.concatenate([back * s for s in self.scale])
-        for i in range(WIDTH):
-            embed[:, i] = np.bincount(ids, dv[:, i], EMBEDDINGS + 1)
+        n = len(classes)
+        back, dv = np.zeros((n, WIDTH), np.float32), np.zeros_like(vectors)
+        back[place] = dh
+        embed, scale = np.empty(self.embed.shape), np.empty(self.scale.shape)
+        for i, s in enumerate(self.scale):
+            at = slice(_AT[i], _AT[i] + n)
+            dv[at] += back * s
+            scale[i] = np.einsum("ij,ij->j", back, vectors[at])
+        for i, column in enumerate(np.ascontiguousarray(dv.T)):
+            embed[:, i] = np.bincount(ids, column, EMBEDDINGS + 1)
         embed[EMBEDDINGS] = 0
-        for i, c in enumerate(context):
-            scale[i] = (back * self.embed[c]).sum(0, dtype=np.float64)
         return [embed, scale, back.sum(0, dtype=np.float64), hidden.T @ outer, outer.sum(0, dtype=np.float64), within, within_bias]
 
 
-def _contexts(codes: np.ndarray, first: np.ndarray) -> Iterator[tuple[slice, list[np.ndarray], np.ndarray]]:
-    """Words of documents in batches: which, the embeddings at each offset, and their classes."""
+def contexts(codes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words of documents in batches, as embeddings' numbers and classes, with fillers around each document."""
     count = np.diff(first)
     at = np.arange(first[-1]) + REACH * (np.repeat(np.arange(len(count)), count) + 1)
-    ids = np.full(first[-1] + REACH * (len(count) + 1), EMBEDDINGS, np.int64)
-    ids[at] = codes // CLASSES
-    classes = (codes % CLASSES).astype(np.int64)
-    for low in range(0, len(codes), BATCH):
-        own = slice(low, min(low + BATCH, len(codes)))
-        yield own, [ids[at[own] + o] for o in _OFFSETS], classes[own]
+    n = int(first[-1]) + REACH * (len(count) + 1)
+    ids, classes = np.full(n, EMBEDDINGS), np.full(n, -1)
+    ids[at], classes[at] = codes // CLASSES, codes % CLASSES
+    for low in range(REACH, n - REACH, BATCH):
+        high = min(low + BATCH, n - REACH)
+        yield ids[low - REACH : high + REACH], classes[low:high]
 
 
 def _coded(docs: DataFrame, text_column: str) -> DataFrame:
@@ -211,7 +225,7 @@ def _coded(docs: DataFrame, text_column: str) -> DataFrame:
 
     number = F.pmod(F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))), F.lit(ROUNDS)).cast("int")
     rows = docs.select(number.alias("slice"), text_column).mapInArrow(run, "slice int, n long, codes binary")
-    return stored(rows.sortWithinPartitions("slice"), "codes", options={"parquet.block.size": 8 << 20})
+    return stored(rows.sortWithinPartitions("slice"), "codes", options={"parquet.page.size": 1 << 16, "parquet.enable.dictionary": "false"})
 
 
 def _gradients(sent):
@@ -223,8 +237,8 @@ def _gradients(sent):
             raw = batch.column(0)
             lengths = pa.compute.binary_length(raw).to_numpy(zero_copy_only=False) // 4
             codes = np.frombuffer(b"".join(raw.to_pylist()), np.uint32)
-            for _, context, classes in _contexts(codes, np.append(0, np.cumsum(lengths))):
-                own = net.gradient(context, classes)
+            for ids, classes in contexts(codes, np.append(0, np.cumsum(lengths))):
+                own = net.gradient(ids, classes)
                 total = own if total is None else [a + b for a, b in zip(total, own, strict=True)]
         if total is not None:
             flat = np.concatenate([x.ravel() for x in total])
@@ -291,8 +305,8 @@ def scored(docs: DataFrame, net: Network, counts: DataFrame, text_column: str =
     names = ["n_tokens", "log_likelihood", "mean_log_likelihood"]
     docs = docs.drop(*names)
     kept = [f for f in docs.schema.fields if keep_text or f.name != text_column]
-    common = counts.orderBy(F.desc("n"), "word").limit(COMMON).toArrow().sort_by("word")
-    every = common.num_rows < COMMON
+    least, every = common_from(counts)
+    common = counts.filter(F.col("n") >= least).select("word", "n").toArrow().sort_by("word")
     sent = docs.sparkSession.sparkContext.broadcast((net, common["word"].to_numpy(), np.log(common["n"].to_numpy()), np.log(np.maximum(class_counts(counts), 1))))
     rest = StructType([StructField("word", LongType()), StructField("times", LongType())])
     schema = StructType([*kept, StructField("n_tokens", LongType()), StructField("log_likelihood", DoubleType()), StructField("_rest", ArrayType(rest))])
@@ -305,8 +319,8 @@ def scored(docs: DataFrame, net: Network, counts: DataFrame, text_column: str =
                 count = np.diff(first)
                 doc = np.repeat(np.arange(len(count)), count)
                 each = -classes[codes % CLASSES]
-                for own, context, kinds in _contexts(codes, first):
-                    each[own] += net.score(context, kinds)
+                if len(codes):
+                    each += np.concatenate([net.score(ids, kinds)[kinds >= 0] for ids, kinds in contexts(codes, first)])
                 words, where = np.unique(hashes.view(np.int64), return_inverse=True)
                 at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
                 found = known[at] == words if len(known) else np.zeros(len(words), bool)
@@ -321,7 +335,7 @@ def scored(docs: DataFrame, net: Network, counts: DataFrame, text_column: str =
     rows = docs.mapInArrow(run, schema)
     if not every:
         rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "scores")
-        others = counts.filter(F.col("n") > 1).select("word", "n")
+        others = counts.filter((F.col("n") > 1) & (F.col("n") < least)).select("word", "n")
         joined = rows.select("_row", F.explode("_rest").alias("r")).select("_row", "r.word", "r.times").join(others, "word")
         more = joined.groupBy("_row").agg(F.sum(F.col("times") * F.log("n")).alias("_more"))
         rows = rows.join(more, "_row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("_more", F.lit(0.0)))
