@@ -30,10 +30,15 @@ TOXIC_SAMPLE = 8_000
 TRIGRAM_BITS = 11
 FEW_TRIGRAMS = 600
 WORD_BITS = 18
+#: Bytes of text looked at in one step; there are many values for each.
+STEP = 1 << 18
 #: A document stays with at least this quality and at most this toxicity.
 LEAST_QUALITY = 0.5
 MOST_TOXICITY = 0.6
 
+#: Share of the letters' bytes that aren't ASCII from which a text's script counts as another.
+FOREIGN = 0.3
+
 _BAD, _GOOD, _NONE = 0, 1, 2
 
 
@@ -64,6 +69,7 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts, ends, first = arrays.words(data, offsets)
     words = np.maximum(np.diff(first), 1).astype(float)
     letters = per_doc(_LETTER[data])
+    units = np.maximum(words, letters / 12)  # some scripts have no spaces
     twice = np.zeros(len(data), bool)
     twice[1:] = (data[1:] == data[:-1]) & _PUNCTUATION[data[1:]]
     spans = arrays.Spans(arrays.byte_symbols(data))
@@ -80,32 +86,38 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     same[1:] = (line[order][1:] == line[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     return np.stack(
         [
-            per_doc(_MARK[data]) / words,
+            per_doc(_MARK[data]) / units,
             per_doc(_UPPER[data]) / np.maximum(letters, 1),
-            per_doc(twice) / words,
-            per_doc(data == 124) / words,
-            per_doc(_STOP[data]) / words,
+            per_doc(twice) / units,
+            per_doc(data == 124) / units,
+            per_doc(_STOP[data]) / units,
             np.diff(first).astype(float),
             letters / words,
             np.bincount(doc[order], same, len(lines)) / np.maximum(lines, 1),
             per_doc(again, first) / words,
+            per_doc(data >= 128) / np.maximum(letters, 1),
+            letters,
         ],
         1,
     )
 
 
 def votes(measured: np.ndarray) -> np.ndarray:
-    """One row per document, one column per labeller."""
-    marks, upper, doubled, pipes, stops, words, size, repeated, again = measured.T
+    """One row per document, one column per labeller.
+
+    Who judges by stops, spaces or the length of words abstains on scripts of which that isn't known.
+    """
+    marks, upper, doubled, pipes, stops, words, size, repeated, again, foreign, letters = measured.T
+    known = foreign < FOREIGN
     return np.stack(
         [
             _vote(marks > 0.2),
             _vote(upper > 0.4),
             _vote(doubled > 0.1),
             _vote(pipes > 0.1),
-            _vote((stops < 0.005) & (words >= 40), (stops > 0.02) & (stops < 0.5)),
-            _vote(words == 0, words >= 20),
-            _vote((size < 2) | (size > 15), (size > 3) & (size < 10)),
+            _vote((stops < 0.005) & (words >= 40) & known, (stops > 0.02) & (stops < 0.5) & known),
+            _vote(words == 0, (words >= 20) | ~known & (letters >= 100)),
+            _vote(((size < 2) | (size > 15)) & known, (size > 3) & (size < 10) & known),
             _vote((repeated > 0.5) & (words >= 40)),
             _vote((again > 0.3) & (words >= 10)),
         ],
@@ -170,13 +182,16 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tup
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of the byte trigram at each position, and whether it lies within one document."""
+    """Bucket of the byte trigram at each position, and whether it counts: it lies within one document and is ASCII.
+
+    The scorer learns little of scripts that are rare in its sample, so it leaves them to the labellers.
+    """
     n = len(data)
     if n < 3:
         return np.zeros(0, np.int64), np.zeros(0, bool)
     key = data[:-2].astype(np.uint64) << np.uint64(16) | data[1:-1].astype(np.uint64) << np.uint64(8) | data[2:].astype(np.uint64)
     ends = np.repeat(offsets[1:], np.diff(offsets))[: n - 2]
-    return (arrays.mix(key) >> np.uint64(64 - TRIGRAM_BITS)).astype(np.int64), np.arange(3, n + 1) <= ends
+    return (arrays.mix(key) >> np.uint64(64 - TRIGRAM_BITS)).astype(np.int64), (np.arange(3, n + 1) <= ends) & (data[:-2] < 128) & (data[1:-1] < 128) & (data[2:] < 128)
 
 
 def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +262,7 @@ def fit_sparse(at: np.ndarray, first: np.ndarray, y: np.ndarray, size: int, feat
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, data, offsets in arrays.steps(batch, "text"):
+        for rows, data, offsets in arrays.steps(batch, "text", STEP):
             found = votes(measures(data, offsets)) @ _PLACES
             yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32))], names=["pattern"])
 
@@ -255,7 +270,7 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For learning: the pattern, the share of each trigram bucket, and the measures that are shares."""
     for batch in batches:
-        for _, data, offsets in arrays.steps(batch, "text", 1 << 18):
+        for _, data, offsets in arrays.steps(batch, "text", STEP):
             measured = measures(data, offsets)
             n, buckets = len(offsets) - 1, 1 << TRIGRAM_BITS
             at, inside = trigrams(data, offsets)
@@ -272,7 +287,7 @@ def _bounded(measured: np.ndarray) -> np.ndarray:
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, data, offsets in arrays.steps(batch, "text"):
+        for rows, data, offsets in arrays.steps(batch, "text", STEP):
             doc, at = word_features(data, offsets)
             first = np.searchsorted(doc, np.arange(len(offsets)))
             sets = [at[a:b].astype(np.int32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -377,7 +392,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for rows, data, offsets in arrays.steps(batch, "text"):
+            for rows, data, offsets in arrays.steps(batch, "text", STEP):
                 weak, quality, toxic = model.score(data, offsets)
                 keep = (quality >= LEAST_QUALITY) & (toxic <= MOST_TOXICITY)
                 own = batch.slice(rows.start, rows.stop - rows.start)
@@ -392,7 +407,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, data, offsets in arrays.steps(batch, "text"):
+            for rows, data, offsets in arrays.steps(batch, "text", STEP):
                 _, quality, toxic = sent.value.score(data, offsets)
                 yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array((quality >= LEAST_QUALITY) & (toxic <= MOST_TOXICITY)))
 
@@ -400,5 +415,6 @@ def kept_documents(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scored`` for all documents, without their texts; documents without words aren't kept, ties in the scores stand side by side."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scored(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text")

@@ -1,8 +1,7 @@
-"""Registered queries of this subpackage and the SQL that checks them."""
+"""Registered queries of this subpackage and the SQL that checks them; the pipeline is registered where it is, at the top."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from gainset.llm import op1_score, op2_exact, op3_minhash, op4_language, op5_lines, op6_bpe, op7_suffix, op8_quality, op9_phrases, op10_decontaminate
 
 
@@ -19,7 +18,6 @@ def queries() -> dict:
         "op8_quality": op8_quality.op8_quality,
         "op9_phrase_dedup": op9_phrases.op9_phrase_dedup,
         "op10_decontaminate": op10_decontaminate.op10_decontaminate,
-        "pipeline": corpus_pipeline.run,
     }
 
 
