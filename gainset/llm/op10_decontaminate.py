@@ -72,19 +72,19 @@ def found_items(texts: DataFrame, items: DataFrame) -> DataFrame:
     A null text has no words, a null id is an id like others; that of an item comes out as ``NO_ID``.  Items of under five
     words are too short to be found; repeated items each count.
     """
-    items = items.select(F.coalesce(F.col("item_id"), F.lit(NO_ID)).alias("item_id"), _word_hashes(F.col("text")).alias("item_words")).filter(F.size("item_words") >= 5)
+    items = items.select(F.coalesce(F.col("item_id"), F.lit(NO_ID)).alias("item_id"), _word_hashes(F.col("text")).alias("item_words")).filter(F.size("item_words") >= 5).withColumn("item_size", F.size("item_words"))
     seeds = _seeded(items, "item_words", "item_at", "seed")
     few = seeds.count() <= MOST_BROADCAST
     docs = texts.select("did", "dkey", _word_hashes(F.col("text")).alias("words"))
     hits = _seeded(docs, "words", "at", "doc_seed").join(F.broadcast(seeds) if few else seeds, F.col("doc_seed") == F.col("seed"))
-    laid = hits.select("did", "dkey", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    per_doc = laid.groupBy("did", "dkey").agg(F.collect_list(F.struct("item_id", "shift")).alias("laid"))
-    docs = with_texts(texts, per_doc, "laid", 16, "inner").select("did", "dkey", _word_hashes(F.col("text")).alias("words"), "laid")
-    # An item is longer than what a hit takes of the document, so only that goes on.
-    longest = items.agg(F.max(F.size("item_words"))).first()[0] or 1
-    around = F.transform("laid", lambda x: F.struct(x["item_id"].alias("item_id"), F.least(x["shift"], F.lit(0)).alias("shift"), F.slice("words", F.greatest(x["shift"], F.lit(0)) + 1, F.lit(longest)).alias("words")))
+    laid = hits.select("did", "dkey", "item_id", "item_size", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    per_doc = laid.groupBy("did", "dkey").agg(F.collect_list(F.struct("item_id", "item_size", "shift")).alias("laid"))
+    docs = with_texts(texts, per_doc, "laid", 24, "inner").select("did", "dkey", _word_hashes(F.col("text")).alias("words"), "laid")
+    # Of the document only what the item covers at that alignment goes on.
+    shift = lambda x: F.greatest(x["shift"], F.lit(0))
+    around = F.transform("laid", lambda x: F.struct(x["item_id"].alias("item_id"), x["item_size"].alias("item_size"), F.least(x["shift"], F.lit(0)).alias("shift"), F.slice("words", shift(x) + 1, x["item_size"]).alias("words")))
     hits = docs.select("did", "dkey", F.explode(around).alias("hit")).select("did", "dkey", "hit.*")
-    hits = hits.join(F.broadcast(items) if few else items, "item_id")
+    hits = hits.join(F.broadcast(items) if few else items, ["item_id", "item_size"])
     size = F.size("item_words")
     needed = F.when(size < SHORT, size).otherwise(F.ceil(F.least(size, F.lit(STRETCH)) * 4 / 5)).cast("int")
     checked = hits.select("did", "dkey", "item_id", _same().alias("same"), needed.alias("needed")).select("did", "dkey", "item_id", _best().alias("agree"), "needed")
@@ -107,6 +107,7 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``contamination`` of all documents by the benchmark; item ids are joined by commas."""
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "contaminated", "n_items", F.array_join(F.col("item_ids").cast("array<string>"), ",", "null").alias("item_ids"))
 
