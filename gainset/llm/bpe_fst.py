@@ -20,6 +20,8 @@ from collections.abc import Iterable, Iterator
 _ROOT = 0
 #: Halves of a token that merges never make.
 _NEVER = (-1, -1)
+#: A move packs the next state and the token; ranks are below this.
+_TOKENS = 1 << 20
 #: Bytes of a piece after which settled tokens are emitted.
 _WINDOW = 1024
 
@@ -31,10 +33,14 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], most_states: int = 120_000):
+        if max(ranks.values(), default=0) >= _TOKENS:
+            raise ValueError("a rank is too large to be packed into a move")
         self.ranks = ranks
         self.most_states = most_states
         self.text = {rank: token for token, rank in ranks.items()}
-        self.packed = {rank: struct.pack("<I", rank) for rank in self.text}
+        # What each step looks up is flat, as scattered objects cost more than the work on them.
+        self.packed = [struct.pack("<I", rank) for rank in range(max(self.text, default=-1) + 1)]
+        self.length = [len(self.text.get(rank, b"")) for rank in range(len(self.packed))]
         self.child: dict[int, int] = {}
         self.token = [-1]
         self.depth = [0]
@@ -59,7 +65,7 @@ class Transducer:
         start = ((-1, _ROOT),)
         self.states = [start]
         self.number = {start: 0}
-        self.moves: list[dict[int, tuple[int, int]]] = [{}]
+        self.moves: dict[int, int] = {}
 
     def _split(self, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte.
@@ -82,7 +88,7 @@ class Transducer:
         key = left << 24 | right
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > 400_000:
                 self.apart.clear()
             known = self.apart[key] = self._stay_apart(left, right)
         return known
@@ -104,8 +110,8 @@ class Transducer:
             else:
                 before, right = right + 1, b[0]
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        """The next state and the last token of the prefix that ends with ``byte``."""
+    def _move(self, state: int, byte: int) -> int:
+        """The next state and the last token of the prefix that ends with ``byte``, packed."""
         child, token, children, apart = self.child, self.token, self.children, self.apart
         out, found = [], -1
         for last, node in self.states[state]:
@@ -126,8 +132,7 @@ class Transducer:
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
-        move = self.moves[state][byte] = (number, found)
+        move = self.moves[state << 8 | byte] = number * _TOKENS + found
         return move
 
     def _settled(self, state: int, lasts: list[int]) -> int:
@@ -135,18 +140,18 @@ class Transducer:
         ends = sorted({len(lasts) - self.depth[node] for _, node in self.states[state]})
         while len(ends) > 1:
             end = ends.pop()
-            before = end - len(self.text[lasts[end - 1]])
+            before = end - self.length[lasts[end - 1]]
             if before not in ends:
                 ends.append(before)
                 ends.sort()
         return ends[0]
 
     def _back(self, lasts: list[int], end: int) -> bytes:
-        out, text, packed = [], self.text, self.packed
+        out, length, packed = [], self.length, self.packed
         while end > 0:
             token = lasts[end - 1]
             out.append(packed[token])
-            end -= len(text[token])
+            end -= length[token]
         out.reverse()
         return b"".join(out)
 
@@ -157,10 +162,13 @@ class Transducer:
             return self.packed[whole]
         if len(self.states) > self.most_states:
             self._reset()
-        state, lasts, done, moves = 0, [], b"", self.moves
+        state, lasts, done, known = 0, [], b"", self.moves.get
         for byte in piece:
-            state, token = moves[state].get(byte) or self._move(state, byte)
-            lasts.append(token)
+            move = known(state << 8 | byte)
+            if move is None:
+                move = self._move(state, byte)
+            state = move >> 20
+            lasts.append(move & _TOKENS - 1)
             if len(lasts) >= _WINDOW:
                 end = self._settled(state, lasts)
                 done += self._back(lasts, end)
