@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of equal texts the row with the largest doc_id."""
-    return op2_exact.kept_documents(docs)
+    """Keeps of equal texts one row, with the largest doc_id."""
+    return op2_exact.kept_documents(docs, one_row=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
