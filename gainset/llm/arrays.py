@@ -7,6 +7,7 @@ are differences of prefix polynomials modulo 2**64, mixed afterwards.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ import pyarrow.compute as pc
 STEP_BYTES = 1 << 20
 
 _U = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
@@ -92,6 +94,20 @@ def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+_seen = 0
+
+
+def _release(size: int) -> None:
+    """Gives memory that numpy and Arrow no longer use back now and then; workers outlast operators."""
+    global _seen
+    _seen += size
+    if _seen >= 32 * STEP_BYTES:
+        _seen = 0
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
 def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Row ranges of a batch with their bytes and offsets, of about ``most`` bytes each."""
     data, offsets = packed(batch.column(column))
@@ -101,6 +117,7 @@ def steps(batch: pa.RecordBatch, column: str, most: int = STEP_BYTES) -> Iterato
         last = min(rows, max(last, first + 1), first + 50_000)
         yield slice(first, last), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
+    _release(len(data))
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -18,6 +18,10 @@ import struct
 from collections.abc import Iterable, Iterator
 
 _ROOT = 0
+#: An open position packs its last token, plus one, above the place in the trie, which has room for a byte below.
+_LAST, _PLACE = 32, (1 << 32) - 1
+#: What the trie's entries say of a place in their lowest bits: a token ends there, and some go on.
+_ENDS, _GOES_ON = 1, 2
 #: Halves of a token that merges never make.
 _NEVER = (-1, -1)
 #: A move packs the next state and the token; ranks are below this.
@@ -32,7 +36,7 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 80_000):
         if max(ranks.values(), default=0) >= _TOKENS:
             raise ValueError("a rank is too large to be packed into a move")
         self.ranks = ranks
@@ -41,29 +45,30 @@ class Transducer:
         # What each step looks up is flat, as scattered objects cost more than the work on them.
         self.packed = [struct.pack("<I", rank) for rank in range(max(self.text, default=-1) + 1)]
         self.length = [len(self.text.get(rank, b"")) for rank in range(len(self.packed))]
-        self.child: dict[int, int] = {}
+        places: dict[int, int] = {}
         self.token = [-1]
         self.depth = [0]
-        self.children: list[list[int]] = [[]]
+        goes_on = [False]
         for token, rank in ranks.items():
             node = _ROOT
             for byte in token:
                 key = node << 8 | byte
-                if key not in self.child:
-                    self.child[key] = len(self.token)
-                    self.children[node].append(len(self.token))
+                if key not in places:
+                    places[key] = len(self.token)
+                    goes_on[node] = True
                     self.token.append(-1)
                     self.depth.append(self.depth[node] + 1)
-                    self.children.append([])
-                node = self.child[key]
+                    goes_on.append(False)
+                node = places[key]
             self.token[node] = rank
+        self.child = {key: node << 8 | _ENDS * (self.token[node] >= 0) | _GOES_ON * goes_on[node] for key, node in places.items()}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.apart: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = ((-1, _ROOT),)
-        self.states = [start]
+        start = (_ROOT << 8,)
+        self.states: list[tuple[int, ...]] = [start]
         self.number = {start: 0}
         self.moves: dict[int, int] = {}
 
@@ -79,18 +84,16 @@ class Transducer:
         return self.halves[rank]
 
     def stay_apart(self, left: int, right: int) -> bool:
-        """Whether the merges never join anything across the border of two tokens.
+        """Whether the merges never join anything across the border of two tokens (-1: the piece's start); kept for later.
 
         The later of the two was completed last, so the border is followed back in
         time: at each step the token made later is taken apart, and a merge across
         the border that would have come before that step rules the pair out.
         """
-        key = left << 24 | right
-        known = self.apart.get(key)
-        if known is None:
-            if len(self.apart) > 400_000:
-                self.apart.clear()
-            known = self.apart[key] = self._stay_apart(left, right)
+        if len(self.apart) > 400_000:
+            self.apart.clear()
+        known = self._split(right) != _NEVER if left < 0 else self._stay_apart(left, right)
+        self.apart[left + 1 << 24 | right] = known
         return known
 
     def _stay_apart(self, left: int, right: int) -> bool:
@@ -111,36 +114,35 @@ class Transducer:
                 before, right = right + 1, b[0]
 
     def _move(self, state: int, byte: int) -> int:
-        """The next state and the last token of the prefix that ends with ``byte``, packed."""
-        child, token, children, apart = self.child, self.token, self.children, self.apart
-        out, found = [], -1
-        for last, node in self.states[state]:
-            node = child.get(node << 8 | byte, -1)
-            if node >= 0:
-                ends = token[node]
-                if ends >= 0 and found < 0:
-                    fits = apart.get(last << 24 | ends) if last >= 0 else self._split(ends) != _NEVER
-                    if self.stay_apart(last, ends) if fits is None else fits:
+        """The next state, with room for a byte below, and the last token of the prefix that ends with ``byte``, packed."""
+        child, apart, out, found = self.child.get, self.apart.get, [], -1
+        for position in self.states[state >> 8]:
+            place = child(position & _PLACE | byte)
+            if place is not None:
+                if found < 0 and place & _ENDS:
+                    ends, last = self.token[place >> 8], position >> _LAST
+                    fits = apart(last << 24 | ends)
+                    if self.stay_apart(last - 1, ends) if fits is None else fits:
                         found = ends
-                if children[node]:
-                    out.append((last, node))
+                if place & _GOES_ON:
+                    out.append(position >> _LAST << _LAST | place >> 8 << 8)
         if found < 0:
             raise ValueError("the ranks lack a single byte")
-        out.append((found, _ROOT))
+        out.append(found + 1 << _LAST)
         key = tuple(out)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-        move = self.moves[state << 8 | byte] = number * _TOKENS + found
+        move = self.moves[state | byte] = number * (_TOKENS << 8) + found
         return move
 
     def _settled(self, state: int, lasts: list[int]) -> int:
         """Up to where the tokens are the same whatever follows: where the ways back from all open positions meet."""
-        ends = sorted({len(lasts) - self.depth[node] for _, node in self.states[state]})
+        ends = sorted({len(lasts) - self.depth[(position & _PLACE) >> 8] for position in self.states[state >> 8]})
         while len(ends) > 1:
             end = ends.pop()
-            before = end - self.length[lasts[end - 1]]
+            before = end - self.length[lasts[end - 1] & _TOKENS - 1]
             if before not in ends:
                 ends.append(before)
                 ends.sort()
@@ -149,7 +151,7 @@ class Transducer:
     def _back(self, lasts: list[int], end: int) -> bytes:
         out, length, packed = [], self.length, self.packed
         while end > 0:
-            token = lasts[end - 1]
+            token = lasts[end - 1] & _TOKENS - 1
             out.append(packed[token])
             end -= length[token]
         out.reverse()
@@ -162,18 +164,20 @@ class Transducer:
             return self.packed[whole]
         if len(self.states) > self.most_states:
             self._reset()
-        state, lasts, done, known = 0, [], b"", self.moves.get
-        for byte in piece:
-            move = known(state << 8 | byte)
-            if move is None:
-                move = self._move(state, byte)
-            state = move >> 20
-            lasts.append(move & _TOKENS - 1)
-            if len(lasts) >= _WINDOW:
+        state, lasts, done, known = 0, [], [], self.moves.get
+        keep = lasts.append
+        for low in range(0, len(piece), _WINDOW):
+            for byte in piece[low : low + _WINDOW]:
+                move = known(state | byte)
+                if move is None:
+                    move = self._move(state, byte)
+                state = move >> 20
+                keep(move)
+            if low + _WINDOW < len(piece):
                 end = self._settled(state, lasts)
-                done += self._back(lasts, end)
+                done.append(self._back(lasts, end))
                 del lasts[:end]
-        return done + self._back(lasts, len(lasts))
+        return b"".join([*done, self._back(lasts, len(lasts))])
 
 
 def merged(piece: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
@@ -219,23 +223,27 @@ class Utf8Stream:
 
 
 class _Pieces(dict):
-    """Pieces met before; it starts afresh at its bound."""
+    """Pieces met before, the latest ``most`` and up to as many before those; pieces that come again stay."""
 
     def __init__(self, fst: Transducer, most: int):
         super().__init__()
-        self.fst, self.most = fst, most
+        self.fst, self.most, self.older = fst, most, {}
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.fst.piece(piece.encode())
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        ids = self[piece] = self.fst.piece(piece.encode())
+        self[piece] = ids
         return ids
 
 
 class Codec:
     """Encoder and decoder for one set of ranks and one splitting pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_pieces: int = 160_000):
         import regex
 
         self.fst = Transducer(ranks)

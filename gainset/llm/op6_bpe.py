@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
@@ -17,10 +17,11 @@ from gainset.llm.bpe_fst import Codec, parse_ranks
 from gainset.llm.tables import table
 
 
-@lru_cache(maxsize=2)
-def _codec(raw: bytes, pattern: str) -> Codec:
-    """One codec in each worker process, whose states outlast a task."""
-    return Codec(parse_ranks(raw), pattern)
+def _codec(sent: Broadcast, pattern: str) -> Codec:
+    """One codec in each worker process, kept with the ranks' broadcast: its states outlast a task, but not the operator."""
+    if not hasattr(sent, "codec"):
+        sent.codec = Codec(parse_ranks(sent.value), pattern)
+    return sent.codec
 
 
 def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, text_column: str = "text", decode: bool = False) -> DataFrame:
@@ -37,7 +38,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, text_column
     schema = StructType([*docs.schema.fields, *[StructField(name, BinaryType()) for name in added]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(raw.value, pattern)
+        codec = _codec(raw, pattern)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_column))
             first, ids, decoded, size = 0, [], [], 0
@@ -57,6 +58,7 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, text_column
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded bytes of every whole text."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
