@@ -330,7 +330,7 @@ def scored(docs: DataFrame, net: Network, counts: DataFrame, text_column: str =
                 joined = pa.StructArray.from_arrays([pa.array(words[pairs % max(len(words), 1)]), pa.array(times)], names=["word", "times"])
                 own = batch.slice(rows.start, rows.stop - rows.start)
                 columns = [own.column(own.schema.get_field_index(f.name)) for f in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(count), pa.array(np.bincount(doc, each, len(count))), pa.ListArray.from_arrays(pa.array(ends), joined)], names=[f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(count), pa.array(np.bincount(doc, each, len(count)).astype(float)), pa.ListArray.from_arrays(pa.array(ends), joined)], names=[f.name for f in schema.fields])
 
     rows = docs.mapInArrow(run, schema)
     if not every:

@@ -237,3 +237,96 @@ def test_components(spark):
         parent[y] = x
     want = {x: find(x) for ab in links if ab[0] != ab[1] for x in ab}
     assert {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_texts_without_repeats(spark, name):
+    unit, operator, split, join, length, later = OPERATORS[name]
+    rng = random.Random(8)
+    unique = lambda n: unit.join(f"{rng.random():.17f}" for _ in range(n))
+    for rows in ([(1, unique(40))], [(i, unique(rng.randint(1, 60))) for i in range(12)]):
+        for partitions in (1, 4):
+            check(rows, operator(docs_of(spark, rows).repartition(partitions)), split, join, length, later)
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_long_texts_go_in_segments(spark, monkeypatch, name):
+    unit, operator, split, join, length, later = OPERATORS[name]
+    monkeypatch.setattr(recurrence, "SEGMENT", 50)
+    rng = random.Random(11)
+    long = unit.join(rng.choice(["a", "b", "cc", "d", "é"]) for _ in range(700))
+    check([(1, long), (2, unit.join(["a"] * 300)), (3, long[100:500])], operator(docs_of(spark, [(1, long), (2, unit.join(["a"] * 300)), (3, long[100:500])])), split, join, length, later)
+
+
+def test_places_are_what_the_automaton_finds(monkeypatch):
+    import ahocorasick
+
+    class Blind:
+        add_word = make_automaton = lambda self, *a: None
+        iter = lambda self, text: iter(())
+
+    phrases = [b"a b c d", b"b c d a b c"]
+    assert len(set(Automaton(3)(phrases)[2])) == 4
+    monkeypatch.setattr(ahocorasick, "Automaton", Blind)
+    assert len(set(Automaton(3)(phrases)[2])) == 6
+
+
+def test_order_of_a_shard_is_that_of_its_suffixes():
+    rng = random.Random(3)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 300))) for _ in range(20)]
+    offsets = np.append(0, np.cumsum([len(x) for x in strings]))
+    order = SuffixArray(9).order(np.frombuffer(b"".join(strings), np.uint8), offsets, np.arange(offsets[-1]))
+    row = np.searchsorted(offsets, order, "right") - 1
+    suffixes = [strings[r][p - offsets[r] :] for r, p in zip(row, order, strict=True)]
+    assert suffixes == sorted(suffixes)
+
+
+def test_one_row_of_equal_rows(spark):
+    rows = [(7, "r"), (7, "r"), (None, "q"), (None, "q"), (3, "q"), (None, None), (None, ""), (1, "x")]
+    kept = op2_exact.kept_documents(docs_of(spark, rows), one_row=True)
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == [("1", "x"), ("3", "q"), ("7", "r"), ("None", "")]
+    assert op2_exact.kept_documents(docs_of(spark, []), one_row=True).count() == 0
+
+
+def test_filter_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(op2_exact, "MOST_BITS", 1 << 15)
+    rows = [(i, f"text {i % 2990}") for i in range(3000)]
+    got = op2_exact.exact_groups(docs_of(spark, rows))
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got.collect()) == [(i, 2990 + i % 2990 if i % 2990 < 10 else i, 2 if i % 2990 < 10 else 1) for i in range(3000)]
+    assert op2_exact.kept_documents(docs_of(spark, rows), one_row=True).count() == 2990
+    assert 1 - (1 - 2.0 ** -op2_exact.filter_bits(10**9)) ** 10**9 < 0.04  # unique rows that shuffle in vain
+
+
+@pytest.mark.parametrize("direct", [2_048, 8])
+def test_large_group_of_copies_with_a_common_change(spark, monkeypatch, direct):
+    monkeypatch.setattr(op3_minhash, "DIRECT", direct)  # 8: finer and finer buckets
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+    base = [rng.choice(words) for _ in range(100)]
+    rows = []
+    for j in range(400 if direct > 8 else 80):
+        own = list(base)
+        if j % 3 == 0:
+            own[40:44] = ["changed", "alike", "in", "many"]
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(100)] = rng.choice(words)
+        rows.append((j, " ".join(own)))
+    sets = {i: shingles(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    pairs, confirmed = [], op3_minhash._confirmed
+    monkeypatch.setattr(op3_minhash, "_confirmed", lambda p, *a: (pairs.append(p.count()), confirmed(p, *a))[1])
+    got = {r.doc_id: r.component_id for r in op3_minhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {i: find(i) for i in sets}
+    assert sum(pairs) < 25 * len(rows)
