@@ -13,6 +13,7 @@ from gainset.operators.strategies import mine_partitioned
 from gainset.sources.text import read_profits, read_transactions
 
 STRATEGIES = {
+    "local": lambda *a: mine_partitioned(*a, mode="local"),
     "level": mine,
     "static": lambda *a: mine_partitioned(*a, mode="static"),
     "merge": lambda *a: mine_partitioned(*a, mode="merge"),
@@ -54,16 +55,16 @@ def medians(runs: DataFrame) -> DataFrame:
 
 
 def speedups(summary: DataFrame, base: str = "level") -> DataFrame:
-    """Time and work against the base strategy of the same setting; 0 where there is nothing to divide by."""
+    """Time and work against the base strategy of the same setting; 0 where there is nothing to divide by, null without the base."""
     same = Window.partitionBy("dataset", "k", "minProb")
     base_time = F.max(F.when(F.col("algorithm") == base, F.col("time_ms"))).over(same)
     base_joins = F.max(F.when(F.col("algorithm") == base, F.col("joins"))).over(same)
     return summary.withColumn("speedup", F.when(F.col("time_ms") > 0, base_time / F.col("time_ms")).otherwise(F.lit(0.0))).withColumn("work_ratio", F.when(base_joins > 0, F.col("joins") / base_joins).otherwise(F.lit(0.0)))
 
 
-def show(summary: DataFrame) -> None:
-    """Timing and work on the console."""
-    table = speedups(summary).orderBy("dataset", "minProb", "k", "algorithm")
+def show(summary: DataFrame, base: str = "local") -> None:
+    """Timing and work on the console, against the base strategy."""
+    table = speedups(summary, base).orderBy("dataset", "minProb", "k", "algorithm")
     table.select("dataset", "k", "minProb", "algorithm", "threads", "time_ms", F.round("speedup", 2).alias("speedup"), "patterns").show(100, False)
     table.select("dataset", "k", "minProb", "algorithm", "nodes", "joins", F.round("work_ratio", 3).alias("work_ratio")).show(100, False)
 

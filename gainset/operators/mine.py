@@ -71,15 +71,18 @@ def mine(tx: DataFrame, profits: DataFrame, k: int, min_prob: float, keep_zero_p
     return grow(prepare(tx, profits, min_prob, keep_zero_ptwu), k, min_prob, prune, most_candidates)
 
 
-def grow(prepared: Prepared, k: int, min_prob: float, prune: bool = True, most_candidates: int | None = None) -> MiningResult:
+def grow(prepared: Prepared, k: int, min_prob: float, prune: bool = True, most_candidates: int | None = None, first: DataFrame | None = None, tau: float = topk.NOTHING) -> MiningResult:
+    """The levels of ``mine``; with ``first`` only of itemsets that begin with items of these ranks, from a threshold that is known."""
     entries = stored(prepared.entries, "entries", free=False)
     patterns, state = seeds(entries)
     patterns = stored(patterns, "patterns", free=False)
     best = stored(topk.top(patterns, k), "top", free=False)
-    tau = topk.threshold(best, k)
+    tau = max(tau, topk.threshold(best, k))
     n = patterns.count()
     result = MiningResult(best, [])
     live = promising(patterns, tau, prune)
+    if first is not None:
+        live = live.join(first.select(F.col("rank").cast("long").alias("pid")), "pid", "left_semi")
     state = state.join(live.select("pid"), "pid", "left_semi")
     kept = live.count()
     result.levels.append({"level": 1, "tried": n, "probable": n, "extended": kept})
@@ -99,7 +102,7 @@ def grow(prepared: Prepared, k: int, min_prob: float, prune: bool = True, most_c
             break
         found = tried.filter(F.col("ep") >= min_prob - EPS)
         best = stored(topk.merge(best, found.filter(at_least(F.col("eu"), tau)), k), "top", free=False)
-        tau = topk.threshold(best, k)
+        tau = max(tau, topk.threshold(best, k))
         survivors = promising(found, tau, prune)
         kept = survivors.count()
         result.levels.append({"level": len(result.levels) + 1, "tried": count, "probable": probable, "extended": kept})

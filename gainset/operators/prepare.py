@@ -77,6 +77,11 @@ class Prepared:
 
 
 def prepare(tx: DataFrame, profits: DataFrame, min_prob: float, keep_zero_ptwu: bool = False) -> Prepared:
-    known = known_entries(tx, profits)
+    """Ranked entries of the valid rows; ``split_valid`` tells what the others are.
+
+    Rows are dealt by transaction first, which serves the check for repeated items, the
+    transaction's utility and the suffix sums.
+    """
+    known = known_entries(split_valid(tx.repartition("tid"))[0], profits)
     items = ranked_items(admissible_items(item_bounds(known), min_prob, keep_zero_ptwu))
     return Prepared(items, ranked_entries(known, items))

@@ -5,8 +5,11 @@ on.  Prefixes whose database fits a task's budget are mined depth-first in Pytho
 each in its own group; prefixes beyond the budget are grown level by level, so that
 no task ever holds an unbounded one.
 
+* ``local``: one task mines all prefixes in turn, with one top k throughout; the base
+  that the others are compared with.
 * ``static``: prefixes go to ``n`` tasks by their rank, with the seeds' threshold.
-* ``merge``: each task keeps its own top k, which are merged at the end.
+* ``merge``: each task starts with nothing and keeps its own top k, which are merged at
+  the end; the threshold of others, the seeds' too, doesn't help it.
 * ``waves``: prefixes of the highest bounds first; each wave starts with the
   threshold that the waves before it reached.
 """
@@ -28,6 +31,8 @@ from gainset.scratch import stored
 
 #: Rows of a prefix's database that one task may hold.
 PREFIX_ROWS = 2_000_000
+MODES = ("local", "static", "merge", "waves")
+WORK = ("tried", "probable", "extended")
 
 
 class _Top:
@@ -37,6 +42,8 @@ class _Top:
         import heapq
 
         self.heapq, self.k, self.tau, self.held = heapq, k, tau, []
+        #: Extensions tried, those probable enough, and those that were extended.
+        self.tried = self.probable = self.extended = 0
 
     def offer(self, itemset: tuple[int, ...], eu: float, ep: float) -> None:
         entry = (eu, -len(itemset), tuple(-i for i in itemset), ep)
@@ -66,6 +73,7 @@ def mine_prefix(rows: pd.DataFrame, best: _Top, min_prob: float) -> None:
 
     def extend(itemset: tuple[int, ...], held: list[np.ndarray], after: int) -> None:
         for i in range(after, len(lists)):
+            best.tried += 1
             tids, left, right = np.intersect1d(held[0], lists[i][0], assume_unique=True, return_indices=True)
             if not len(tids):
                 continue
@@ -74,12 +82,14 @@ def mine_prefix(rows: pd.DataFrame, best: _Top, min_prob: float) -> None:
             ep = 1 - np.prod(1 - prob)
             if ep < min_prob - EPS:
                 continue
+            best.probable += 1
             eu = float((util * prob).sum())
             grown = (*itemset, int(items[i]))
             if eu >= _slack(best.tau):
                 best.offer(tuple(sorted(grown)), eu, float(ep))
             total = util + rem
             if ptu.sum() >= _slack(best.tau) and (prob * np.maximum(total, 0)).sum() >= _slack(best.tau):
+                best.extended += 1
                 extend(grown, [tids, util, prob, ptu], i + 1)
 
     if lists:
@@ -88,14 +98,14 @@ def mine_prefix(rows: pd.DataFrame, best: _Top, min_prob: float) -> None:
 
 
 def _task(k: int, seed: float, min_prob: float):
-    """Mines the prefixes of one group, and gives the best k that reach the seed."""
+    """Mines the prefixes of one group, and gives the best k that reach the seed, and a row without itemset that holds its work."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         top = _Top(k, seed)
         for _, own in group.groupby("prefix", sort=True):
             mine_prefix(own, top, min_prob)
-        found = [([-i for i in items], eu, ep) for eu, _, items, ep in top.held]
-        return pd.DataFrame(found, columns=["itemset", "eu", "ep"])
+        found = [([-i for i in items], eu, ep, 0, 0, 0) for eu, _, items, ep in top.held]
+        return pd.DataFrame([*found, (None, None, None, top.tried, top.probable, top.extended)], columns=["itemset", "eu", "ep", *WORK])
 
     return run
 
@@ -107,8 +117,11 @@ def prefix_rows(entries: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def mine_partitioned(tx: DataFrame, profits: DataFrame, k: int, min_prob: float, mode: str = "static", tasks: int = 16, waves: int = 3, prefix_budget: int = PREFIX_ROWS) -> MiningResult:
-    """As ``mine``, by prefixes; ``mode`` is ``static``, ``merge`` or ``waves``."""
-    if mode not in ("static", "merge", "waves"):
+    """As ``mine``, by prefixes; ``mode`` is ``local``, ``static``, ``merge`` or ``waves``.
+
+    ``local`` raises ``ValueError`` where the databases of all prefixes are beyond the budget of one task.
+    """
+    if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -119,29 +132,38 @@ def mine_partitioned(tx: DataFrame, profits: DataFrame, k: int, min_prob: float,
     best = stored(topk.top(patterns, k), "top", free=False)
     tau = topk.threshold(best, k)
     sized = _sized(entries, patterns)
+    total, most = sized.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    if mode == "local" and (most or 0) > prefix_budget:
+        raise ValueError(f"{most} rows are too many for one task")
     slices = waves if mode == "waves" else 1
-    total = patterns.count()
-    levels = [{"level": 1, "tried": total, "probable": total, "extended": total}]
+    work = [total, total, 0]
     for wave in range(slices):
         low, high = wave * total // slices, (wave + 1) * total // slices
-        live = sized.filter((F.col("rank") >= low) & (F.col("rank") < high) & at_least(F.col("ptwu"), tau) & at_least(F.col("pub"), tau))
+        known = topk.NOTHING if mode == "merge" else tau
+        live = sized.filter((F.col("rank") >= low) & (F.col("rank") < high) & at_least(F.col("ptwu"), known) & at_least(F.col("pub"), known))
+        work[2] += live.count()
         small = live.filter(F.col("rows") <= prefix_budget).select(F.col("rank").alias("prefix"))
         rows = prefix_rows(entries, small)
         # A task mines one prefix at a time when its prefixes are large, else several small ones together.
-        grouped = rows.withColumn("bucket", F.col("prefix") if mode == "waves" else F.col("prefix") % tasks)
-        heavy = prefix_budget // max(1, total // max(1, tasks) + 1)
-        grouped = grouped.join(sized.select(F.col("rank").alias("prefix"), "rows"), "prefix").withColumn("own", F.when(F.col("rows") > heavy, F.col("prefix")).otherwise(F.lit(-1)))
-        found = grouped.select("bucket", "own", "prefix", "tid", "item", "rank", "util", "prob", "rem", "ptu").groupBy("bucket", "own").applyInPandas(_task(k, tau, min_prob), PATTERNS)
-        best = stored(topk.merge(best, found, k), "top", free=False)
+        bucket = {"local": F.lit(0), "waves": F.col("prefix")}.get(mode, F.col("prefix") % tasks)
+        heavy = most if mode == "local" else prefix_budget // max(1, total // max(1, tasks) + 1)
+        grouped = rows.withColumn("bucket", bucket).join(sized.select(F.col("rank").alias("prefix"), "rows"), "prefix")
+        grouped = grouped.withColumn("own", F.when(F.col("rows") > heavy, F.col("prefix")).otherwise(F.lit(-1)))
+        grouped = grouped.select("bucket", "own", "prefix", "tid", "item", "rank", "util", "prob", "rem", "ptu")
+        found = grouped.groupBy("bucket", "own").applyInPandas(_task(k, known, min_prob), PATTERNS + "".join(f", {w} long" for w in WORK))
+        found = stored(found, "found", free=False)
+        done = found.filter("itemset is null").agg(*[F.sum(w) for w in WORK]).first()
+        work = [a + (b or 0) for a, b in zip(work, done, strict=True)]
+        best = stored(topk.merge(best, found.filter("itemset is not null"), k), "top", free=False)
         tau = topk.threshold(best, k)
         large = live.filter(F.col("rows") > prefix_budget).select("rank")
         if large.limit(1).count():
-            more = grow(prepared, k, min_prob)
+            more = grow(prepared, k, min_prob, first=large, tau=tau)
             both = best.unionByName(more.patterns).groupBy("itemset").agg(F.max("eu").alias("eu"), F.max("ep").alias("ep"))
             best = stored(topk.top(both, k), "top", free=False)
-            levels += more.levels[1:]
-            break
-    return MiningResult(best, levels)
+            tau = topk.threshold(best, k)
+            work = [a + sum(x[w] for x in more.levels[1:]) for a, w in zip(work, WORK, strict=True)]
+    return MiningResult(best, [{"level": 0, **dict(zip(WORK, work, strict=True))}])
 
 
 def _sized(entries: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gainset.sources.text import numbered_lines, parse_occurrences, parse_utilities
+
 #: Share of the items, those of least average utility, whose profit turns negative.
 NEGATIVE_SHARE = 0.3
 DEFAULT_PROB = 0.1
@@ -50,11 +52,17 @@ def merged_sources(utilities: DataFrame, occurrences: DataFrame) -> tuple[DataFr
     """Transactions of quantity 1 and signed profits from two files of the same lines.
 
     ``utilities`` has (line, item, util), ``occurrences`` (line, item, prob), with
-    lines numbered by position.  An item without a probability gets a small one.
+    lines numbered by position.  An item without a probability gets a small one, and one
+    with several the largest.
     """
     if utilities.select("line").distinct().count() != occurrences.select("line").distinct().count():
         raise ValueError("the two files have different numbers of lines")
     averages = utilities.groupBy("item").agg(F.avg("util").alias("average"))
-    known = occurrences.groupBy("line", "item").agg(F.last("prob").alias("prob"))
+    known = occurrences.groupBy("line", "item").agg(F.max("prob").alias("prob"))
     rows = utilities.join(known, ["line", "item"], "left")
     return rows.select(F.col("line").alias("tid"), "item", F.lit(1).alias("qty"), F.coalesce("prob", F.lit(DEFAULT_PROB)).alias("prob")), signed_profits(averages)
+
+
+def read_merged(spark: SparkSession, utilities: str, occurrences: str) -> tuple[DataFrame, DataFrame]:
+    """``merged_sources`` of two paths, whose lines go together by their positions."""
+    return merged_sources(parse_utilities(numbered_lines(spark, utilities)), parse_occurrences(numbered_lines(spark, occurrences)))

@@ -195,6 +195,7 @@ def queries() -> dict[str, Query]:
         "mine_brand_all": _mining("brand", 20_000),
         "mine_brand_ep_high": _mining("brand", 200, 0.999),
         "mine_positive_only": _mining("brand", 300, positive=True),
+        "mine_local": _partitioned("local"),
         "mine_partitioned": _partitioned("static"),
         "mine_local_merge": _partitioned("merge"),
         "mine_waves": _partitioned("waves"),

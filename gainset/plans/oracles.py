@@ -94,6 +94,7 @@ def statements() -> dict[str, str]:
         "mine_brand_all": _exhaustive(20_000),
         "mine_brand_ep_high": _exhaustive(200, min_prob=0.999),
         "mine_positive_only": _exhaustive(300, positive=True),
+        "mine_local": flagship,
         "mine_partitioned": flagship,
         "mine_local_merge": flagship,
         "mine_waves": flagship,

@@ -15,8 +15,16 @@ _TOKEN = r"^([^:]+):([^:]+):([^:]+):*$"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with a number that grows through the file: line, value."""
-    return spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    """Lines numbered 0, 1, ... through the file, and through the files of a folder by their names: line, value.
+
+    Spark deals files out by size, so the order of partitions says nothing.  The lines of
+    each block of a file are counted, and each line adds those of the blocks before; one row a block meets in one task.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")).withColumn("id", F.monotonically_increasing_id())
+    blocks = rows.groupBy("file", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.select("file", "start", (before - F.col("first")).alias("shift"))
+    return rows.join(placed, ["file", "start"]).select((F.col("id") + F.col("shift")).alias("line"), "value")
 
 
 def _tokens(value: Column) -> Column:

@@ -10,7 +10,7 @@ from gainset.operators import prepare as prep
 from gainset.operators.experiment import RUNS, medians, speedups, sweep
 from gainset.operators.mine import mine
 from gainset.operators.strategies import mine_partitioned
-from gainset.operators.synth import merged_sources
+from gainset.operators.synth import merged_sources, read_merged
 from gainset.sources import sinks, text
 
 LINES = ["1:1:0.9 2:2:0.8 3:1:1.0", "1:2:0.6 3:3:0.7", "2:1:0.5 3:2:0.9", "1:1:0.8 2:1:1.0"]
@@ -170,3 +170,39 @@ def test_upper_median_and_speedup(spark):
     runs = [("d", "level", 5, 0.7, 8, i, t, 0, 0, 0, 5, 1, 4) for i, t in enumerate((9, 12, 10, 8))] + [("d", "static", 5, 0.7, 8, 0, 0, 0, 0, 0, 5, 1, 2)]
     got = {r.algorithm: (r.time_ms, r.speedup, r.work_ratio) for r in speedups(medians(spark.createDataFrame(runs, RUNS))).collect()}
     assert got == {"level": (10, 1.0, 1.0), "static": (0, 0.0, 0.5)}
+
+
+def test_lines_follow_the_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "part-0").write_text("1 10.0\n2 5.0\n")
+    (tmp_path / "in" / "part-1").write_text("".join(f"{i} 1.0\n" for i in range(3, 400)) + "1 99.0\n")
+    lines = text.numbered_lines(spark, str(tmp_path / "in"))
+    got = {r.line: r.value for r in lines.collect()}
+    assert sorted(got) == list(range(400)) and got[0] == "1 10.0" and got[2] == "3 1.0" and got[399] == "1 99.0"
+    assert {r.item: r.profit for r in text.read_profits(spark, str(tmp_path / "in")).collect()}[1] == 99.0
+
+
+def test_invalid_rows_are_not_mined(spark):
+    tx, profits = frames(spark, [*LINES, "1:1:NaN 2:1:1.7 3:1:0.0", "3:0:0.5", "1:9:0.5 1:9:0.5"], PROFITS)
+    assert rows(mine(tx, profits, 8, 0.7)) == rows(mine(*frames(spark, LINES, PROFITS), 8, 0.7))
+
+
+def test_merged_files_go_by_position(spark, tmp_path):
+    (tmp_path / "u.txt").write_text("1 3 : 9 : 4 5\n3 : 1 : 1\n")
+    (tmp_path / "o.txt").write_text("1 1:0.6\n2 3:0.7\n")
+    tx, _ = read_merged(spark, str(tmp_path / "u.txt"), str(tmp_path / "o.txt"))
+    assert sorted(tx.collect()) == [(0, 1, 1, 0.6), (0, 3, 1, 0.1), (1, 3, 1, 0.7)]
+
+
+def test_every_schedule_counts_its_work(spark):
+    lines, profits = random_db(1)
+    data = frames(spark, lines, profits)
+    want = brute(lines, profits, 99, 0.6)
+    for mode in ("local", "static", "merge", "waves"):
+        result = mine_partitioned(*data, 99, 0.6, mode=mode)  # with k this large nothing but the probability prunes
+        assert [r[1] for r in rows(result)] == [pytest.approx(w[1]) for w in want]
+        assert sum(x["probable"] for x in result.levels) == len(want) and result.tried >= len(want)
+    few = {m: mine_partitioned(*data, 2, 0.6, mode=m).tried for m in ("local", "merge")}
+    assert few["local"] <= few["merge"]
+    with pytest.raises(ValueError):
+        mine_partitioned(*data, 9, 0.5, mode="local", prefix_budget=1)
