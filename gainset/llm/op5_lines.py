@@ -2,8 +2,10 @@
 
 Lines are hashed, and the least hash of each three neighbouring lines is a
 fingerprint, so that any run of three lines or more that documents share holds a
-fingerprint of both.  Positions are joined by fingerprint and extended to both
-sides; of a repeated run the later ones go.
+fingerprint of both.  Around each fingerprint lies the phrase of all runs that it
+stands for, which is the match extended to both sides as far as the fingerprint
+reaches; phrases meet by fingerprint, equal ones recur as a whole, and in others the
+runs are compared line by line.  Of a repeated run the later ones go.
 
 ``op5_line_dedup`` does that, as its SQL says.  ``op5_passage_dedup`` also takes
 shorter runs, single lines and pairs, of ten words or more, so that a passage is found by

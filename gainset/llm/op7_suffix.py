@@ -1,11 +1,16 @@
 """Suffix-array dedup by prefix-free parsing.
 
-The parse: rolling hashes of 16 bytes trigger at the least value of each stretch,
-which cuts every document into overlapping phrases of bounded length, a phrase for
-each trigger, with all 200-byte strings that the trigger stands for.  The dictionary
-holds each distinct phrase once, dealt out by the text after its trigger.  Phrases
-that recur settle their strings at once; what differs in a shard of the dictionary
-goes through its suffix array, where equal 200-byte prefixes are neighbours.
+Two parses, one in the other.  Over the corpus, rolling hashes of 16 bytes trigger at the
+least value of each stretch and cut every document into overlapping phrases of bounded
+length, with all 200-byte strings that the trigger stands for.  A dictionary of distinct
+phrases, dealt out by the text after the trigger, settles those that recur whole.  What
+differs in a shard is parsed again at finer triggers: its dictionary and its parse get
+suffix arrays, which combine into the order of all the shard's suffixes, and neighbours
+in that order are compared over 200 bytes.  Equal strings are always in one shard, so
+the orders of the shards aren't merged.
+
+A document is looked at in segments of ``recurrence.SEGMENT`` bytes; removing takes some
+40 bytes of memory for each byte of the longest document.
 """
 
 from __future__ import annotations

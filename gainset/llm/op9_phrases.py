@@ -1,9 +1,10 @@
 """Substring dedup by repeated-phrase automata.
 
-Phrases of bounded length are confirmed to recur by their hashes across all
-documents; where phrases around the same core differ, the shard that holds the core
-compiles the 20-word passages that recur into an Aho-Corasick automaton and streams
-every document's stretch through it to find all places.  The first place stays.
+Phrases of bounded length around rolling fingerprints meet by their core; equal ones
+recur as a whole.  Where phrases around the same core differ, the shard of the core
+confirms by counts which 20-word passages recur, compiles them into an Aho-Corasick
+automaton and streams every stretch of text that holds the core through it.  There the
+automaton alone says where passages are.  The first place stays.
 """
 
 from __future__ import annotations
