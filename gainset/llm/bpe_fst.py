@@ -8,7 +8,9 @@ it.  The open positions, each with the token that ends at it and the place in th
 token trie that the bytes since lead to, make up a state; a move outputs the last
 token of the prefix it completes.  The ways back from all open positions meet
 within a bounded distance, and what lies before is settled and emitted.  States
-and moves are built when first met and kept up to a bound, then built afresh.
+and moves are built when first met, up to a bound.  A piece that needs one beyond it
+is followed to its end without states: its open positions are those that the longest
+of them has behind it (suffix links of the trie), so that one alone is carried on.
 """
 
 from __future__ import annotations
@@ -62,16 +64,30 @@ class Transducer:
                 node = places[key]
             self.token[node] = rank
         self.child = {key: node << 8 | _ENDS * (self.token[node] >= 0) | _GOES_ON * goes_on[node] for key, node in places.items()}
+        self._link()
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.apart: dict[int, bool] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         start = (_ROOT << 8,)
         self.states: list[tuple[int, ...]] = [start]
         self.number = {start: 0}
         self.moves: dict[int, int] = {}
 
+    def _link(self) -> None:
+        """Suffix links of the trie, and the tokens that end at each place, longest first."""
+        self.shorter = [_ROOT] * len(self.token)
+        self.ending: list[tuple[int, ...]] = [()] * len(self.token)
+        # A shorter suffix is nearer to the root, so its entries are ready when places are taken by depth.
+        for key, place in sorted(self.child.items(), key=lambda x: self.depth[x[1] >> 8]):
+            node, link = place >> 8, key >> 8
+            if link != _ROOT:
+                byte = key & 255
+                link = self.shorter[link]
+                while (found := self.child.get(link << 8 | byte)) is None and link != _ROOT:
+                    link = self.shorter[link]
+                self.shorter[node] = _ROOT if found is None else found >> 8
+            behind = self.ending[self.shorter[node]]
+            self.ending[node] = (self.token[node], *behind) if self.token[node] >= 0 else behind
+
     def _split(self, rank: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte.
 
@@ -137,9 +153,9 @@ class Transducer:
         move = self.moves[state | byte] = number * (_TOKENS << 8) + found
         return move
 
-    def _settled(self, state: int, lasts: list[int]) -> int:
+    def _settled(self, places: Iterable[int], lasts: list[int]) -> int:
         """Up to where the tokens are the same whatever follows: where the ways back from all open positions meet."""
-        ends = sorted({len(lasts) - self.depth[(position & _PLACE) >> 8] for position in self.states[state >> 8]})
+        ends = sorted({len(lasts) - self.depth[place] for place in places})
         while len(ends) > 1:
             end = ends.pop()
             before = end - self.length[lasts[end - 1] & _TOKENS - 1]
@@ -148,6 +164,37 @@ class Transducer:
                 ends.sort()
         return ends[0]
 
+    def _places(self, node: int) -> Iterator[int]:
+        """The places of all open positions, from that of the longest."""
+        while node != _ROOT:
+            yield node
+            node = self.shorter[node]
+        yield _ROOT
+
+    def _follow(self, node: int, lasts: list[int], head: int, part: bytes) -> int:
+        """Adds the last token of each prefix that ends in ``part`` and gives the place then; ``head``: the token before ``lasts``, plus one."""
+        child, shorter, ending, length, apart = self.child.get, self.shorter, self.ending, self.length, self.apart.get
+        at = len(lasts)
+        for byte in part:
+            at += 1
+            place = child(node << 8 | byte)
+            while place is None:
+                if node == _ROOT:
+                    raise ValueError("the ranks lack a single byte")
+                node = shorter[node]
+                place = child(node << 8 | byte)
+            node = place >> 8
+            for token in ending[node]:
+                before = at - length[token]
+                last = (lasts[before - 1] & _TOKENS - 1) + 1 if before else head
+                fits = apart(last << 24 | token)
+                if self.stay_apart(last - 1, token) if fits is None else fits:
+                    lasts.append(token)
+                    break
+            else:
+                raise ValueError("the ranks lack a single byte")
+        return node
+
     def _back(self, lasts: list[int], end: int) -> bytes:
         out, length, packed = [], self.length, self.packed
         while end > 0:
@@ -162,20 +209,28 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return self.packed[whole]
-        if len(self.states) > self.most_states:
-            self._reset()
-        state, lasts, done, known = 0, [], [], self.moves.get
+        state, lasts, done, known, node, head = 0, [], [], self.moves.get, -1, 0
         keep = lasts.append
         for low in range(0, len(piece), _WINDOW):
-            for byte in piece[low : low + _WINDOW]:
-                move = known(state | byte)
-                if move is None:
-                    move = self._move(state, byte)
-                state = move >> 20
-                keep(move)
+            part = piece[low : low + _WINDOW]
+            if node < 0:
+                for n, byte in enumerate(part):
+                    move = known(state | byte)
+                    if move is None:
+                        if len(self.states) >= self.most_states:
+                            node, part = (self.states[state >> 8][0] & _PLACE) >> 8, part[n:]
+                            break
+                        move = self._move(state, byte)
+                    state = move >> 20
+                    keep(move)
+            if node >= 0:
+                node = self._follow(node, lasts, head, part)
             if low + _WINDOW < len(piece):
-                end = self._settled(state, lasts)
+                places = [(position & _PLACE) >> 8 for position in self.states[state >> 8]] if node < 0 else self._places(node)
+                end = self._settled(places, lasts)
                 done.append(self._back(lasts, end))
+                if end:
+                    head = (lasts[end - 1] & _TOKENS - 1) + 1
                 del lasts[:end]
         return b"".join([*done, self._back(lasts, len(lasts))])
 

@@ -200,6 +200,19 @@ def test_codec_equals_tiktoken():
         assert b"".join(own.decode_stream(ids, block=3)) == t.encode()
 
 
+@pytest.mark.parametrize("most_states", [1, 20, 2000, 10**9])
+def test_pieces_beyond_the_states_are_followed(most_states):
+    with open(RANKS, "rb") as f:
+        ranks = parse_ranks(f.read())
+    own, other = Codec(ranks, public_tokenizers.PATTERN), tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own.fst.most_states = most_states
+    rng = random.Random(most_states)
+    texts = ["".join(rng.choice(letters) for _ in range(size)) for letters in ("ab", "aeinrst", "éñaß日本語", "thequickbrownfox") for size in (1, 7, 1023, 1024, 1025, 4000)]
+    for t in texts + texts[::-1]:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == other.encode_ordinary(t)
+    assert len(own.fst.states) <= most_states
+
+
 def test_utf8_stream_gives_whole_characters():
     raw = "aé日🎉".encode() * 3
     for size in (1, 2, 3, 5):
