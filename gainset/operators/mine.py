@@ -3,20 +3,21 @@
 The state of a level has one row for each itemset and transaction that holds it.  A
 level joins it with the ranked entries of its transactions, extends every itemset by
 each later item, and aggregates; partial aggregates combine before the shuffle, so
-what moves is one row per candidate and task.  Only extensions that survive are then
-built, by an equi-join.  After each level the threshold is the k-th utility so far.
+what moves is one row per candidate and task.  The same join then builds the extensions
+that survive, which are dealt to all tasks where they are few (their number is counted),
+so that rows don't move by itemset.  After each level the threshold is the k-th utility so far.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gainset.functions import measures
 from gainset.operators import topk
-from gainset.operators.prepare import Prepared, one_item_patterns, prepare
+from gainset.operators.prepare import Prepared, few, one_item_patterns, prepare
 from gainset.schema import EPS, at_least
 from gainset.scratch import stored
 
@@ -76,40 +77,40 @@ def grow(prepared: Prepared, k: int, min_prob: float, prune: bool = True, most_c
     entries = stored(prepared.entries, "entries", free=False)
     patterns, state = seeds(entries)
     patterns = stored(patterns, "patterns", free=False)
-    best = stored(topk.top(patterns, k), "top", free=False)
-    tau = max(tau, topk.threshold(best, k))
     n = patterns.count()
+    best, reached = topk.kept(topk.top(patterns, k), k)
+    tau = max(tau, reached)
     result = MiningResult(best, [])
     live = promising(patterns, tau, prune)
     if first is not None:
         live = live.join(first.select(F.col("rank").cast("long").alias("pid")), "pid", "left_semi")
-    state = state.join(live.select("pid"), "pid", "left_semi")
     kept = live.count()
+    state = state.join(few(live.select("pid"), kept), "pid", "left_semi")
     result.levels.append({"level": 1, "tried": n, "probable": n, "extended": kept})
     while kept:
         # An item whose own bound is below the threshold extends nothing; it still counted for ``rem``.
         useful = entries.filter(at_least(F.col("item_ptwu"), tau)) if prune else entries
-        state = stored(state, "state")
-        parents = live.select("pid", F.col("itemset").alias("parent"))
+        state = stored(state, "state", free=False)
+        parents = few(live.select("pid", F.col("itemset").alias("parent")), kept)
         tried = candidates(state, useful).join(parents, "pid")
         tried = tried.withColumn("itemset", F.array_sort(F.array_append("parent", F.col("item")))).withColumn("next", F.monotonically_increasing_id())
-        tried = stored(tried.select("pid", "next", "itemset", "rank", "eu", "ep", "ptwu", "pub"), "patterns", free=False)
-        count, probable = tried.agg(F.count(F.lit(1)), F.count_if(F.col("ep") >= min_prob - EPS)).first()
+        seen = Observation()
+        tried = tried.select("pid", "next", "itemset", "rank", "eu", "ep", "ptwu", "pub").observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("ep") >= min_prob - EPS).alias("probable"))
+        tried = stored(tried, "patterns", free=False)
+        count, probable = seen.get["n"], seen.get["probable"]
         if most_candidates is not None and count > most_candidates:
             raise RuntimeError(f"level {len(result.levels) + 1} has {count} candidates; raise k's utility or min_prob")
         if not probable:
             result.levels.append({"level": len(result.levels) + 1, "tried": count, "probable": 0, "extended": 0})
             break
         found = tried.filter(F.col("ep") >= min_prob - EPS)
-        best = stored(topk.merge(best, found.filter(at_least(F.col("eu"), tau)), k), "top", free=False)
-        tau = max(tau, topk.threshold(best, k))
+        best, reached = topk.kept(topk.merge(best, found.filter(at_least(F.col("eu"), tau)), k), k)
+        tau = max(tau, reached)
         survivors = promising(found, tau, prune)
         kept = survivors.count()
         result.levels.append({"level": len(result.levels) + 1, "tried": count, "probable": probable, "extended": kept})
-        step = survivors.select("pid", "next", F.col("rank").alias("next_rank"))
-        items = entries.select("tid", F.col("rank").alias("next_rank"), F.col("util").alias("item_util"), F.col("prob").alias("item_prob"))
-        state = state.join(step, "pid").join(items, ["tid", "next_rank"])
-        state = state.select(F.col("next").alias("pid"), F.col("next_rank").alias("last_rank"), "tid", (F.col("util") + F.col("item_util")).alias("util"), (F.col("prob") * F.col("item_prob")).alias("prob"), "ptu")
+        step = few(survivors.select("pid", "rank", "next"), kept)
+        state = extensions(state, useful).join(step, ["pid", "rank"]).select(F.col("next").alias("pid"), F.col("rank").alias("last_rank"), "tid", "util", "prob", "ptu")
         live = survivors.select(F.col("next").alias("pid"), "itemset")
     result.patterns = best
     return result

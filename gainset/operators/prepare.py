@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 
 from gainset.functions import measures
 from gainset.schema import EPS
+from gainset.scratch import stored
+
+#: Rows of a few columns that may be sent to all tasks, some 10 to 20 MB; larger tables are joined by shuffles.
+MOST_SENT = 200_000
+
+
+def few(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, which are ``n``, sent to all tasks of a join if they are few."""
+    return F.broadcast(rows) if n <= MOST_SENT else rows
 
 
 def split_valid(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,9 +88,13 @@ class Prepared:
 def prepare(tx: DataFrame, profits: DataFrame, min_prob: float, keep_zero_ptwu: bool = False) -> Prepared:
     """Ranked entries of the valid rows; ``split_valid`` tells what the others are.
 
-    Rows are dealt by transaction first, which serves the check for repeated items, the
-    transaction's utility and the suffix sums.
+    Rows are dealt by transaction first, which serves the check for repeated items and the
+    transaction's utility.  What is known of them is written, as items are measured before
+    entries can be ranked; where the catalogue of items is small, no row moves by its item,
+    of which a few may hold most rows.
     """
-    known = known_entries(split_valid(tx.repartition("tid"))[0], profits)
-    items = ranked_items(admissible_items(item_bounds(known), min_prob, keep_zero_ptwu))
-    return Prepared(items, ranked_entries(known, items))
+    profits = stored(profits, "profits", free=False)
+    n = profits.count()
+    known = stored(known_entries(split_valid(tx.repartition("tid"))[0], few(profits, n)), "known", free=False)
+    items = stored(ranked_items(admissible_items(item_bounds(known), min_prob, keep_zero_ptwu)), "items", free=False)
+    return Prepared(items, ranked_entries(known, few(items, n)))

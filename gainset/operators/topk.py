@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from gainset.scratch import stored
+
 NOTHING = float("-inf")
 
 
@@ -24,3 +26,10 @@ def threshold(patterns: DataFrame, k: int) -> float:
     """The k-th utility, or minus infinity while there are fewer."""
     n, least = patterns.agg(F.count(F.lit(1)), F.min("eu")).first()
     return least if n >= k else NOTHING
+
+
+def kept(best: DataFrame, k: int) -> tuple[DataFrame, float]:
+    """The written table and its threshold, which is taken while it is written."""
+    seen = Observation()
+    out = stored(best.observe(seen, F.count(F.lit(1)).alias("n"), F.min("eu").alias("least")), "top", free=False)
+    return out, seen.get["least"] if seen.get["n"] >= k else NOTHING
