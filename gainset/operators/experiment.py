@@ -3,29 +3,36 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import product
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gainset.operators.mine import MiningResult, mine
+from gainset.operators.mine import MiningResult, milliseconds, mine
 from gainset.operators.strategies import mine_partitioned
+from gainset.sources.sinks import write_patterns, write_performance
 from gainset.sources.text import read_profits, read_transactions
 
 STRATEGIES = {
-    "local": lambda *a: mine_partitioned(*a, mode="local"),
-    "level": mine,
-    "static": lambda *a: mine_partitioned(*a, mode="static"),
-    "merge": lambda *a: mine_partitioned(*a, mode="merge"),
-    "waves": lambda *a: mine_partitioned(*a, mode="waves"),
+    "local": lambda *a, tasks: mine_partitioned(*a, mode="local"),
+    "level": lambda *a, tasks: mine(*a),
+    "static": lambda *a, tasks: mine_partitioned(*a, mode="static", tasks=tasks),
+    "merge": lambda *a, tasks: mine_partitioned(*a, mode="merge", tasks=tasks),
+    "waves": lambda *a, tasks: mine_partitioned(*a, mode="waves", tasks=tasks),
 }
 RUNS = "dataset string, algorithm string, k int, minProb double, threads int, run int, timeTotal_ms long, timePhase1_ms long, timePhase2_ms long, timePhase3_ms long, patternsFound int, nodesExpanded long, joinsAttempted long"
 
 
-def sweep(spark: SparkSession, datasets: dict[str, tuple[str, str]], ks: list[int], min_probs: list[float], runs: int = 3, strategies: tuple[str, ...] = tuple(STRATEGIES)) -> tuple[DataFrame, dict[tuple, MiningResult]]:
+def sweep(spark: SparkSession, datasets: dict[str, tuple[str, str]], ks: list[int], min_probs: list[float], runs: int = 3, strategies: tuple[str, ...] = tuple(STRATEGIES), threads: tuple[int, ...] = (), out: str | None = None) -> tuple[DataFrame, dict[tuple, MiningResult]]:
     """One row per run, and the last result of each setting; a dataset that can't be read is skipped.
 
-    Phases overlap in one plan here, so only the total is timed and the others are 0.
+    ``threads`` are the numbers of tasks that shuffles and prefixes are dealt to, by
+    default as many as run at once; results of the last of them are kept.  ``local``
+    has one and runs once.  With ``out`` each dataset gets a folder there, with the patterns
+    of each setting and the performance table.
     """
     rows, results = [], {}
     for name, (db, profit) in datasets.items():
@@ -34,19 +41,44 @@ def sweep(spark: SparkSession, datasets: dict[str, tuple[str, str]], ks: list[in
         except AnalysisException as missing:
             print(f"[SKIP] {name}: {missing.getCondition()}")
             continue
-        for min_prob in min_probs:
-            for k in ks:
-                for strategy in strategies:
-                    for run in range(1, runs + 1):
-                        began = time.perf_counter()
-                        result = STRATEGIES[strategy](tx, profits, k, min_prob)
+        print(dataset_header(name, tx.select("tid").distinct().count()))
+        first = len(rows)
+        for min_prob, k, strategy in product(min_probs, ks, strategies):
+            for tasks in (1,) if strategy == "local" else threads or (spark.sparkContext.defaultParallelism,):
+                for run in range(1, runs + 1):
+                    began = time.perf_counter()
+                    with shuffled_to(spark, tasks):
+                        result = STRATEGIES[strategy](tx, profits, k, min_prob, tasks=tasks)
                         found = result.patterns.count()
-                        ms = int((time.perf_counter() - began) * 1000)
-                        rows.append((name, strategy, k, min_prob, spark.sparkContext.defaultParallelism, run, ms, 0, 0, 0, found, result.extended, result.tried))
-                    results[name, strategy, k, min_prob] = result
+                    ms = milliseconds(began, time.perf_counter())
+                    rows.append((name, strategy, k, min_prob, tasks, run, ms, *result.phases, found, result.extended, result.tried))
+                results[name, strategy, k, min_prob] = result
+                if out:
+                    setting = f"{name}_{strategy}_k{k}_p{min_prob:.2f}_t{tasks}"
+                    write_patterns(result.patterns, f"{out}/{name}/patterns_{setting}.txt", f"Dataset={name}  Algo={strategy}  k={k}  minProb={min_prob:.2f}  threads={tasks}")
+        if out:
+            write_performance(spark.createDataFrame(rows[first:], RUNS), f"{out}/{name}/performance.csv")
     return spark.createDataFrame(rows, RUNS), results
 
 
+@contextmanager
+def shuffled_to(spark: SparkSession, tasks: int) -> Iterator[None]:
+    """Shuffles go to this many tasks within the block."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def dataset_header(name: str, n: int) -> str:
+    """The dataset and its number of transactions, between two bars."""
+    title = f" Dataset: {name}  |  {n} transactions "
+    bar = "=" * max(66, len(title) + 4)
+    return f"{bar}\n{title}\n{bar}"
+
+
 def medians(runs: DataFrame) -> DataFrame:
     """The upper median of each setting's times, and its counters."""
     times = F.sort_array(F.collect_list("timeTotal_ms"))

@@ -10,6 +10,7 @@ so that rows don't move by itemset.  After each level the threshold is the k-th
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Observation
@@ -27,6 +28,8 @@ class MiningResult:
     patterns: DataFrame
     #: For each level: itemsets tried, those probable enough, and those that were extended.
     levels: list[dict[str, int]] = field(default_factory=list)
+    #: Milliseconds of preparation, of the one-item patterns and of the search.
+    phases: list[int] = field(default_factory=lambda: [0, 0, 0])
 
     @property
     def tried(self) -> int:
@@ -69,18 +72,28 @@ def mine(tx: DataFrame, profits: DataFrame, k: int, min_prob: float, keep_zero_p
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    return grow(prepare(tx, profits, min_prob, keep_zero_ptwu), k, min_prob, prune, most_candidates)
+    began = time.perf_counter()
+    prepared = prepare(tx, profits, min_prob, keep_zero_ptwu)
+    ready = time.perf_counter()
+    result = grow(prepared, k, min_prob, prune, most_candidates)
+    result.phases[0] = milliseconds(began, ready)
+    return result
+
+
+def milliseconds(began: float, ended: float) -> int:
+    return int((ended - began) * 1000)
 
 
 def grow(prepared: Prepared, k: int, min_prob: float, prune: bool = True, most_candidates: int | None = None, first: DataFrame | None = None, tau: float = topk.NOTHING) -> MiningResult:
     """The levels of ``mine``; with ``first`` only of itemsets that begin with items of these ranks, from a threshold that is known."""
+    began = time.perf_counter()
     entries = stored(prepared.entries, "entries", free=False)
     patterns, state = seeds(entries)
     patterns = stored(patterns, "patterns", free=False)
     n = patterns.count()
     best, reached = topk.kept(topk.top(patterns, k), k)
     tau = max(tau, reached)
-    result = MiningResult(best, [])
+    result, seeded = MiningResult(best), time.perf_counter()
     live = promising(patterns, tau, prune)
     if first is not None:
         live = live.join(first.select(F.col("rank").cast("long").alias("pid")), "pid", "left_semi")
@@ -113,4 +126,5 @@ def grow(prepared: Prepared, k: int, min_prob: float, prune: bool = True, most_c
         state = extensions(state, useful).join(step, ["pid", "rank"]).select(F.col("next").alias("pid"), F.col("rank").alias("last_rank"), "tid", "util", "prob", "ptu")
         live = survivors.select(F.col("next").alias("pid"), "itemset")
     result.patterns = best
+    result.phases[1:] = milliseconds(began, seeded), milliseconds(seeded, time.perf_counter())
     return result

@@ -17,6 +17,7 @@ no task ever holds an unbounded one.
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gainset.operators import topk
-from gainset.operators.mine import MiningResult, grow, seeds
+from gainset.operators.mine import MiningResult, grow, milliseconds, seeds
 from gainset.operators.prepare import prepare
 from gainset.schema import EPS, PATTERNS, at_least
 from gainset.scratch import stored
@@ -125,12 +126,15 @@ def mine_partitioned(tx: DataFrame, profits: DataFrame, k: int, min_prob: float,
         raise ValueError(f"unknown mode {mode}")
     if k < 1:
         raise ValueError("k must be at least 1")
+    began = time.perf_counter()
     prepared = prepare(tx, profits, min_prob)
+    ready = time.perf_counter()
     entries = stored(prepared.entries, "entries", free=False)
     patterns, _ = seeds(entries)
     patterns = stored(patterns, "patterns", free=False)
     best = stored(topk.top(patterns, k), "top", free=False)
     tau = topk.threshold(best, k)
+    seeded = time.perf_counter()
     sized = _sized(entries, patterns)
     total, most = sized.agg(F.count(F.lit(1)), F.sum("rows")).first()
     if mode == "local" and (most or 0) > prefix_budget:
@@ -163,7 +167,8 @@ def mine_partitioned(tx: DataFrame, profits: DataFrame, k: int, min_prob: float,
             best = stored(topk.top(both, k), "top", free=False)
             tau = topk.threshold(best, k)
             work = [a + sum(x[w] for x in more.levels[1:]) for a, w in zip(work, WORK, strict=True)]
-    return MiningResult(best, [{"level": 0, **dict(zip(WORK, work, strict=True))}])
+    phases = [milliseconds(began, ready), milliseconds(ready, seeded), milliseconds(seeded, time.perf_counter())]
+    return MiningResult(best, [{"level": 0, **dict(zip(WORK, work, strict=True))}], phases)
 
 
 def _sized(entries: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -16,17 +16,15 @@ def ranked(patterns: DataFrame) -> DataFrame:
 
 
 def pattern_lines(patterns: DataFrame) -> DataFrame:
-    """Lines of rank, expected utility, probability and itemset."""
+    """Rows (rank, value): lines of rank, expected utility, probability and itemset."""
     items = F.concat(F.lit("["), F.array_join(F.col("itemset").cast("array<string>"), ", "), F.lit("]"))
-    return ranked(patterns).orderBy("rank").select(F.format_string("%d\t%.4f\t%.6f\t%s", "rank", "eu", "ep", items).alias("value"))
+    return ranked(patterns).select("rank", F.format_string("%d\t%.4f\t%.6f\t%s", "rank", "eu", "ep", items).alias("value"))
 
 
 def write_patterns(patterns: DataFrame, path: str, title: str) -> None:
     """A text file of two header lines and one line for each pattern."""
-    spark = patterns.sparkSession
-    head = spark.createDataFrame([(0, f"# {title}"), (1, "# rank\tEU\tEP\titemset")], "n int, value string")
-    body = ranked(patterns).select((F.col("rank") + 1).alias("n"), F.format_string("%d\t%.4f\t%.6f\t%s", "rank", "eu", "ep", F.concat(F.lit("["), F.array_join(F.col("itemset").cast("array<string>"), ", "), F.lit("]"))).alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+    head = patterns.sparkSession.createDataFrame([(-1, f"# {title}"), (0, "# rank\tEU\tEP\titemset")], "rank int, value string")
+    head.unionByName(pattern_lines(patterns)).coalesce(1).sortWithinPartitions("rank").select("value").write.mode("overwrite").text(path)
 
 
 def write_performance(runs: DataFrame, path: str) -> None:

@@ -150,6 +150,24 @@ def test_files_round_trip(spark, tmp_path):
     assert [r.value for r in spark.read.text(f"{tmp_path}/patterns").collect()][2] == "1\t14.5000\t0.992000\t[1]"
 
 
+def test_sweep_over_threads_writes_files(spark, tmp_path, capsys):
+    tx, profits = frames(spark, LINES, PROFITS)
+    text.write_lines(text.encode_transactions(tx), f"{tmp_path}/db")
+    text.write_lines(text.encode_profits(profits), f"{tmp_path}/profit")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    table, results = sweep(spark, {"a": (f"{tmp_path}/db", f"{tmp_path}/profit")}, [5], [0.7], runs=1, strategies=("local", "level", "static"), threads=(1, 2), out=f"{tmp_path}/out")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert "Dataset: a  |  4 transactions" in capsys.readouterr().out
+    got = table.collect()
+    assert sorted((r.algorithm, r.threads) for r in got) == [("level", 1), ("level", 2), ("local", 1), ("static", 1), ("static", 2)]
+    assert all(0 < r.timePhase1_ms + r.timePhase2_ms + r.timePhase3_ms <= r.timeTotal_ms for r in got)
+    assert spark.read.csv(f"{tmp_path}/out/a/performance.csv", header=True).count() == 5
+    for strategy, threads in (("local", 1), ("level", 2), ("static", 2)):
+        lines = [r.value for r in spark.read.text(f"{tmp_path}/out/a/patterns_a_{strategy}_k5_p0.70_t{threads}.txt").collect()]
+        assert lines[0] == f"# Dataset=a  Algo={strategy}  k=5  minProb=0.70  threads={threads}" and len(lines) == 7
+        assert lines[2] == "1\t14.5000\t0.992000\t[1]"
+
+
 def test_two_sources_merge(spark):
     utilities = text.parse_utilities(spark.createDataFrame([(0, "1 3 : 9 : 4 5"), (1, "3 : 1 : 1")], "line long, value string"))
     occurrences = text.parse_occurrences(spark.createDataFrame([(0, "1 1:0.6"), (1, "2 3:0.7")], "line long, value string"))
