@@ -38,7 +38,7 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 80_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 30_000):
         if max(ranks.values(), default=0) >= _TOKENS:
             raise ValueError("a rank is too large to be packed into a move")
         self.ranks = ranks
