@@ -7,10 +7,11 @@ which rules out most; the full sets decide the rest.
 
 A group of copies must not cost its square.  So the nodes of a bucket, at first a band,
 are compared with one of them only, its hub, and linked nodes merged.  What is left
-between the components of a bucket is compared directly in buckets of up to ``DIRECT``
-nodes, in the join's condition, so that hardly any pair but a link comes out.  Larger
-buckets are dealt into finer ones by the shingles in which their nodes differ from the
-hub, each with a hub of its own in the next round, until no bucket holds two components.
+between the components of a hub's nodes is compared exactly, group by group of up to
+``DIRECT`` nodes, by what their differences from the hub share; a group gives fewer links
+than it has nodes, however many of its pairs are close.  Larger groups are dealt into
+finer buckets by the shingles in which their nodes differ from the hub, each with a hub
+of its own in the next round, until no group holds two components.
 No link that could join two components is left out.
 """
 
@@ -32,9 +33,11 @@ from gainset.scratch import stored
 
 SAMPLES = 80
 SKETCH_WORDS = 4
-#: Nodes of a bucket that are compared with each other; at most so many looks at two
-#: sketches for each row, which cost about as much as its samples.
-DIRECT = 2_048
+#: Nodes of a hub's group, and shingles of all of them, that one task compares with each other.
+DIRECT = 32_768
+DIRECT_SHINGLES = 10_000_000
+#: Entries of lists, and pairs, that are counted at once in a group.
+LOOKS = 1 << 20
 
 _rng = np.random.default_rng(1729)
 _SEEDS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -216,29 +219,134 @@ def _roots(members: DataFrame, sets: DataFrame, total: int, like: Similarity) ->
     links = roots = None
     while True:
         hubs = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("known", "x")).alias("hub"))
-        seen = with_group(members, hubs, "key", "size", total).select("key", "size", "x", "known", F.col("hub.x").alias("hub"), F.col("hub.known").alias("hub_known"))
-        seen = stored(seen.filter("x.node <> hub.node"), "buckets")
-        star = stored(seen.filter(_close(like, "x", "hub")).select(F.col("x.node").alias("a"), F.col("hub.node").alias("b"), "hub_known").distinct(), "star")
+        seen = with_group(members, hubs, "key", "size", total).select("x", "known", F.col("hub.x").alias("hub"), F.col("hub.known").alias("hub_known"))
+        # Buckets of one hub are one group, so that a pair that meets in many of them is looked at once.
+        seen = stored(seen.filter("x.node <> hub.node").dropDuplicates(["x", "hub"]), "buckets")
+        star = stored(seen.filter(_close(like, "x", "hub")).select(F.col("x.node").alias("a"), F.col("hub.node").alias("b"), "hub_known"), "star")
         if links is None:  # most nodes are linked with the best known of their hubs, which spares the other pairs
             links = stored(_confirmed(star.groupBy("a").agg(F.max(F.struct("hub_known", "b")).alias("top")).select("a", "top.b"), sets, like), "links")
             roots = components(links)
         rows = _rooted(_rooted(seen.withColumns({"_x": F.col("x.node"), "_h": F.col("hub.node")}), roots, "_x", "root"), roots, "_h", "hub_root")
-        mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("hub_root").alias("own")).filter("low <> high or low <> own").select("key")
-        rows = stored(rows.join(mixed, "key").drop("_x", "_h", "hub_root"), "mixed")
-        small = rows.filter(F.col("size") <= DIRECT)
-        other = small.select("key", F.col("x").alias("y"), F.col("root").alias("other"))
-        met = small.join(other, "key").filter((F.col("x.node") < F.col("y.node")) & (F.col("root") != F.col("other")) & _close(like, "x", "y"))
-        direct = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        more = stored(_confirmed(_apart(star.select("a", "b"), roots).unionByName(direct).distinct(), sets, like), "links")
+        groups = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("size"), F.sum("x.n").alias("shingles"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("hub_root").alias("own")).filter("low <> high or low <> own")
+        large = (F.col("size") > DIRECT) | (F.col("shingles") + F.col("hub.n") > DIRECT_SHINGLES)
+        rows = stored(with_group(rows, groups.select("_h", "size", "shingles"), "_h", "size", total).withColumn("large", large).drop("_x", "_h"), "mixed")
+        finer = rows.filter("large")
+        some = finer.limit(1).count()
+        more = _linked(rows.filter("not large"), sets, like)
+        if some:
+            pairs = finer.filter(_close(like, "x", "hub")).select(F.col("x.node").alias("a"), F.col("hub.node").alias("b"))
+            more = more.unionByName(_confirmed(_apart(pairs, roots), sets, like))
+        more = stored(more, "links")
         if more.count():
             links = links.unionByName(more)
             roots = components(links)
-        if not rows.filter(F.col("size") > DIRECT).limit(1).count():
+        if not some:
             return roots
-        members = stored(_finer(rows.filter(F.col("size") > DIRECT), sets, like), "finer")
+        members = stored(_finer(finer, sets, like), "finer")
         total = members.count()
 
 
+def _linked(rows: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+    """Links (a, b) that join what is linked in each hub's group, from rows (x, hub, root, hub_root); no more than nodes."""
+    own = rows.select(F.col("hub.node").alias("node"), F.col("hub.node").alias("hub"), F.col("hub_root").alias("root")).distinct()
+    both = rows.select(F.col("x.node").alias("node"), F.col("hub.node").alias("hub"), "root").unionByName(own)
+    return both.join(sets, "node").groupBy("hub").applyInArrow(_group_links(like), "a binary, b binary")
+
+
+def _group_links(like: Similarity):
+    def run(group: pa.Table) -> pa.Table:
+        nodes, roots = group["node"].to_pylist(), group["root"].to_pylist()
+        place = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        parts = [(x.flatten().to_numpy(), x.value_lengths().to_numpy().astype(np.int64)) for x in group["shingles"].chunks]
+        found = group_links(parts, nodes.index(group["hub"][0].as_py()), np.array([place[r] for r in roots]), like)
+        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
+
+    return run
+
+
+def _differences(parts: list[tuple[np.ndarray, np.ndarray]], base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (set, shingle) of what only one of a set and the base has; a missing shingle of the base goes by its place, others by numbers beyond."""
+    who, what, low, new = [], [], 0, []
+    for values, sizes in parts:
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        at = np.minimum(np.searchsorted(base, values), len(base) - 1)
+        hit = base[at] == values
+        held = np.zeros((len(sizes), len(base)), bool)
+        held[owner[hit], at[hit]] = True
+        lost, lost_at = np.nonzero(~held)
+        who += [lost + low, owner[~hit] + low]
+        what += [lost_at, values[~hit]]
+        new += [np.zeros(len(lost), bool), np.ones(len(who[-1]), bool)]
+        low += len(sizes)
+    who, what, new = (np.concatenate(x) for x in (who, what, new))
+    what[new] = np.unique(what[new], return_inverse=True)[1] + len(base)
+    return who, what
+
+
+def group_links(parts: list[tuple[np.ndarray, np.ndarray]], hub: int, label: np.ndarray, like: Similarity) -> list[tuple[int, int]]:
+    """Pairs of one group, by their places, that join the components of all its links and of ``label``.
+
+    Sets (``parts``: members, one set after another, and sizes) are seen as their differences
+    from the hub's, which tell exactly by how many shingles two of them differ: both
+    differences less twice what they share.  Sets linked with the hub are in its component,
+    so only the others are compared with all: bit by bit in shingles of many differences, and
+    through lists of the sets that differ in a shingle for the others.
+    """
+    sizes = np.concatenate([x for _, x in parts])
+    m, out, label = len(sizes), [], label.copy()
+    most, least = 100 + like.percent, 100 - like.percent
+
+    def join(i: int, others: np.ndarray) -> None:
+        kinds, first = np.unique(label[others], return_index=True)
+        new = kinds != label[i]
+        out.extend((i, int(j)) for j in others[first[new]])
+        label[np.isin(label, kinds[new])] = label[i]
+
+    before = 0
+    for values, lengths in parts:
+        if before <= hub < before + len(lengths):
+            base = np.sort(np.split(values, np.cumsum(lengths))[hub - before])
+        before += len(lengths)
+    who, what = _differences(parts, base)
+    differs = np.bincount(who, minlength=m)
+    far = differs * most > least * (sizes + sizes[hub])
+    join(hub, np.flatnonzero(~far))
+    if (label == label[0]).all():
+        return out
+    # Shingles of one difference aren't shared, and those of no far set aren't looked up.
+    lengths = np.bincount(what)
+    useful = (lengths > 1) & (np.bincount(what[far[who]], minlength=len(lengths)) > 0)
+    common = useful & (lengths > m // 64)
+    here = common[what]
+    bits = np.zeros((-(-int(common.sum()) // 64), m), np.uint64)
+    column = np.cumsum(common)[what[here]] - 1
+    np.bitwise_or.at(bits, (column // 64, who[here]), np.uint64(1) << (column % 64).astype(np.uint64))
+    here = useful[what] & ~here
+    who, what = who[here], what[here]
+    lists = who[np.argsort(what, kind="stable")]
+    lengths = np.bincount(what, minlength=len(lengths))
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(who, kind="stable")
+    who, what = who[order], what[order]
+    first = np.searchsorted(who, np.arange(m + 1))
+    looks = np.append(0, np.cumsum(lengths[what]))[first]
+    rest = np.flatnonzero(far)
+    while len(rest) and (label != label[0]).any():
+        spent = np.cumsum(looks[rest + 1] - looks[rest] + m)
+        now, rest = np.split(rest, [max(1, int(np.searchsorted(spent, LOOKS, "right")))])
+        columns = np.concatenate([what[first[i] : first[i + 1]] for i in now])
+        line = np.repeat(np.arange(len(now)), first[now + 1] - first[now])
+        counts = lengths[columns]
+        at = np.repeat(starts[columns] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        shared = np.bincount(np.repeat(line, counts) * m + lists[at], minlength=len(now) * m).reshape(len(now), m)
+        for word in bits:
+            shared += np.bitwise_count(word[now][:, None] & word)
+        linked = (differs[now][:, None] + differs - 2 * shared) * most <= least * (sizes[now][:, None] + sizes)
+        for i in np.flatnonzero((linked & (label[now][:, None] != label)).any(1)):
+            join(int(now[i]), np.flatnonzero(linked[i]))
+    return out
+
+
 def _finer(rows: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
     """Finer buckets (key, x, known), from rows (x, known, root, hub) of nodes that were compared with their hub.
 

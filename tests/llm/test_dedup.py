@@ -330,3 +330,41 @@ def test_large_group_of_copies_with_a_common_change(spark, monkeypatch, direct):
     got = {r.doc_id: r.component_id for r in op3_minhash.near_duplicates(docs_of(spark, rows)).collect()}
     assert got == {i: find(i) for i in sets}
     assert sum(pairs) < 25 * len(rows)
+
+
+def test_group_below_the_threshold_costs_no_square(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+    base = [rng.choice(words) for _ in range(1000)]  # so many that sketches say little
+    rows = []
+    for j in range(150):
+        own = list(base)
+        for at in rng.sample(range(1, 1000, 3), rng.randint(24, 30)):
+            own[at] = rng.choice(words)
+        rows.append((j, " ".join(own)))
+    pairs, confirmed = [], op3_minhash._confirmed
+    monkeypatch.setattr(op3_minhash, "_confirmed", lambda p, *a: (pairs.append(p.count()), confirmed(p, *a))[1])
+    assert op3_minhash.near_duplicates(docs_of(spark, rows)).count() == 150
+    assert sum(pairs) < 4 * len(rows)
+
+
+@pytest.mark.parametrize("looks", [1, 500, 1 << 20])
+def test_links_of_a_group(monkeypatch, looks):
+    monkeypatch.setattr(op3_minhash, "LOOKS", looks)
+    like = op3_minhash.Similarity()
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        m, base, pool = 10 + 12 * seed, rng.integers(1 << 62, size=60), rng.integers(1 << 62, size=30)
+        sets = [(set(base.tolist()) - set(rng.choice(base, rng.integers(0, 12)).tolist())) | set(rng.choice(pool, rng.integers(0, 12)).tolist()) for _ in range(m)]
+        links = {(a, b) for a in range(m) for b in range(m) if a != b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+        label, cut = rng.integers(0, m, m) if seed % 2 else np.arange(m), int(rng.integers(1, m))
+
+        def classes(pairs, label=label):
+            own = label.copy()
+            for a, b in pairs:
+                own[own == own[a]] = own[b]
+            return [own.tolist().index(x) for x in own]
+
+        parts = [(np.concatenate([list(s) for s in some]), np.array([len(s) for s in some])) for some in (sets[:cut], sets[cut:])]
+        got = op3_minhash.group_links(parts, int(rng.integers(m)), label, like)
+        assert set(got) <= links and len(got) < m and classes(got) == classes(links)
