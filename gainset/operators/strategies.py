@@ -6,7 +6,7 @@ each in its own group; prefixes beyond the budget are grown level by level, so t
 no task ever holds an unbounded one.
 
 * ``local``: one task mines all prefixes in turn, with one top k throughout; the base
-  that the others are compared with.
+  that the others are compared with.  It holds one prefix at a time.
 * ``static``: prefixes go to ``n`` tasks by their rank, with the seeds' threshold.
 * ``merge``: each task starts with nothing and keeps its own top k, which are merged at
   the end; the threshold of others, the seeds' too, doesn't help it.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -105,8 +106,34 @@ def _task(k: int, seed: float, min_prob: float):
         top = _Top(k, seed)
         for _, own in group.groupby("prefix", sort=True):
             mine_prefix(own, top, min_prob)
-        found = [([-i for i in items], eu, ep, 0, 0, 0) for eu, _, items, ep in top.held]
-        return pd.DataFrame([*found, (None, None, None, top.tried, top.probable, top.extended)], columns=["itemset", "eu", "ep", *WORK])
+        return _found(top)
+
+    return run
+
+
+def _found(top: _Top) -> pd.DataFrame:
+    found = [([-i for i in items], eu, ep, 0, 0, 0) for eu, _, items, ep in top.held]
+    return pd.DataFrame([*found, (None, None, None, top.tried, top.probable, top.extended)], columns=["itemset", "eu", "ep", *WORK])
+
+
+def _in_turn(k: int, seed: float, min_prob: float):
+    """As ``_task`` over all rows of one task, which come prefix by prefix; holds those of one prefix."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top, held = _Top(k, seed), []
+
+        def mined() -> None:
+            if held:
+                mine_prefix(pd.concat(held), top, min_prob)
+                held.clear()
+
+        for part in parts:
+            for prefix, own in part.groupby("prefix", sort=True):
+                if held and held[0]["prefix"].iloc[0] != prefix:
+                    mined()
+                held.append(own)
+        mined()
+        yield _found(top)
 
     return run
 
@@ -117,10 +144,11 @@ def prefix_rows(entries: DataFrame, prefixes: DataFrame) -> DataFrame:
     return heads.join(entries, "tid").filter(F.col("rank") >= F.col("prefix"))
 
 
-def mine_partitioned(tx: DataFrame, profits: DataFrame, k: int, min_prob: float, mode: str = "static", tasks: int = 16, waves: int = 3, prefix_budget: int = PREFIX_ROWS) -> MiningResult:
+def mine_partitioned(tx: DataFrame, profits: DataFrame, k: int, min_prob: float, mode: str = "static", tasks: int = 16, waves: int = 3, prefix_budget: int | None = None) -> MiningResult:
     """As ``mine``, by prefixes; ``mode`` is ``local``, ``static``, ``merge`` or ``waves``.
 
-    ``local`` raises ``ValueError`` where the databases of all prefixes are beyond the budget of one task.
+    Prefixes of more rows than ``prefix_budget``, ``PREFIX_ROWS`` if it isn't given, are grown by level in
+    every mode.  With a budget given, ``local`` raises ``ValueError`` where the databases of all prefixes are beyond it.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode}")
@@ -137,8 +165,9 @@ def mine_partitioned(tx: DataFrame, profits: DataFrame, k: int, min_prob: float,
     seeded = time.perf_counter()
     sized = _sized(entries, patterns)
     total, most = sized.agg(F.count(F.lit(1)), F.sum("rows")).first()
-    if mode == "local" and (most or 0) > prefix_budget:
+    if mode == "local" and prefix_budget is not None and (most or 0) > prefix_budget:
         raise ValueError(f"{most} rows are too many for one task")
+    prefix_budget = PREFIX_ROWS if prefix_budget is None else prefix_budget
     slices = waves if mode == "waves" else 1
     work = [total, total, 0]
     for wave in range(slices):
@@ -148,13 +177,18 @@ def mine_partitioned(tx: DataFrame, profits: DataFrame, k: int, min_prob: float,
         work[2] += live.count()
         small = live.filter(F.col("rows") <= prefix_budget).select(F.col("rank").alias("prefix"))
         rows = prefix_rows(entries, small)
-        # A task mines one prefix at a time when its prefixes are large, else several small ones together.
-        bucket = {"local": F.lit(0), "waves": F.col("prefix")}.get(mode, F.col("prefix") % tasks)
-        heavy = most if mode == "local" else prefix_budget // max(1, total // max(1, tasks) + 1)
-        grouped = rows.withColumn("bucket", bucket).join(sized.select(F.col("rank").alias("prefix"), "rows"), "prefix")
-        grouped = grouped.withColumn("own", F.when(F.col("rows") > heavy, F.col("prefix")).otherwise(F.lit(-1)))
-        grouped = grouped.select("bucket", "own", "prefix", "tid", "item", "rank", "util", "prob", "rem", "ptu")
-        found = grouped.groupBy("bucket", "own").applyInPandas(_task(k, known, min_prob), PATTERNS + "".join(f", {w} long" for w in WORK))
+        work_rows = PATTERNS + "".join(f", {w} long" for w in WORK)
+        if mode == "local":
+            inputs = rows.select("prefix", "tid", "item", "rank", "util", "prob", "rem", "ptu")
+            found = inputs.repartition(1).sortWithinPartitions("prefix").mapInPandas(_in_turn(k, known, min_prob), work_rows)
+        else:
+            # A task mines one prefix at a time when its prefixes are large, else several small ones together.
+            bucket = F.col("prefix") if mode == "waves" else F.col("prefix") % tasks
+            heavy = prefix_budget // max(1, total // max(1, tasks) + 1)
+            grouped = rows.withColumn("bucket", bucket).join(sized.select(F.col("rank").alias("prefix"), "rows"), "prefix")
+            grouped = grouped.withColumn("own", F.when(F.col("rows") > heavy, F.col("prefix")).otherwise(F.lit(-1)))
+            grouped = grouped.select("bucket", "own", "prefix", "tid", "item", "rank", "util", "prob", "rem", "ptu")
+            found = grouped.groupBy("bucket", "own").applyInPandas(_task(k, known, min_prob), work_rows)
         found = stored(found, "found", free=False)
         done = found.filter("itemset is null").agg(*[F.sum(w) for w in WORK]).first()
         work = [a + (b or 0) for a, b in zip(work, done, strict=True)]

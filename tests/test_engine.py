@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from gainset.operators import prepare as prep
+from gainset.operators import strategies
 from gainset.operators.experiment import RUNS, medians, speedups, sweep
 from gainset.operators.mine import mine
 from gainset.operators.strategies import mine_partitioned
@@ -224,3 +225,11 @@ def test_every_schedule_counts_its_work(spark):
     assert few["local"] <= few["merge"]
     with pytest.raises(ValueError):
         mine_partitioned(*data, 9, 0.5, mode="local", prefix_budget=1)
+
+
+@pytest.mark.parametrize("budget", [5, 40])  # 40: some prefixes are beyond it
+def test_one_task_mines_what_is_beyond_a_prefix_budget(spark, monkeypatch, budget):
+    monkeypatch.setattr(strategies, "PREFIX_ROWS", budget)
+    lines, profits = random_db(3)
+    got = rows(mine_partitioned(*frames(spark, lines, profits), 9, 0.5, mode="local", prefix_budget=None))
+    assert [r[1] for r in got] == [pytest.approx(w[1]) for w in brute(lines, profits, 9, 0.5)]
