@@ -260,7 +260,8 @@ def _resolve(resolver: Resolver, later_only: bool) -> Callable[[Iterator[pa.Reco
     def solved(core, salt, did, dkey, a, phrases: list[bytes]) -> pa.RecordBatch:
         row, start, number = resolver(phrases)
         pos = a[row].astype(np.int64) + start
-        order = np.lexsort((pos, dkey[row], did[row], number))
+        # Where later ones count, the first goes on; else any, as all of them are flagged.
+        order = np.lexsort((pos, dkey[row], did[row], number)) if later_only else np.argsort(number)
         new = _changes(number[order])
         again, still = np.zeros(len(row), bool), np.zeros(len(row), bool)
         again[order] = ~new if later_only else (np.diff(np.append(np.flatnonzero(new), len(row))) > 1)[np.cumsum(new) - 1]

@@ -14,21 +14,32 @@ def _key(window: bytes) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-def suffix_ranks(rank: np.ndarray, depth: int, left: np.ndarray) -> np.ndarray:
+def suffix_ranks(key: np.ndarray, depth: int, left: np.ndarray) -> np.ndarray:
     """Ranks of the suffixes of terminated sequences, by prefix doubling.
 
-    ``rank`` orders the first ``depth`` symbols from each position, ``left`` says how
-    many there are up to the terminator.  Equal suffixes have equal ranks.
+    ``key`` orders the first ``depth`` symbols from each position, ``left`` says how
+    many there are up to the terminator.  A rank is the number of smaller suffixes, so
+    equal suffixes have equal ranks, and each round sorts only suffixes that had an equal.
     """
-    known = int(rank.max(initial=0)) + 1
-    while True:
-        inside = np.flatnonzero(left > depth)
-        other = np.zeros(len(rank), np.int64)
-        other[inside] = rank[inside + depth] + 1
-        rank = np.unique(rank * (known + 1) + other, return_inverse=True)[1]
-        if not len(inside) or int(rank.max(initial=0)) + 1 == known:
-            return rank
-        known, depth = int(rank.max()) + 1, 2 * depth
+    n = len(key)
+    rank, tied, groups = np.zeros(n, np.int64), np.arange(n), 0
+    while len(tied):
+        order = np.argsort(key)
+        tied, key, old = tied[order], key[order], rank[tied[order]]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        if len(first) == groups:  # no suffix was told from its equals, nor will be
+            break
+        # Those of one rank stay together; each gets that rank and the number of smaller ones among them.
+        begin = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1]), np.arange(len(old)), 0))
+        sizes = np.diff(np.append(first, len(key)))
+        rank[tied] = np.repeat(old[first] + first - begin[first], sizes)
+        # A suffix that ends within the depth has equals that end there too.
+        tied = tied[np.repeat(sizes > 1, sizes)]
+        tied = tied[left[tied] > depth]
+        old = rank[tied]
+        groups = int((old[1:] != old[:-1]).sum()) + 1
+        key, depth = old * n + rank[tied + depth], 2 * depth
+    return rank
 
 
 def _terminated(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +95,14 @@ class SuffixArray:
         key, padded = np.zeros(len(left), np.uint64), np.concatenate([symbols, np.zeros(depth, np.uint64)])
         for i in range(depth):
             key = key << np.uint64(9) | np.where(left > i, padded[i : i + len(left)], np.uint64(0))
-        return number, begin, suffix_ranks(np.unique(key, return_inverse=True)[1], depth, left)
+        return number, begin, suffix_ranks(key, depth, left)
 
     def order(self, data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The positions ``at`` in the order of the suffixes from there to the ends of their strings."""
+        return at[self.places(data, offsets, at)]
+
+    def places(self, data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where in ``at`` the positions are, in that order; those of equal suffixes in any."""
         starts, stops, first = self.parse(data, offsets)
         number, begin, ranks = self.dictionary(data, starts, stops)
         counts = np.diff(first)
@@ -95,20 +110,21 @@ class SuffixArray:
         symbols = np.zeros(len(left), np.int64)
         own = np.arange(len(starts)) + np.repeat(np.arange(len(counts)), counts)  # each string before has a terminator
         symbols[own] = ranks[begin[number]] + 1
-        parsed = suffix_ranks(np.unique(symbols, return_inverse=True)[1], 1, left)
+        parsed = suffix_ranks(symbols, 1, left)
         phrase = np.searchsorted(starts, at, "right") - 1
         rest = ranks[begin[number[phrase]] + at - starts[phrase]]
-        return at[np.argsort(rest * (len(parsed) + 1) + parsed[own[phrase] + 1], kind="stable")]
+        return np.argsort(rest * (len(parsed) + 1) + parsed[own[phrase] + 1])
 
     def _same(self, data: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Whether ``length`` bytes from p and from q are the same."""
-        words, width = data.astype(np.uint64), 1
-        while 2 * width <= min(8, self.length):
-            words = words[:-width] << np.uint64(8 * width) | words[width:]
-            width *= 2
-        same = np.ones(len(p), bool)
-        for i in [*range(0, self.length - width, width), self.length - width]:
-            same &= words[p + i] == words[q + i]
+        width = 1 << min(3, self.length.bit_length() - 1)
+        words = np.ndarray(len(data) - width + 1, f"u{width}", np.ascontiguousarray(data), strides=(1,))
+        same, left = np.zeros(len(p), bool), np.arange(len(p))
+        for i in [self.length - width, *range(0, self.length - width, width)]:
+            equal = words[p + i] == words[q + i]
+            if not equal.all():
+                left, p, q = left[equal], p[equal], q[equal]
+        same[left] = True
         return same
 
     def __call__(self, phrases: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,9 +136,10 @@ class SuffixArray:
         if len(row):
             data, offsets = np.frombuffer(b"".join(phrases), np.uint8), np.append(0, np.cumsum(lengths))
             at = offsets[row] + start
-            sorted_at = self.order(data, offsets, at)
+            places = self.places(data, offsets, at)
+            sorted_at = at[places]
             fresh = np.append(True, ~self._same(data, sorted_at[1:], sorted_at[:-1]))
-            number[np.searchsorted(at, sorted_at)] = np.cumsum(fresh)
+            number[places] = np.cumsum(fresh)
         return row, start, number
 
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from gainset.llm import op2_exact, op3_minhash, op5_lines, op7_suffix, op9_phrases, recurrence
+from gainset.llm import op2_exact, op3_minhash, op5_lines, op7_suffix, op9_phrases, recurrence, resolvers
 from gainset.llm.components import components
 from gainset.llm.resolvers import Automaton, SuffixArray
 
@@ -281,6 +281,18 @@ def test_order_of_a_shard_is_that_of_its_suffixes():
     assert suffixes == sorted(suffixes)
 
 
+def test_rounds_of_suffix_ranks_sort_only_what_had_equals(monkeypatch):
+    sequences = [[3, 1, 4, 1, 5, 9, 2, 6], [5, 3, 5, 8, 9, 7], [9, 2, 6], [7] * 40]
+    symbols = np.array([x for s in sequences for x in [*s, 0]])
+    left = np.concatenate([np.arange(len(s) + 1, 0, -1) for s in sequences])
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(resolvers.np, "argsort", lambda x, **k: sizes.append(len(x)) or sort(x, **k))
+    ranks = resolvers.suffix_ranks(symbols, 1, left)
+    suffixes = [symbols[i : i + n].tolist() for i, n in enumerate(left)]
+    assert ranks.tolist() == [sum(other < own for other in suffixes) for own in suffixes]
+    assert sizes[0] == len(symbols) and all(b < a for a, b in zip(sizes, sizes[1:], strict=False))
+
+
 def test_one_row_of_equal_rows(spark):
     rows = [(7, "r"), (7, "r"), (None, "q"), (None, "q"), (3, "q"), (None, None), (None, ""), (1, "x")]
     kept = op2_exact.kept_documents(docs_of(spark, rows), one_row=True)
