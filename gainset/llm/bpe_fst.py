@@ -19,6 +19,9 @@ import base64
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+
 _ROOT = 0
 #: An open position packs its last token, plus one, above the place in the trie, which has room for a byte below.
 _LAST, _PLACE = 32, (1 << 32) - 1
@@ -38,7 +41,7 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 30_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 80_000):
         if max(ranks.values(), default=0) >= _TOKENS:
             raise ValueError("a rank is too large to be packed into a move")
         self.ranks = ranks
@@ -305,6 +308,7 @@ class Codec:
         self.split = regex.compile(pattern)
         self.pieces = _Pieces(self.fst, most_pieces)
         self.tokens = [self.fst.text.get(i, b"") for i in range(max(self.fst.text) + 1)]
+        self.column = pa.array(self.tokens, pa.binary())
 
     def encode(self, text: str) -> bytes:
         """All ids of a text, as little-endian unsigned 32-bit integers."""
@@ -312,6 +316,15 @@ class Codec:
             return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
         return b"".join(self.pieces[m.group()] for m in self.split.finditer(text))
 
+    def decode_texts(self, texts: list[bytes]) -> pa.Array:
+        """The bytes of each text's ids, which are as ``encode`` gives them; tokens are gathered by one take."""
+        ids = np.frombuffer(b"".join(texts), "<u4")
+        if not len(ids):
+            return pa.array([b""] * len(texts), pa.binary())
+        _, ends, data = self.column.take(pa.array(ids)).buffers()
+        first = np.append(0, np.cumsum([len(x) // 4 for x in texts]))
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.frombuffer(ends, np.int32)[first]), data])
+
     def decode_stream(self, ids: Iterable[int], block: int = 1 << 16) -> Iterator[bytes]:
         """The bytes of the ids in blocks, each of whole characters."""
         stream, ids = Utf8Stream(), iter(ids)

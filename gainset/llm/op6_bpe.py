@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -41,18 +40,16 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, text_column
         codec = _codec(raw, pattern)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_column))
-            first, ids, decoded, size = 0, [], [], 0
+            first, ids, size = 0, [], 0
             for row, text in enumerate(texts):
                 text = text.as_py() or ""
                 ids.append(codec.encode(text))
-                if decode:
-                    decoded.append(b"".join(codec.decode_stream(np.frombuffer(ids[-1], "<u4").tolist())))
                 size += len(text)
                 if size >= STEP_BYTES or row == len(texts) - 1:
                     own = batch.slice(first, row + 1 - first)
-                    arrays = [*own.columns, pa.array(ids, pa.binary()), *[pa.array(decoded, pa.binary())] * decode]
+                    arrays = [*own.columns, pa.array(ids, pa.binary()), *([codec.decode_texts(ids)] if decode else [])]
                     yield pa.RecordBatch.from_arrays(arrays, names=[*own.schema.names, *added])
-                    first, ids, decoded, size = row + 1, [], [], 0
+                    first, ids, size = row + 1, [], 0
 
     return docs.mapInArrow(run, schema)
 

@@ -213,6 +213,16 @@ def test_pieces_beyond_the_states_are_followed(most_states):
     assert len(own.fst.states) <= most_states
 
 
+def test_decoding_texts_at_once_equals_decoding_each():
+    with open(RANKS, "rb") as f:
+        codec = Codec(parse_ranks(f.read()), public_tokenizers.PATTERN)
+    texts = ["", "a", "日本語 🎉🎉 ñandú", "", "don't \n\n stop" * 500, ""]
+    ids = [codec.encode(t) for t in texts]
+    assert codec.decode_texts(ids).to_pylist() == [t.encode() for t in texts]
+    assert [b"".join(codec.decode_stream(np.frombuffer(x, "<u4").tolist())) for x in ids] == codec.decode_texts(ids).to_pylist()
+    assert codec.decode_texts([]).to_pylist() == [] and codec.decode_texts([b"", b""]).to_pylist() == [b"", b""]
+
+
 def test_utf8_stream_gives_whole_characters():
     raw = "aé日🎉".encode() * 3
     for size in (1, 2, 3, 5):
