@@ -38,8 +38,8 @@ WIDTH = 16
 #: Slices of the corpus, one for each step, and the size of a step.
 ROUNDS = 32
 RATE = 0.1
-#: Words predicted at once, words of a slice for each task, and the most tasks whose gradients are summed.
-BATCH = 1 << 16
+#: Words predicted at once (few enough that their layers stay in a processor's cache), words of a slice for each task, and the most tasks whose gradients are summed.
+BATCH = 1 << 13
 TASK_WORDS = 250_000
 MOST_TASKS = 4_096
 #: Words that a task counts before it hands them on.
@@ -48,6 +48,14 @@ COUNTED = 4_000_000
 COMMON = 1 << 17
 _AT = [i for i in range(2 * REACH + 1) if i != REACH]
 _PIECE = 8_192
+_ONES = np.ones(SIDE, np.float32)
+
+
+def _largest(z: np.ndarray) -> np.ndarray:
+    """The largest of each row of ``SIDE`` values, by halves, as short rows are slow to reduce one by one."""
+    while z.shape[1] > 1:
+        z = np.maximum(z[:, : z.shape[1] // 2], z[:, z.shape[1] // 2 :])
+    return z
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,7 +151,7 @@ class Network:
         return [getattr(self, f.name) for f in fields(self)]
 
     def _forward(self, ids: np.ndarray, classes: np.ndarray):
-        """Of the words with a class (others have -1): place, hidden values and so on, sorted by group; ``ids`` reach beyond ``classes`` on both sides."""
+        """Of the words with a class (others have -1): place, hidden values and so on, sorted by group, and both layers' shares before they are divided by their sums; ``ids`` reach beyond ``classes`` on both sides."""
         vectors, n = self.embed[ids], len(classes)
         total = np.tile(self.shift, (n, 1))
         for i, scale in enumerate(self.scale):
@@ -159,23 +167,27 @@ class Network:
             np.matmul(hidden[own], self.within[g], out=inner[own])
             inner[own] += self.within_bias[g]
         layers = [hidden @ self.out + self.bias, inner]
+        sums = []
         for z in layers:
-            z -= z.max(1, keepdims=True)
+            z -= _largest(z)
             np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
-        return vectors, place, hidden, group, member, cuts, layers
+            sums.append(z @ _ONES)
+        return vectors, place, hidden, group, member, cuts, layers, sums
 
     def score(self, ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Log-probability of each class, given the embeddings' numbers around it; 0 where there is none."""
-        _, place, _, group, member, _, layers = self._forward(ids, classes)
+        _, place, _, group, member, _, layers, sums = self._forward(ids, classes)
         row = np.arange(len(place))
         out = np.zeros(len(classes))
-        out[place] = np.log(layers[0][row, group].astype(np.float64)) + np.log(layers[1][row, member].astype(np.float64))
+        for z, total, own in zip(layers, sums, (group, member), strict=True):
+            out[place] += np.log(z[row, own].astype(np.float64)) - np.log(total.astype(np.float64))
         return out
 
     def gradient(self, ids: np.ndarray, classes: np.ndarray) -> list[np.ndarray]:
         """Of the sum of minus log-probability, for each of ``arrays``."""
-        vectors, place, hidden, group, member, cuts, (outer, inner) = self._forward(ids, classes)
+        vectors, place, hidden, group, member, cuts, (outer, inner), sums = self._forward(ids, classes)
+        for z, total in zip((outer, inner), sums, strict=True):
+            z *= (1 / total)[:, None]
         row = np.arange(len(place))
         outer[row, group] -= 1
         inner[row, member] -= 1

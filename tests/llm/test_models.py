@@ -213,6 +213,17 @@ def test_pieces_beyond_the_states_are_followed(most_states):
     assert len(own.fst.states) <= most_states
 
 
+def test_layers_are_divided_by_their_sums():
+    rng = np.random.default_rng(2)
+    z = rng.normal(size=(50, op1_score.SIDE)).astype(np.float32)
+    assert (op1_score._largest(z) == z.max(1, keepdims=True)).all()
+    net = op1_score.Network.start(rng.integers(1, 9, op1_score.CLASSES))
+    classes = rng.integers(0, op1_score.CLASSES, 200)
+    ids = rng.integers(0, op1_score.EMBEDDINGS, 200 + 2 * op1_score.REACH)
+    each = [net.score(ids, np.full(200, k))[7] for k in range(op1_score.CLASSES)]
+    assert abs(np.exp(each).sum() - 1) < 1e-5 and np.isfinite(net.score(ids, classes)).all()
+
+
 def test_decoding_texts_at_once_equals_decoding_each():
     with open(RANKS, "rb") as f:
         codec = Codec(parse_ranks(f.read()), public_tokenizers.PATTERN)
