@@ -52,13 +52,21 @@ def filter_bits(total: int) -> int:
 
 def repeated_slots(hashes: DataFrame, bits: int) -> DataFrame:
     """Bitmap rows (bucket, bitmap) of the slots that two rows or more fall on; equal slots are counted before they move."""
-    twice = hashes.select(_slot(F.col("hash"), bits).alias("slot")).groupBy("slot").agg((F.count(F.lit(1)) > 1).alias("twice")).filter("twice")
+    return _bitmaps(hashes.select(_slot(F.col("hash"), bits).alias("slot")).groupBy("slot").agg((F.count(F.lit(1)) > 1).alias("twice")).filter("twice"))
+
+
+def taken_slots(hashes: DataFrame, bits: int) -> DataFrame:
+    """Bitmap rows (bucket, bitmap) of the slots that any row falls on."""
+    return _bitmaps(hashes.select(_slot(F.col("hash"), bits).alias("slot")))
+
+
+def _bitmaps(slots: DataFrame) -> DataFrame:
     position = F.col("slot").bitwiseAND(F.lit((1 << _BITMAP) - 1))
-    return twice.groupBy(F.shiftright("slot", _BITMAP).alias("bucket")).agg(F.bitmap_construct_agg(position).alias("bitmap"))
+    return slots.groupBy(F.shiftright("slot", _BITMAP).alias("bucket")).agg(F.bitmap_construct_agg(position).alias("bitmap"))
 
 
 def marked(rows: DataFrame, filters: DataFrame, bits: int) -> DataFrame:
-    """Rows with a column ``maybe``: false only where no other row has the hash (column ``hash``, which goes)."""
+    """Rows with a column ``maybe``: false only where the slot of the hash (column ``hash``, which goes) isn't in ``filters``, so that no other row has it."""
     slot = _slot(F.col("hash"), bits)
     out = rows.join(F.broadcast(filters), F.shiftright(slot, _BITMAP) == F.col("bucket"), "left")
     return out.withColumn("maybe", F.coalesce(_bit(F.col("bitmap"), slot), F.lit(False))).drop("bucket", "bitmap", "hash")

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gainset.llm import arrays
+from gainset.llm import arrays, op2_exact
 from gainset.llm.components import components
-from gainset.llm.tables import NO_ID, keyed, keys, sized, table, with_group, without
+from gainset.llm.tables import MOST_BROADCAST, NO_ID, keyed, keys, table, with_group, without
 from gainset.scratch import stored
 
 SAMPLES = 80
@@ -38,6 +38,8 @@ DIRECT = 32_768
 DIRECT_SHINGLES = 10_000_000
 #: Entries of lists, and pairs, that are counted at once in a group.
 LOOKS = 1 << 20
+#: Bytes of a row that says which text is wanted, in a broadcast.
+WANTED_BYTES = 128
 
 _rng = np.random.default_rng(1729)
 _SEEDS = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -74,13 +76,21 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     words = arrays.Spans(arrays.byte_symbols(arrays.lower(data))).hash(starts, ends) | np.uint64(1)
     grams = arrays.Spans(words)
     whole = grams.grams(size)
-    out = []
-    for low, high in zip(first[:-1], first[1:], strict=True):
-        if high - low >= size:
-            out.append(np.unique(whole[low : high - size + 1]))
-        else:
-            out.append(grams.hash(np.array([low]), np.array([high])) if high > low else whole[:0])
-    return np.concatenate(out) if out else whole[:0], np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
+    counts = np.diff(first)
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    lengths = np.where(counts >= size, counts - size + 1, counts > 0)
+    edges = np.append(0, np.cumsum(lengths))
+    out = np.empty(edges[-1], np.uint64)
+    out[edges[short]] = grams.hash(first[short], first[short + 1])
+    long = np.flatnonzero(counts >= size)
+    for low, n, at in zip(first[long].tolist(), lengths[long].tolist(), edges[long].tolist(), strict=True):
+        own = out[at : at + n]
+        own[:] = whole[low : low + n]
+        own.sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[edges[:-1][lengths > 0]] = True
+    return out[new], np.append(0, np.cumsum(new))[edges]
 
 
 def _samples(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -193,18 +203,16 @@ def _grouped(docs: DataFrame, like: Similarity, id_column: str, text_column: str
     nodes = filled.groupBy("node").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size"), F.min(F.struct("did", "dkey", "n", "bands", "sketch")).alias("one"))
     nodes = stored(nodes.select("node", "first", "size", "one.*"), "nodes")
 
-    packed = F.struct("node", "n", *[F.col("sketch")[i].alias(f"{'sp'[i // SKETCH_WORDS]}{i % SKETCH_WORDS}") for i in range(2 * SKETCH_WORDS)]).alias("x")
-    banded = nodes.select(packed, F.explode("bands").alias("key"))
+    banded = nodes.select("node", F.explode("bands").alias("key"))  # most bands aren't shared, so sketches come later
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     slots = total * (SAMPLES // like.rows)
     together = stored(with_group(banded, shared, "key", "members", slots), "bands")
     # A document that others were made from shares more bands with them than they share with each other.
-    known = together.groupBy(F.col("x.node").alias("_n")).agg(F.sum("members").alias("known"))
-    together = together.join(known, F.col("x.node") == F.col("_n")).select("key", "x", "known")
-
-    wanted = stored(nodes.select("node", "did", "dkey").join(known.select(F.col("_n").alias("node")), "node"), "wanted")
-    wanted_texts = texts.join(sized(wanted, 128), ["did", "dkey"]).select("node", "text")
-    sets = stored(wanted_texts.mapInArrow(_set_rows(like), "node binary, shingles array<long>").dropDuplicates(["node"]), "sets")
+    known = together.groupBy("node").agg(F.sum("members").alias("known"))
+    packed = F.struct("node", "n", *[F.col("sketch")[i].alias(f"{'sp'[i // SKETCH_WORDS]}{i % SKETCH_WORDS}") for i in range(2 * SKETCH_WORDS)]).alias("x")
+    wanted = stored(nodes.select("node", "did", "dkey", packed).join(known, "node"), "wanted")
+    together = together.select("node", "key").join(wanted.select("node", "x", "known"), "node").select("key", "x", "known")
+    sets = stored(_texts_of(texts, wanted.select("node", "did", "dkey")).mapInArrow(_set_rows(like), "node binary, shingles array<long>").dropDuplicates(["node"]), "sets")
     roots = _roots(together, sets, slots, like)
 
     named = nodes.select("node", "first", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -214,6 +222,18 @@ def _grouped(docs: DataFrame, like: Similarity, id_column: str, text_column: str
     return out.unionByName(rows.filter(F.col("node").isNull()).select("did", "dkey", "n", first))
 
 
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (node, text) of the ``texts`` that ``wanted`` names; where those are too many to be broadcast, a bitmap of their ids keeps most other texts from moving."""
+    n = wanted.count()
+    bits = op2_exact.filter_bits(n)
+    if n * WANTED_BYTES <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
+    elif 1 << bits <= op2_exact.MOST_BITS:
+        hashed = F.xxhash64("did", "dkey").alias("hash")
+        texts = op2_exact.marked(texts.select("*", hashed), stored(op2_exact.taken_slots(wanted.select(hashed), bits), "filter"), bits).filter("maybe").drop("maybe")
+    return texts.join(wanted, ["did", "dkey"]).select("node", "text")
+
+
 def _roots(members: DataFrame, sets: DataFrame, total: int, like: Similarity) -> DataFrame:
     """Components, rows (node, root), of the links within buckets (key, x, known) of fewer than ``total`` rows."""
     links = roots = None

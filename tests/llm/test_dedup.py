@@ -344,6 +344,34 @@ def test_large_group_of_copies_with_a_common_change(spark, monkeypatch, direct):
     assert sum(pairs) < 25 * len(rows)
 
 
+def _moved(plan):
+    """Rows that the exchanges of a plan that was run wrote."""
+    kind = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(map(_moved, below))
+
+
+def test_texts_that_are_not_wanted_stay_where_they_are(spark, monkeypatch):
+    """Beyond what is broadcast only wanted texts meet what is known of them in a shuffle, and groups are the same."""
+    rng = random.Random(3)
+    bodies = [[rng.choice("abcdefghij") for _ in range(40)] for _ in range(60)]
+    rows = [(i, " ".join(bodies[i % 60] + ["x"] * (i // 60))) for i in range(120)] + [(None, " ".join(bodies[0])), (7, " ".join(bodies[1] + ["y"]))]
+    want = sorted(map(str, op3_minhash.near_duplicates(docs_of(spark, rows)).collect()))
+    monkeypatch.setattr(op3_minhash, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(op2_exact, "BITS_PER_ROW", 1 << 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(str, op3_minhash.near_duplicates(docs_of(spark, rows)).collect())) == want
+        texts = spark.createDataFrame([(i // 2, i % 2, f"t{i}") for i in range(3000)], "did long, dkey long, text string")
+        wanted = spark.createDataFrame([(bytes([i]), 50 * i, i % 2) for i in range(30)], "node binary, did long, dkey long")
+        out = op3_minhash._texts_of(texts, wanted)
+        assert sorted((bytes(r.node), r.text) for r in out.collect()) == [(bytes([i]), f"t{100 * i + i % 2}") for i in range(30)]
+        assert _moved(out._jdf.queryExecution().executedPlan()) < 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_group_below_the_threshold_costs_no_square(spark, monkeypatch):
     rng = random.Random(11)
     words = [f"w{i}" for i in range(2000)]
